@@ -16,32 +16,48 @@ from pyspark.sql import functions as F
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a null key equals a null key; keeps the left side's key columns."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                   plain: tuple[str, ...] = ()) -> DataFrame:
+    """Equi-join in which a null key equals a null key; keeps the left side's key columns. Keys in ``plain`` are
+    never null and compare as they are."""
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
     if not keys:
         return left.crossJoin(F.broadcast(renamed))
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
+    on = reduce(lambda a, b: a & b, [
+        (left[k] == renamed[f"__r_{k}"]) if k in plain else left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _bucketed(df: DataFrame, by: list[str]) -> DataFrame:
+    """One struct key for (group, bucket): null groups keep their rows, and the window, the bucket sizes and the
+    join share one hash partitioning."""
+    return df.withColumn("__k", F.struct(*by, "__b"))
+
+
+def _offsets(cut: DataFrame, by: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Per (group, bucket) the totals of the group's earlier buckets."""
+    sizes = cut.groupBy("__k").agg(*[c.alias(n) for n, c in totals.items()])
+    group = F.struct(*[F.col(f"__k.{k}") for k in by]) if by else F.lit(0)
+    before = Window.partitionBy(group).orderBy("__k.__b").rowsBetween(*BEFORE)
+    return sizes.select("__k", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in totals])
+
+
 def hash_rank(df: DataFrame, digest: Column, ties: list[str], by: list[str] = (), out: str = "rank",
               digits: int = 3) -> DataFrame:
     """1-based rank by a hex digest inside ``by``; equals ``row_number`` over (digest, ties).
 
     The leading ``digits`` hex digits cut a group into up to ``16 ** digits`` equal buckets."""
-    by = list(by)
     keyed = df.withColumn("__d", digest).withColumn("__b", F.substring("__d", 1, digits))
-    local = keyed.withColumn("__r", F.row_number().over(
-        Window.partitionBy(*by, "__b").orderBy("__d", *ties)))
-    sizes = keyed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b").rowsBetween(*BEFORE)
-    offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return (null_safe_join(local, offsets, by + ["__b"])
-            .withColumn(out, (F.col("__r") + F.col("__o")).cast("long"))
-            .drop("__d", "__b", "__r", "__o"))
+    return _two_level_rank(_bucketed(keyed, list(by)), list(by), ["__d", *ties], out).drop("__d")
+
+
+def _two_level_rank(cut: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
+    local = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
+    offsets = _offsets(cut, by, {"__o": F.count(F.lit(1))})
+    return (local.join(offsets, "__k").withColumn(out, (F.col("__r") + F.col("__o")).cast("long"))
+            .drop("__k", "__b", "__r", "__o"))
 
 
 def order_bounds(df: DataFrame, by: list[str], order: str, buckets: int) -> DataFrame:
@@ -63,14 +79,7 @@ def with_bucket(df: DataFrame, by: list[str], order: str, buckets: int) -> DataF
 def ordered_rank(df: DataFrame, by: list[str], order: str, ties: list[str], out: str = "rank",
                  buckets: int = 16) -> DataFrame:
     """1-based ``row_number`` by a numeric column inside ``by``, in two levels."""
-    cut = with_bucket(df, by, order, buckets)
-    local = cut.withColumn("__r", F.row_number().over(
-        Window.partitionBy(*by, "__b").orderBy(order, *ties)))
-    sizes = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b").rowsBetween(*BEFORE)
-    offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return (null_safe_join(local, offsets, by + ["__b"])
-            .withColumn(out, (F.col("__r") + F.col("__o")).cast("long")).drop("__b", "__r", "__o"))
+    return _two_level_rank(_bucketed(with_bucket(df, by, order, buckets), by), by, [order, *ties], out)
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], buckets: int = 16,
@@ -80,18 +89,21 @@ def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
     ``df`` holds one row per (group, order): aggregate equal values first, which also merges a hot value
     into one row. ``bucket`` names an existing order-preserving bucket column."""
     cut = df.withColumn("__b", F.col(bucket)) if bucket else with_bucket(df, by, order, buckets)
-    inside = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(*BEFORE)
+    if not bucket and buckets <= 1:                  # the caller knows the groups are small
+        plain = Window.partitionBy(*by).orderBy(order).rowsBetween(*BEFORE)
+        for v in values:
+            df = df.withColumn(f"{v}_below", F.coalesce(F.sum(v).over(plain), F.lit(0.0)))
+        return df
+    cut = _bucketed(cut, by)
+    inside = Window.partitionBy("__k").orderBy(order).rowsBetween(*BEFORE)
     local = cut
     for v in values:
         local = local.withColumn(f"__i_{v}", F.coalesce(F.sum(v).over(inside), F.lit(0.0)))
-    sizes = cut.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b").rowsBetween(*BEFORE)
-    offsets = sizes.select(*by, "__b", *[F.coalesce(F.sum(f"__s_{v}").over(before), F.lit(0.0)).alias(f"__o_{v}")
-                                         for v in values])
-    joined = null_safe_join(local, offsets, by + ["__b"])
+    offsets = _offsets(cut, by, {f"__o_{v}": F.sum(v) for v in values})
+    joined = local.join(offsets, "__k")
     for v in values:
         joined = joined.withColumn(f"{v}_below", F.col(f"__i_{v}") + F.col(f"__o_{v}"))
-    return joined.drop("__b", *[f"__i_{v}" for v in values], *[f"__o_{v}" for v in values])
+    return joined.drop("__k", "__b", *[f"__i_{v}" for v in values], *[f"__o_{v}" for v in values])
 
 
 def average_rank(df: DataFrame, by: list[str], order: str, out: str = "avg_rank",

@@ -39,7 +39,8 @@ def draw_number(df: DataFrame, seed: int, words: list[str], out: str) -> DataFra
     for k, word in zip(ROUND_KEYS, list(words) + [None]):
         step = F.col("__x") + F.lit(k).cast("long")
         df = _fifth_power(df, step + F.col(word).cast("long") if word else step)
-    return df.withColumn(out, F.col("__x")).drop("__x", "__y", "__y2", "__y4")
+    # Not nullable: an inferred "is not null" filter would otherwise be pushed below the rounds and repeat them.
+    return df.withColumn(out, F.coalesce(F.col("__x"), F.lit(0).cast("long"))).drop("__x", "__y", "__y2", "__y4")
 
 
 def replicate_draws(sizes: DataFrame, by: list[str], n: str, replicates: int, seed: int,
@@ -57,8 +58,8 @@ def replicate_draws(sizes: DataFrame, by: list[str], n: str, replicates: int, se
         F.col("__c").cast("long") * CHUNK,
         F.least((F.col("__c").cast("long") + 1) * CHUNK, F.col(n).cast("long")) - 1)))
     draws = draw_number(draws, seed + 7919 * salt, ["b", "j"], "__u")
-    return draws.withColumn("idx", F.floor(F.col("__u") * F.col(n).cast("long") / F.lit(MODULUS)).cast("long")
-                            ).select(*by, "b", "j", "idx")
+    position = F.expr(f"(__u * cast({n} as bigint)) div {MODULUS}")
+    return draws.withColumn("idx", F.coalesce(position, F.lit(0).cast("long"))).select(*by, "b", "j", "idx")
 
 
 def index_clusters(clusters: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -74,7 +75,7 @@ def replicate_sums(clusters: DataFrame, key: str, sums: list[str], by: list[str]
     small = broadcast_if_small(indexed)
     sizes = indexed.groupBy(*by).agg((F.max("idx") + 1).alias("__n"))
     draws = replicate_draws(sizes, by, "__n", replicates, seed, salt)
-    joined = null_safe_join(draws, small, list(by) + ["idx"])
+    joined = null_safe_join(draws, small, list(by) + ["idx"], plain=("idx",))
     return joined.groupBy(*by, "b").agg(*[F.sum(s).alias(s) for s in sums])
 
 
@@ -172,13 +173,15 @@ def auc_replicates(scored: DataFrame, by: list[str], key: str, score: str, posit
         sides.append(replicate_draws(part, [positive], "__n", replicates, seed, salt)
                      .groupBy(positive, "b", "idx").agg(F.count(F.lit(1)).cast("double").alias("w")))
     counts = sides[0].unionByName(sides[1])
-    weights = null_safe_join(counts, broadcast_if_small(indexed), [positive, "idx"]).select(key, "b", "w")
+    weights = null_safe_join(counts, broadcast_if_small(indexed), [positive, "idx"],
+                             plain=(positive, "idx")).select(key, "b", "w")
     marked = with_bucket(scored, by, score, buckets).withColumnRenamed("__b", "__bk")
     hist = (weights.join(marked.select(*by, key, score, positive, "__bk"), key)
             .groupBy(*by, "b", "__bk", score)
             .agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0.0)).alias("__p"),
                  F.sum(F.when(F.col(positive), 0.0).otherwise(F.col("w"))).alias("__q")))
-    below = running_totals(hist, by + ["b"], score, ["__q"], bucket="__bk")
+    below = (running_totals(hist, by + ["b"], score, ["__q"], bucket="__bk") if buckets > 1
+             else running_totals(hist, by + ["b"], score, ["__q"], buckets=1))
     return (below.groupBy(*by, "b")
             .agg(F.sum(F.col("__p") * (F.col("__q_below") + 0.5 * F.col("__q"))).alias("__u"),
                  F.sum("__p").alias("__np"), F.sum("__q").alias("__nq"))

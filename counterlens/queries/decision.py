@@ -223,11 +223,11 @@ def a18(spark, sf):
 # ---- A20 / B5: AUC ---------------------------------------------------------------------------------------------------
 def sql_auc(source: str, by: str, score: str, name: str) -> str:
     """CTE ``name(by, auc, n_pos, n_neg)`` from average ranks."""
-    return f"""{name} AS (SELECT {by}, (sum(CASE WHEN strong THEN rk ELSE 0 END) - n_pos * (n_pos + 1) / 2) / nullif(n_pos * n_neg, 0) AS auc,
-    n_pos, n_neg FROM (SELECT {by}, strong,
+    return f"""{name} AS (SELECT {by}, (sum(CASE WHEN strong THEN rk ELSE 0 END) - max(n_pos) * (max(n_pos) + 1) / 2) / nullif(max(n_pos) * max(n_neg), 0) AS auc,
+    max(n_pos) AS n_pos, max(n_neg) AS n_neg FROM (SELECT {by}, strong,
       rank() OVER (PARTITION BY {by} ORDER BY {score}) + (count(*) OVER (PARTITION BY {by}, {score}) - 1) / 2 AS rk,
       sum(strong::INT) OVER (PARTITION BY {by})::DOUBLE AS n_pos, sum((NOT strong)::INT) OVER (PARTITION BY {by})::DOUBLE AS n_neg
-      FROM {source}) GROUP BY ALL)"""
+      FROM {source}) GROUP BY {by})"""
 
 
 @query("a20_auc_by_cell", f"""WITH {SQL_REWARDS}, {SQL_CELL_D}, {sql_auc('cell_d', 'encoding, template, cell', 'D', 'aucs')}
