@@ -6,7 +6,7 @@ words at accented letters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------
@@ -98,30 +98,29 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), text, F.lit("\\E"))
 
 
-def scrub(text) -> tuple[Column, Column]:
-    """Body without the sex signal it carries, and whether the opening named its subject.
+def scrub(df: DataFrame, text: str, body: str = "body", flag: str = "name_resolved") -> DataFrame:
+    """Adds the text without the sex signal it carries, and whether its opening named the subject.
 
     Contacts are redacted and titles stripped; a name that opens the text is replaced there and, together with
-    the first name, everywhere later; pronouns become singular they; agreement is repaired."""
-    t = strip_titles(redact_contacts(collapse(text)))
-    name = F.regexp_extract(t, LEADING_NAME, 1)
-    opening = F.regexp_extract(t, LEADING_NAME, 0)
-    tokens = F.transform(F.split(name, "\\s+"), lambda w: F.regexp_replace(w, "^[.,;:]+|[.,;:]+$", ""))
-    tokens = F.filter(tokens, lambda w: (w != "") & ~w.isin(NAME_TITLES) & w.rlike("^\\p{Lu}"))
-    head = F.try_element_at(tokens, F.lit(1))
-    resolved = head.isNotNull() & ~head.isin(NOT_A_NAME)
-    rest = F.concat(F.lit("The applicant "), F.substring(t, F.length(opening) + 1, F.length(t)))
-    joined = F.array_join(F.transform(tokens, _quoted), "\\s+")
-    full = F.when(F.size(tokens) > 1,
-                  F.regexp_replace(rest, F.concat(F.lit(LEFT), joined, F.lit(RIGHT + "('s)?")), F.lit("the applicant$1"))
-                  ).otherwise(rest)
-    first = F.try_element_at(F.filter(tokens, lambda w: F.length(w) > 1), F.lit(1))
-    once = F.when(first.isNotNull(),
-                  F.regexp_replace(full, F.concat(F.lit(LEFT), _quoted(first), F.lit(RIGHT + "('s)?")),
-                                   F.lit("the applicant$1"))).otherwise(full)
-    once = F.regexp_replace(once, f"(?i){LEFT}(the applicant)(?:\\s+the applicant{RIGHT})+", "$1")
-    body = F.when(resolved, once).otherwise(t)
-    return collapse(repair_agreement(neutral_pronouns(body))), F.coalesce(resolved, F.lit(False))
+    the first name, everywhere later; pronouns become singular they; agreement is repaired. Each step is a column,
+    so nothing is computed twice."""
+    d = df.withColumn("__t", strip_titles(redact_contacts(collapse(text))))
+    d = d.withColumn("__open", F.regexp_extract("__t", LEADING_NAME, 0))
+    tokens = F.transform(F.split(F.regexp_extract("__t", LEADING_NAME, 1), "\\s+"),
+                         lambda w: F.regexp_replace(w, "^[.,;:]+|[.,;:]+$", ""))
+    d = d.withColumn("__tok", F.filter(tokens, lambda w: (w != "") & ~w.isin(NAME_TITLES) & F.rlike(w, F.lit("^\\p{Lu}"))))
+    head = F.try_element_at("__tok", F.lit(1))
+    d = d.withColumn(flag, F.coalesce(head.isNotNull() & ~head.isin(NOT_A_NAME), F.lit(False)))
+    rest = F.concat(F.lit("The applicant "), F.expr("substring(__t, length(__open) + 1)"))
+    d = d.withColumn("__b", F.when(F.col(flag), rest).otherwise(F.col("__t")))
+    full = F.array_join(F.transform("__tok", _quoted), "\\s+")
+    first = F.try_element_at(F.filter("__tok", lambda w: F.length(w) > 1), F.lit(1))
+    for pattern, applies in ((full, F.size("__tok") > 1), (_quoted(first), first.isNotNull())):
+        d = d.withColumn("__b", F.when(F.col(flag) & applies, F.regexp_replace(
+            F.col("__b"), F.concat(F.lit(LEFT), pattern, F.lit(RIGHT + "('s)?")), F.lit("the applicant$1"))).otherwise(F.col("__b")))
+    merged = F.regexp_replace("__b", f"(?i){LEFT}(the applicant)(?:\\s+the applicant{RIGHT})+", "$1")
+    d = d.withColumn("__b", F.when(F.col(flag), merged).otherwise(F.col("__b")))
+    return d.withColumn(body, collapse(repair_agreement(neutral_pronouns("__b")))).drop("__t", "__open", "__tok", "__b")
 
 
 def mentions(text, words: str, ignore_case: bool = True) -> Column:
@@ -185,22 +184,27 @@ def with_article(role) -> Column:
 
 def sentence_boundaries(text) -> Column:
     """Character offsets just after a sentence end that is followed by a space or a line break; a full stop after
-    an abbreviation, an initial or a dotted acronym does not end a sentence."""
+    an abbreviation, an initial or a dotted acronym does not end a sentence.
+
+    One regular expression cuts the text after every candidate mark; offsets are running lengths of the pieces."""
     t = _c(text)
-    marks = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: (
-        F.substring(t, i, F.lit(1)).isin(".", "?", "!", "\"", "'") & F.substring(t, i + 1, F.lit(1)).isin(" ", "\n")))
-
-    def keeps(i: Column) -> Column:
-        ch, nxt = F.substring(t, i, F.lit(1)), F.substring(t, i + 1, F.lit(1))
-        quote = ch.isin("\"", "'") & (i > 1) & F.substring(t, i - 1, F.lit(1)).isin(".", "?", "!")
-        word = F.regexp_extract(F.substring(t, F.greatest(i - 40, F.lit(1)), F.least(i - 1, F.lit(40))),
-                                "([A-Za-z][A-Za-z.]*)$", 1)
-        initial = (F.length(word) == 1) & F.rlike(word, F.lit("[A-Z]")) & (word != "I")
-        acronym = F.rlike(word, F.lit("^[^.](?:\\.[^.])+$")) & (nxt == " ")
-        stop = (ch == ".") & ~(F.lower(word).isin(ABBREVIATIONS) | initial | acronym)
-        return quote | ch.isin("?", "!") | stop
-
-    return F.filter(marks, keeps)
+    pieces = F.regexp_extract_all(t, F.lit("(?s).*?[.?!][\"']?(?=[ \n])|.+$"), F.lit(0))
+
+    def keeps(p: Column, nxt: Column) -> Column:
+        tail = F.substring(p, -48, 48)
+        word = F.regexp_extract(tail, "([A-Za-z][A-Za-z.]*)\\.$", 1)
+        initial = F.rlike(word, F.lit("^[A-Z]$")) & (word != "I")
+        acronym = F.rlike(word, F.lit("^[^.](?:\\.[^.])+$")) & nxt.startswith(" ")
+        return ~(tail.endswith(".") & (F.lower(word).isin(ABBREVIATIONS) | initial | acronym))
+
+    following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
+    marked = F.zip_with(pieces, following, lambda p, nxt: F.struct(
+        F.length(p).alias("n"), F.coalesce(keeps(p, nxt) & nxt.isNotNull(), F.lit(False)).alias("ok")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(marked, start, lambda acc, m: F.struct(
+        (acc["at"] + m["n"]).alias("at"),
+        F.when(m["ok"], F.array_append(acc["out"], acc["at"] + m["n"])).otherwise(acc["out"]).alias("out")),
+        lambda acc: acc["out"])
 
 
 def insert_at(text, sentence, cut) -> Column:
