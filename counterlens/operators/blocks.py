@@ -22,29 +22,31 @@ REASONS = ("clause_not_once", "content_differs", "clause_position", "no_contrast
 Renderer = Callable[[str, Column], Column]
 
 
-def gate_codes(text_a, text_b, clause_a, clause_b, chars: int = MAX_CHAR_DELTA, words: int = MAX_WORD_DELTA,
-               flesch: float = MAX_FLESCH_DELTA) -> Column:
-    """The reason codes a pair trips, in order; empty for a clean pair."""
-    ta, tb, ca, cb = _col(text_a), _col(text_b), _col(clause_a), _col(clause_b)
-    once_a, once_b = T.occurrences(ta, ca) == 1, T.occurrences(tb, cb) == 1
-
-    at_a, at_b = _locate(ta, ca), _locate(tb, cb)
-    same = _without(ta, ca, at_a) == _without(tb, cb, at_b)
-    checks = [("clause_not_once", ~(once_a & once_b)), ("content_differs", ~same),
-              ("clause_position", same & once_a & once_b & (at_a != at_b)), ("no_contrast", ca == cb),
-              ("char_delta", F.abs(F.length(ta) - F.length(tb)) > chars),
-              ("token_delta", F.abs(T.word_count(ta) - T.word_count(tb)) > words),
-              ("flesch_delta", F.abs(T.flesch(ta) - T.flesch(tb)) > flesch)]
+def gate_features(text, clause) -> Column:
+    """What the gate needs of one side of a pair, so that a text is read once however many pairs it is in: occurrences
+    and position of the clause, a hash of the rest, and the three sizes."""
+    t, c = _col(text), _col(clause)
+    at = F.position(c, t)
+    rest = F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + F.length(c), F.length(t)))).otherwise(t)
+    return F.struct(T.occurrences(t, c).alias("times"), at.alias("at"), F.sha2(rest, 256).alias("rest"), c.alias("clause"),
+                    F.length(t).alias("chars"), T.word_count(t).alias("words"), T.flesch(t).alias("flesch"))
+
+
+def feature_codes(a: Column, b: Column, chars: int = MAX_CHAR_DELTA, words: int = MAX_WORD_DELTA,
+                  flesch: float = MAX_FLESCH_DELTA) -> Column:
+    """The reason codes a pair of `gate_features` trips, in order; empty for a clean pair."""
+    once = (a["times"] == 1) & (b["times"] == 1)
+    same = a["rest"] == b["rest"]
+    checks = [("clause_not_once", ~once), ("content_differs", ~same), ("clause_position", same & once & (a["at"] != b["at"])),
+              ("no_contrast", a["clause"] == b["clause"]), ("char_delta", F.abs(a["chars"] - b["chars"]) > chars),
+              ("token_delta", F.abs(a["words"] - b["words"]) > words), ("flesch_delta", F.abs(a["flesch"] - b["flesch"]) > flesch)]
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
 
 
-def _locate(t: Column, c: Column) -> Column:
-    return F.position(c, t)
-
-
-def _without(t: Column, c: Column, at: Column) -> Column:
-    """The text without the first occurrence of the clause."""
-    return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + F.length(c), F.length(t)))).otherwise(t)
+def gated_pairs(pairs: DataFrame, **thresholds) -> DataFrame:
+    """Adds ``codes`` to a table of pairs (text_a, text_b, clause_a, clause_b)."""
+    f = pairs.withColumn("__a", gate_features("text_a", "clause_a")).withColumn("__b", gate_features("text_b", "clause_b"))
+    return f.withColumn("codes", feature_codes(F.col("__a"), F.col("__b"), **thresholds)).drop("__a", "__b")
 
 
 def blocks(records: DataFrame, design: FactorialDesign, templates: list[str], render: Renderer, seed: int,
@@ -74,20 +76,24 @@ def _block_part(records, design, template, render, seed, key, keep, encoding, su
                           F.array(*cells).alias("cells"), render(template, F.lit("")).alias("unmarked"), drawn.alias("names"))
 
 
-def with_pairs(block: DataFrame, design: FactorialDesign, encoding: str, subject: str | None = None) -> DataFrame:
-    """Adds ``pairs``: every contrast of the encoding cut from ``cells``, with its gate codes."""
-    index = {c.key: i for i, c in enumerate(design.cells())}
-    items = []
-    for p in design.all_pairs(encoding):
-        a, b = F.col("cells")[index[p.a.key]], F.col("cells")[index[p.b.key]]
-        items.append(F.struct(
-            F.lit(p.axis).alias("axis"), F.lit(p.suffix).alias("suffix"), F.lit(p.a.key).alias("cell_a"), F.lit(p.b.key).alias("cell_b"),
-            F.lit(p.label_a).alias("label_a"), F.lit(p.label_b).alias("label_b"),
-            F.array(*[F.lit(h) for h in p.held]).cast("array<string>").alias("held"),
-            F.create_map(*[F.lit(x) for kv in p.cell_map for x in kv]).alias("intersectional_cell"),
-            a["clause"].alias("clause_a"), b["clause"].alias("clause_b"), a["text"].alias("text_a"), b["text"].alias("text_b"),
-            gate_codes(a["text"], b["text"], a["clause"], b["clause"]).alias("codes")))
-    return block.filter(F.col("encoding") == encoding).withColumn("pairs", F.array(*items))
+def pair_index(design: FactorialDesign, encoding: str) -> Column:
+    """The contrasts of an encoding as a literal array; ``ia`` and ``ib`` point into ``cells``."""
+    at = {c.key: i for i, c in enumerate(design.cells())}
+    return F.array(*[F.struct(
+        F.lit(p.axis).alias("axis"), F.lit(p.suffix).alias("suffix"), F.lit(p.a.key).alias("cell_a"), F.lit(p.b.key).alias("cell_b"),
+        F.lit(p.label_a).alias("label_a"), F.lit(p.label_b).alias("label_b"), F.lit(", ".join(p.held)).alias("held"),
+        F.lit("; ".join(f"{k}={v}" for k, v in p.cell_map)).alias("cell_map"), F.lit(at[p.a.key]).alias("ia"), F.lit(at[p.b.key]).alias("ib"))
+        for p in design.all_pairs(encoding)])
+
+
+def with_pairs(block: DataFrame, design: FactorialDesign, encoding: str, **thresholds) -> DataFrame:
+    """Blocks of one encoding with ``pairs``: every contrast, with the gate codes it trips. Texts stay in ``cells``."""
+    b = block.filter(F.col("encoding") == encoding)
+    b = b.withColumn("features", F.transform("cells", lambda c: gate_features(c["text"], c["clause"])))
+    index = pair_index(design, encoding)
+    return b.withColumn("pairs", F.transform(index, lambda p: F.struct(
+        p.alias("pair"), feature_codes(F.get("features", p["ia"]), F.get("features", p["ib"]), **thresholds).alias("codes")))
+    ).drop("features")
 
 
 def kept_blocks(paired: DataFrame) -> DataFrame:
@@ -108,12 +114,23 @@ def cell_rows(block: DataFrame, keep: list[str]) -> DataFrame:
     return block.select(*keep, F.explode("cells").alias("c")).select(*keep, "c.*")
 
 
-def pair_rows(paired: DataFrame, keep: list[str], prefix: str = "pair", key: str = "record_id") -> DataFrame:
-    """Long pair table with ids ``prefix-axis-encoding-template-record-suffix``."""
-    p = paired.select(*keep, F.explode("pairs").alias("p"))
-    ident = F.concat_ws("-", F.lit(prefix), F.col("p.axis"), "encoding", "template", key, F.col("p.suffix"))
-    return p.select(ident.alias("id"), *keep, "p.axis", "p.suffix", "p.cell_a", "p.cell_b", "p.label_a", "p.label_b", "p.held",
-                    "p.intersectional_cell", "p.clause_a", "p.clause_b", "p.text_a", "p.text_b", "p.codes")
+def pair_rows(block: DataFrame, design: FactorialDesign, encoding: str, keep: list[str], prefix: str = "pair",
+              key: str = "record_id", texts: bool = True) -> DataFrame:
+    """Long pair table of one encoding, ids ``prefix-axis-encoding-template-record-suffix``; without ``texts`` only
+    identifiers and labels."""
+    b = block.filter(F.col("encoding") == encoding)
+    index = pair_index(design, encoding)
+    if texts:
+        side = lambda p, i, f: F.get("cells", p[i])[f]
+        index = F.transform(index, lambda p: F.struct(p.alias("pair"), *[side(p, i, f).alias(f"{f}_{i[1]}") for f in ("clause", "text") for i in ("ia", "ib")]))
+    else:
+        index = F.transform(index, lambda p: F.struct(p.alias("pair")))
+    e = b.select(*keep, F.explode(index).alias("p"))
+    ident = F.concat_ws("-", F.lit(prefix), F.col("p.pair.axis"), "encoding", "template", key, F.col("p.pair.suffix"))
+    cols = [F.col(f"p.pair.{c}").alias(c) for c in ("axis", "suffix", "cell_a", "cell_b", "label_a", "label_b", "held", "cell_map")]
+    if texts:
+        cols += [F.col(f"p.{c}").alias(c) for c in ("clause_a", "clause_b", "text_a", "text_b")]
+    return e.select(ident.alias("id"), *keep, *cols)
 
 
 def decision_items(block: DataFrame, keep: list[str], responses: DataFrame, prompt: Callable[[Column], Column]) -> DataFrame:

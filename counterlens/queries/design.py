@@ -199,7 +199,7 @@ SELECT 'edu-' || p.axis || '-' || a.encoding || '-' || a.template || '-' || a.re
   abs(length(a.text) - length(b.text))::INTEGER AS char_delta FROM ep p JOIN ec a ON a.encoding = p.encoding AND a.cell = p.cell_a JOIN ec b ON b.encoding = p.encoding AND b.cell = p.cell_b AND b.record_id = a.record_id AND b.template = a.template""")
 def j2(spark, sf):
     blk = essay_blocks(spark, sf)
-    parts = [B.pair_rows(B.with_pairs(blk, EDUCATION, e), ["record_id", "template", "encoding"], "edu") for e in ("explicit", "proxy")]
+    parts = [B.pair_rows(blk, EDUCATION, e, ["record_id", "template", "encoding"], "edu") for e in ("explicit", "proxy")]
     p = parts[0].unionByName(parts[1])
     return p.select("id", "record_id", "axis", "label_a", "label_b", "clause_a", "clause_b", F.abs(F.length("text_a") - F.length("text_b")).alias("char_delta"))
 
@@ -215,12 +215,9 @@ SQL_GATE = r"""g AS (SELECT a.encoding, a.record_id, a.template, abs(length(a.te
 SELECT encoding, count(*) FILTER (NOT bad)::BIGINT AS blocks_kept, count(*) FILTER (bad)::BIGINT AS blocks_dropped, sum(c)::BIGINT AS char_delta, sum(t)::BIGINT AS token_delta FROM b GROUP BY encoding""")
 def f11(spark, sf):
     """The gate at a two-character tolerance, so that some blocks fail; blocks never leave their row."""
-    blk, out = essay_blocks(spark, sf), None
-    for e in ("explicit", "proxy"):
-        w = B.with_pairs(blk, EDUCATION, e)
-        w = w.withColumn("pairs", F.transform("pairs", lambda p: F.struct(B.gate_codes(p["text_a"], p["text_b"], p["clause_a"], p["clause_b"], chars=2).alias("codes"))))
-        out = w.select("encoding", "pairs") if out is None else out.unionByName(w.select("encoding", "pairs"))
-    return B.gate_tally(out).select("encoding", "blocks_kept", "blocks_dropped", "char_delta", "token_delta")
+    blk = essay_blocks(spark, sf)
+    parts = [B.with_pairs(blk, EDUCATION, e, chars=2).select("encoding", "pairs") for e in ("explicit", "proxy")]
+    return B.gate_tally(parts[0].unionByName(parts[1])).select("encoding", "blocks_kept", "blocks_dropped", "char_delta", "token_delta")
 
 
 @query("q3_block_integrity", f"""WITH {_essay_sql()}, b AS (SELECT record_id, template, encoding, count(DISTINCT cell) AS cells, count(DISTINCT replace(text, clause, '')) AS unmarked, count(DISTINCT position(clause IN text)) AS starts,
@@ -245,7 +242,7 @@ def p34(spark, sf):
 def p24(spark, sf):
     blk, out = essay_blocks(spark, sf), None
     for e in ("explicit", "proxy"):
-        p = B.pair_rows(B.with_pairs(blk, EDUCATION, e), ["record_id", "template", "encoding"])
+        p = B.pair_rows(blk, EDUCATION, e, ["record_id", "template", "encoding"], texts=False)
         out = p if out is None else out.unionByName(p)
     return out.groupBy("encoding", "axis", "suffix", "cell_a", "cell_b", "label_a", "label_b").agg(F.count(F.lit(1)).alias("pairs"))
 
