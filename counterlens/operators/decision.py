@@ -83,7 +83,7 @@ def summaries(wide: DataFrame, by: list[str], key: str, names: list[str], scale:
     ``scale`` also the mean in units of that column's SD, re-estimated in every replicate."""
     safe = {n: f"v{i}" for i, n in enumerate(names)}
     base = wide.select(*by, key, *[F.col(f"`{n}`").alias(a) for n, a in safe.items()],
-                       *([F.col(f"`{scale}`").alias("u")] if scale else []), F.lit(1.0).alias("one"))
+                       *([F.col(f"`{scale}`").alias("u")] if scale else []), F.lit(1.0).alias("one")).persist()
     point = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *([F.stddev_samp("u").alias("scale_sd")] if scale else []),
         *[F.struct(F.avg(a).alias("mean"), F.stddev_samp(a).alias("sd"),
@@ -161,7 +161,7 @@ def balanced_summaries(wide: DataFrame, by: list[str], key: str, strong: str, na
     """The mean of the strong-record and weak-record means, with each group resampled on its own."""
     safe = {n: f"v{i}" for i, n in enumerate(names)}
     base = wide.select(*by, key, strong, *[F.col(f"`{n}`").alias(a) for n, a in safe.items()],
-                       F.lit(1.0).alias("one"))
+                       F.lit(1.0).alias("one")).persist()
     s = F.col(strong)
 
     def halves(frame: DataFrame, groups: list[str]) -> DataFrame:

@@ -71,6 +71,7 @@ def index_clusters(clusters: DataFrame, key: str, by: list[str]) -> DataFrame:
 def replicate_sums(clusters: DataFrame, key: str, sums: list[str], by: list[str],
                    replicates: int, seed: int, salt: int = 0) -> DataFrame:
     """Per group and replicate the sums of ``sums`` over the drawn clusters: rows (by, b, sums...)."""
+    clusters = clusters.select(*by, key, *sums).persist()         # read for the ranks and for the bucket sizes
     indexed = index_clusters(clusters, key, by).select(*by, "idx", *sums)
     small = broadcast_if_small(indexed)
     sizes = indexed.groupBy(*by).agg((F.max("idx") + 1).alias("__n"))
@@ -101,7 +102,7 @@ def cluster_bootstrap(items: DataFrame, cluster: str, sums: Mapping[str, Column]
     by = list(by)
     names = list(sums)
     collapsed = items.groupBy(*by, cluster).agg(
-        *[F.sum(e).alias(s) for s, e in sums.items()], F.count(F.lit(1)).alias("__items"))
+        *[F.sum(e).alias(s) for s, e in sums.items()], F.count(F.lit(1)).alias("__items")).persist()
     totals = collapsed.groupBy(*by).agg(
         *[F.sum(s).alias(s) for s in names], F.count(F.lit(1)).alias("n_clusters"),
         F.sum("__items").alias("n_items"))
@@ -164,6 +165,7 @@ def auc_replicates(scored: DataFrame, by: list[str], key: str, score: str, posit
     the negatives below come from a two-level running total; replicates are never materialised as samples."""
     from counterlens.operators.ranking import running_totals, with_bucket
 
+    scored = scored.select(*by, key, score, positive).persist()
     people = scored.select(key, positive).distinct()
     indexed = index_clusters(people, key, [positive])
     sizes = indexed.groupBy(positive).agg((F.max("idx") + 1).alias("__n"))

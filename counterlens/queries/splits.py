@@ -98,8 +98,9 @@ record_pairs AS (SELECT pairing, prompt, x, y, row_number() OVER (PARTITION BY p
 
 
 def record_pairs(spark, sf):
-    pooled = S.pool_shares(recs(spark, sf), "record_id", "strong", SEED)
-    return S.draw_pairs(pooled, "record_id", "prompt", SEED).withColumnRenamed("index", "idx")
+    from counterlens.session import cut_lineage
+    pooled = cut_lineage(S.pool_shares(recs(spark, sf), "record_id", "strong", SEED))
+    return cut_lineage(S.draw_pairs(pooled, "record_id", "prompt", SEED).withColumnRenamed("index", "idx"))
 
 
 @query("j6_record_pairs", f"WITH {SQL_RECORDS}, {SQL_POOLS}, {SQL_DRAWN} SELECT pairing, prompt, x, y, idx FROM record_pairs")
