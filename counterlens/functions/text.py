@@ -80,8 +80,8 @@ def neutral_pronouns(text) -> Column:
     """Gendered pronouns to singular they, keeping an initial capital."""
     out = _c(text)
     for word, repl in PRONOUNS:
-        upper = f"{LEFT}{word[0].upper()}(?i:{word[1:]}){RIGHT}"
-        lower = f"{LEFT}{word[0]}(?i:{word[1:]}){RIGHT}"
+        # the letter first, then the look-behind: most positions fail on one comparison
+        upper, lower = (f"{c}(?<![\\p{{L}}\\p{{N}}_]{c})(?i:{word[1:]}){RIGHT}" for c in (word[0].upper(), word[0]))
         out = F.regexp_replace(F.regexp_replace(out, upper, repl.capitalize()), lower, repl)
     return out
 
@@ -90,7 +90,7 @@ def repair_agreement(text) -> Column:
     """``they has`` and the like; then a capital on a sentence-opening ``the applicant``."""
     out = _c(text)
     for have, want in AGREEMENT:
-        out = F.regexp_replace(out, f"{LEFT}([tT]hey) {have}{RIGHT}", f"$1 {want}")
+        out = F.regexp_replace(out, f"([tT](?<![\\p{{L}}\\p{{N}}_][tT])hey) {have}{RIGHT}", f"$1 {want}")
     return F.regexp_replace(out, f"(^|[.!?]\\s+)the applicant{RIGHT}", "$1The applicant")
 
 

@@ -20,6 +20,7 @@ DEFAULT_REPLICATES = 2000
 MODULUS = 2147483647                       # a prime; x -> x^5 permutes its residues
 ROUND_KEYS = (715827883, 1431655765, 178956971, 1073741827)
 CHUNK = 4096
+SLOT = 1 << 33                             # more clusters than any group has
 
 Sums = Mapping[str, Column]
 Stat = Callable[[Sums], Column]
@@ -70,14 +71,19 @@ def index_clusters(clusters: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 def replicate_sums(clusters: DataFrame, key: str, sums: list[str], by: list[str],
                    replicates: int, seed: int, salt: int = 0) -> DataFrame:
-    """Per group and replicate the sums of ``sums`` over the drawn clusters: rows (by, b, sums...)."""
-    clusters = clusters.select(*by, key, *sums).persist()         # read for the ranks and for the bucket sizes
-    indexed = index_clusters(clusters, key, by).select(*by, "idx", *sums)
-    small = broadcast_if_small(indexed)
-    sizes = indexed.groupBy(*by).agg((F.max("idx") + 1).alias("__n"))
-    draws = replicate_draws(sizes, by, "__n", replicates, seed, salt)
-    joined = null_safe_join(draws, small, list(by) + ["idx"], plain=("idx",))
-    return joined.groupBy(*by, "b").agg(*[F.sum(s).alias(s) for s in sums])
+    """Per group and replicate the sums of ``sums`` over the drawn clusters: rows (by, b, sums...).
+
+    A draw meets its cluster on one long (group number and index), and the group columns come back at the end, so the
+    many draw rows stay three longs wide."""
+    clusters = clusters.select(*by, key, *sums).persist()         # read for the ranks and for the group sizes
+    groups = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) if by else F.lit(1)
+    groups = broadcast_if_small(groups.withColumn("__g", number.cast("long")))
+    slot = (F.col("__g") * F.lit(SLOT) + F.col("idx")).alias("__slot")
+    indexed = null_safe_join(index_clusters(clusters, key, by), groups, by).select(slot, *sums)
+    draws = replicate_draws(groups.select("__g", "__n"), ["__g"], "__n", replicates, seed, salt).select("__g", "b", slot)
+    sampled = draws.join(broadcast_if_small(indexed), "__slot").groupBy("__g", "b").agg(*[F.sum(s).alias(s) for s in sums])
+    return sampled.join(groups, "__g").select(*by, "b", *sums)
 
 
 def intervals(boot: DataFrame, by: list[str], names: list[str], low: float = 0.025,

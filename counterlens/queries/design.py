@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from counterlens.operators import blocks as B, rules as R
 from counterlens.operators.design import CREDIT, EDUCATION, HIRING, NAME_POOLS, STAGES, stage_clauses
 from counterlens.operators.ranking import auc
-from counterlens.queries.base import SEED, SQL_RECORDS, literal_rows, r9, records, sql_h15, table
+from counterlens.queries.base import SEED, SQL_RECORDS, literal_rows, r9, records, spread, sql_h15, table
 from counterlens.queries.registry import query
 from counterlens.sources import codebook as C
 
@@ -166,7 +166,7 @@ def p12(spark, sf):
 
 # ---- essay blocks over whole documents -------------------------------------------------------------------------------------
 def essay_blocks(spark, sf, keep=("strong",)):
-    r = records(spark, sf).withColumn("assignment", F.concat(F.lit("Task "), F.col("prompt"), F.lit(".")))
+    r = spread(records(spark, sf), "record_id").withColumn("assignment", F.concat(F.lit("Task "), F.col("prompt"), F.lit(".")))
     slots = {"assignment": C.assignment_block(F.col("assignment")), "body": F.col("text")}
     return B.blocks(r, EDUCATION, ["edu_v1", "edu_v2"], lambda t, m: C.render(C.ESSAY_TEMPLATES[t], slots, m), SEED, "record_id", list(keep))
 
