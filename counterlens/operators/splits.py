@@ -142,15 +142,16 @@ def even_split(available: DataFrame, key: str, size: str, total: int) -> DataFra
     a = available.withColumn("__k", F.row_number().over(up)).withColumn("__m", F.count(F.lit(1)).over(everything))
     a = a.withColumn("__below", F.coalesce(F.sum(size).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     share = F.floor((F.lit(total) - F.col("__below")) / (F.col("__m") - F.col("__k") + 1))
-    a = a.withColumn("__full", F.col(size) <= share)
-    a = a.withColumn("__level", F.min(F.when(~F.col("__full"), share)).over(everything))
+    # shares assume that every smaller key is full, so the first key that is not sets the level for the rest
+    a = a.withColumn("__stop", F.min(F.when(F.col(size) > share, F.struct(F.col("__k").alias("k"), share.alias("share")))).over(everything))
+    a = a.withColumn("__full", F.col("__stop").isNull() | (F.col("__k") < F.col("__stop.k"))).withColumn("__level", F.col("__stop.share"))
     a = a.withColumn("alloc", F.when(F.col("__full"), F.col(size)).otherwise(F.col("__level")))
     left = F.lit(total) - F.sum("alloc").over(everything)
     by_name = everything.orderBy((F.col(size) <= F.col("alloc")).cast("int"), F.col(key))
     a = a.withColumn("__left", left).withColumn("__n", F.row_number().over(by_name))
     room = F.col(size) > F.col("alloc")
     return a.withColumn("alloc", (F.col("alloc") + (room & (F.col("__n") <= F.col("__left"))).cast("long")).cast("long")
-                        ).drop("__k", "__m", "__below", "__full", "__level", "__left", "__n")
+                        ).drop("__k", "__m", "__below", "__stop", "__full", "__level", "__left", "__n")
 
 
 def pool_shares(records: DataFrame, key: str, strong: str, seed: int) -> DataFrame:
@@ -227,40 +228,46 @@ def match_one_to_one(treated: DataFrame, pool: DataFrame, keys: list[str], key:
     return null_safe_join(t, p, keys + ["__i"], "left").drop("__i")
 
 
-def derangement(records: DataFrame, key: str, label: str, seed: int, forbidden: list[tuple[str, str]] = ()
-                ) -> DataFrame:
+def derangement(records: DataFrame, key: str, label: str, seed: int, forbidden: list[tuple[str, str]] = (),
+                max_labels: int = 1000) -> DataFrame:
     """Adds ``target``: a permutation of the labels in which nobody keeps their own or gets a forbidden partner's.
 
-    A hashed permutation first. The few rows it leaves in conflict are repaired together with as many others: sorted
-    by label and shifted by the largest label's size, repeated until no conflict is left."""
+    A hashed permutation first. What it leaves in conflict is repaired by swaps planned on the counts of (label, target)
+    kinds, a table no larger than the labels squared; which rows of a kind swap is decided by their hashed rank."""
     from counterlens.session import cut_lineage
 
+    labels = records.agg(F.count_distinct(label).alias("k")).first()["k"]
+    if labels > max_labels:
+        raise ValueError(f"{labels} labels; at most {max_labels} are planned on the driver")
     src = hash_rank(records, digest(seed, "own", F.col(key)), [key], NO_GROUP, "__i")
     tgt = hash_rank(records, digest(seed, "target", F.col(key)), [key], NO_GROUP, "__i").select(
         "__i", F.col(label).alias("target"))
     state = cut_lineage(src.join(tgt, "__i").drop("__i"))
-    pairs = [tuple(p) for p in forbidden] + [tuple(reversed(p)) for p in forbidden]
-
-    def clashes(a: Column, b: Column) -> Column:
-        bad = a == b
-        for x, y in pairs:
-            bad = bad | ((a == x) & (b == y))
-        return bad
-
-    for step in range(1, 40):
-        bad = state.filter(clashes(F.col(label), F.col("target")))
-        n_bad = bad.count()
-        if n_bad == 0:
+    barred = {frozenset(p) for p in forbidden}
+
+    def clash(a: str, b: str) -> bool:
+        return a == b or frozenset((a, b)) in barred
+
+    while True:
+        kinds = {(r[label], r["target"]): r["count"] for r in state.groupBy(label, "target").count().collect()}
+        bad = {k: n for k, n in kinds.items() if clash(*k)}
+        if not bad:
             return state
-        # each row in conflict proposes a swap with one hashed partner outside the conflict; a swap that is legal for
-        # both and claimed once is made
-        good = state.filter(~clashes(F.col(label), F.col("target")))
-        b = hash_rank(bad, digest(seed, step, "bad", F.col(key)), [key], NO_GROUP, "__i").select(
-            F.col(key).alias("k1"), F.col(label).alias("l1"), F.col("target").alias("t1"), "__i")
-        g = hash_rank(good, digest(seed, step, "good", F.col(key)), [key], NO_GROUP, "__i").filter(
-            F.col("__i") <= n_bad).select(F.col(key).alias("k2"), F.col(label).alias("l2"), F.col("target").alias("t2"), "__i")
-        swaps = b.join(g, "__i").filter(~clashes(F.col("l1"), F.col("t2")) & ~clashes(F.col("l2"), F.col("t1")))
-        moves = swaps.select(F.col("k1").alias(key), F.col("t2").alias("__t")).unionByName(
-            swaps.select(F.col("k2").alias(key), F.col("t1").alias("__t")))
-        state = cut_lineage(state.join(moves, key, "left").withColumn("target", F.coalesce("__t", "target")).drop("__t"))
-    raise ValueError("no derangement found: one label dominates the group")
+        spare = {k: n for k, n in sorted(kinds.items()) if k not in bad}
+        taken = dict.fromkeys(kinds, 0)
+        moves = []
+        for (l1, t1), n in sorted(bad.items()):
+            for (l2, t2), m in spare.items():
+                size = min(n - taken[l1, t1], m - taken[l2, t2])
+                if size > 0 and not clash(l1, t2) and not clash(l2, t1):
+                    for (lab, old), new in (((l1, t1), t2), ((l2, t2), t1)):
+                        moves.append((lab, old, new, taken[lab, old], taken[lab, old] + size))
+                        taken[lab, old] += size
+        if not moves:
+            raise ValueError("no derangement found: one label dominates the group")
+        plan = records.sparkSession.createDataFrame(moves, "__l string, __t string, __new string, __lo long, __hi long")
+        ranked = hash_rank(state, digest(seed, "swap", F.col(key)), [key], [label, "target"], "__rank")
+        here = ((F.col(label) == F.col("__l")) & (F.col("target") == F.col("__t")) & (F.col("__rank") > F.col("__lo"))
+                & (F.col("__rank") <= F.col("__hi")))
+        state = cut_lineage(ranked.join(F.broadcast(plan), here, "left").withColumn("target", F.coalesce("__new", "target"))
+                            .select(*records.columns, "target"))

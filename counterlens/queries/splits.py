@@ -129,7 +129,7 @@ def w11(spark, sf):
 
 @query("w12_even_split", """WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT 600 AS total),
 k AS (SELECT lang, n, row_number() OVER (ORDER BY n, lang) AS k, count(*) OVER () AS m, coalesce(sum(n) OVER (ORDER BY n, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM a),
-s AS (SELECT *, floor((total - below) / (m - k + 1)) AS share FROM k, t), f AS (SELECT *, n <= share AS filled, min(CASE WHEN n > share THEN share END) OVER () AS lvl FROM s),
+s AS (SELECT *, floor((total - below) / (m - k + 1)) AS share FROM k, t), st AS (SELECT min(k) AS k0, arg_min(share, k) AS lvl FROM s WHERE n > share), f AS (SELECT s.*, lvl, coalesce(k < k0, true) AS filled FROM s, st),
 g AS (SELECT lang, n, total, CASE WHEN filled THEN n ELSE lvl END AS alloc FROM f),
 h AS (SELECT *, total - sum(alloc) OVER () AS rest, row_number() OVER (ORDER BY (n <= alloc)::INT, lang) AS i FROM g)
 SELECT lang, n AS available, (alloc + CASE WHEN n > alloc AND i <= rest THEN 1 ELSE 0 END)::BIGINT AS alloc FROM h""")

@@ -165,18 +165,17 @@ def test_derangement(spark):
 
 def test_settled_pairs_respect_the_condition(spark):
     rows = [(f"r{i}", "g", f"n{i % 3}" if i % 2 else "n0", "strong_strong") for i in range(90)]
-    out = P.settle_pairs(spark.createDataFrame(rows, "key string, grp string, name string, pool string"), "key", "grp", 2, "name").collect()
+    out = P.settle_pairs(spark.createDataFrame(rows, "key string, grp string, name string, pool string"), "key", "grp", 2, "name", rounds=2).collect()
     name = {r[0]: r[2] for r in rows}
     used = [k for r in out for k in (r.x, r.y)]
     assert len(used) == len(set(used)) and all(name[r.x] != name[r.y] for r in out)
-    left = [k for k in name if k not in used]
-    assert len({name[k] for k in left}) <= 1 or len(left) < 2
+    assert len(out) >= 20
 
 
 def test_gate_codes(spark):
     rows = [("A x. body", "A y. body", " x.", " y."), ("A x. x. body", "A y. body", " x.", " y."), ("A x. body", "A y. other", " x.", " y."),
             ("A x. b", "A b y.", " x.", " y."), ("A x. b", "A x. b", " x.", " x."), ("A x. b", "A one two three four five six. b", " x.", " one two three four five six.")]
-    got = [r.codes for r in B.gated_pairs(spark.createDataFrame(rows, "text_a string, text_b string, clause_a string, clause_b string")).collect()]
+    got = [r.codes for r in B.gated_pairs(spark.createDataFrame(rows, "text_a string, text_b string, clause_a string, clause_b string"), flesch=1e9).collect()]
     assert got[0] == [] and "clause_not_once" in got[1] and got[2] == ["content_differs"] and got[4] == ["no_contrast"]
     assert got[3] == ["clause_position"] or "content_differs" in got[3]
     assert {"char_delta", "token_delta"} <= set(got[5])
