@@ -31,7 +31,13 @@ def _norm(v):
     return v
 
 
-def compare(df, con, sql: str) -> list[str]:
+def _same(a, b, tolerance: float) -> bool:
+    """Equal, or floats within the last rounded digit (a value that lies exactly on a rounding tie)."""
+    return a == b or (tolerance > 0 and all(
+        x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= tolerance) for x, y in zip(a, b)))
+
+
+def compare(df, con, sql: str, tolerance: float = 0.0) -> list[str]:
     """Problems found; empty when rows, names, types and values agree."""
     import time
     problems = []
@@ -56,7 +62,7 @@ def compare(df, con, sql: str) -> list[str]:
     theirs = sorted((tuple(_norm(r[i]) for i in at) for r in theirs_raw), key=repr)
     if len(ours) != len(theirs):
         problems.append(f"rows {len(ours)} vs {len(theirs)}")
-    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
+    bad = [(a, b) for a, b in zip(ours, theirs) if not _same(a, b, tolerance)]
     if bad:
         problems.append(f"{len(bad)} rows differ, e.g. {cols}\n   {bad[0][0]}\n   {bad[0][1]}")
     if not ours:
