@@ -97,8 +97,10 @@ def with_pairs(block: DataFrame, design: FactorialDesign, encoding: str, **thres
 
 
 def kept_blocks(paired: DataFrame) -> DataFrame:
-    """Blocks all of whose pairs pass: a block is dropped whole, so the factorial stays balanced."""
-    return paired.filter(F.forall("pairs", lambda p: F.size(p["codes"]) == 0))
+    """Blocks all of whose pairs pass: a block is dropped whole, so the factorial stays balanced. A generator keeps the row
+    or not: a filter would be pushed below the pairs and evaluate the gate's features once per pair."""
+    ok = F.forall("pairs", lambda p: F.size(p["codes"]) == 0)
+    return paired.withColumn("__keep", F.explode(F.when(ok, F.array(F.lit(1))))).drop("__keep")
 
 
 def gate_tally(paired: DataFrame) -> DataFrame:
