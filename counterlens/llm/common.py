@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_key(text: str = "text") -> Column:
     """Tells rows with one id and different texts apart; rows equal in both are the same document."""
-    return F.xxhash64(F.col(text))
+    return F.hash(F.col(text))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -51,6 +52,23 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__
 
 
+class Carried:
+    """A broadcast object of this package's classes, unpacked once per worker."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._name = f"carried-{uuid.uuid4().hex}"
+
+    @property
+    def value(self):
+        cache = worker_cache()
+        if self._name not in cache:
+            for k in [k for k in cache if k.startswith("carried-")]:
+                del cache[k]
+            cache[self._name] = cloudpickle.loads(self._bytes.value)
+        return cache[self._name]
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES):
     """(rows, bytes, offsets) of at most ``limit`` text bytes, or one row; a null text is empty."""
     for batch in batches:

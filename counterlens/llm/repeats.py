@@ -4,7 +4,7 @@ A window of ``width`` words has an anchor: the smallest hash among its runs of `
 equal anchors at equal offsets, so a window can only be repeated if its anchor occurs at two positions, and the
 number of occurrences of the anchor bounds the window's from above. First pass: every partition writes the
 sketch of its anchors' positions; merged cell by cell, the sketch never counts an anchor below its true number.
-Second pass: only windows whose anchor is estimated at two or more are grouped by a 128-bit hash of their words;
+Second pass: only windows whose anchor is estimated at two or more are grouped by a 96-bit hash of their words;
 of each group the occurrence with the smallest (doc_id, start) stays and the words of every other one go. The
 sketch loses no repeated window; what it lets through wrongly costs a row and is found single.
 
@@ -37,6 +37,7 @@ WIDTH, GRAM = 20, 10
 CELLS = 1 << 27          # cells of each of the two sketch rows
 SLICE = 1 << 21          # cells that one merging step holds
 FLUSH = 2_000_000        # windows a task gathers before it writes the earliest of each
+GROUP = 500_000          # windows settled at once
 _SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -72,7 +73,7 @@ def _read(data, offsets):
     return words, doc, ends_at[doc] - np.arange(len(words)) if len(words) else np.empty(0, np.int64)
 
 
-def _sketch(cells: int, width: int, gram: int):
+def _sketch(cells: int, anchors_of):
     """Task function: cells that this partition's anchors hit, each at most twice, by (row, slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -90,8 +91,7 @@ def _sketch(cells: int, width: int, gram: int):
                     "hits": pa.array([x.astype(np.uint32).tobytes() for x in np.split(at % SLICE, cut[1:])], pa.binary())})
 
         for _, data, offsets in text_chunks(batches):
-            words, _, left = _read(data, offsets)
-            found.append(_anchor_positions(words, _anchors(words, left, width, gram), width, gram))
+            found.append(anchors_of(data, offsets))
             if sum(map(len, found)) >= FLUSH:
                 yield from flush()
         if found and sum(map(len, found)):
@@ -122,9 +122,18 @@ def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
-def sketch(docs: DataFrame, cells: int = CELLS, width: int = WIDTH, gram: int = GRAM) -> list[np.ndarray]:
-    """The two merged bitmaps; their size is fixed by ``cells``."""
-    hits = docs.select("text").mapInArrow(_sketch(cells, width, gram), "slice int, hits binary")
+def word_anchors(width: int, gram: int):
+    """Bytes and offsets of some texts to the anchors of their windows."""
+    def run(data, offsets):
+        words, _, left = _read(data, offsets)
+        return _anchor_positions(words, _anchors(words, left, width, gram), width, gram)
+
+    return run
+
+
+def sketch(docs: DataFrame, anchors_of, cells: int = CELLS) -> list[np.ndarray]:
+    """The two merged bitmaps of cells hit twice or more; their size is fixed by ``cells``."""
+    hits = docs.select("text").mapInArrow(_sketch(cells, anchors_of), "slice int, hits binary")
     merged = (hits.repartition(shuffle_partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
               .mapInPandas(_merge, "slice int, bits binary"))
     rows = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
@@ -135,57 +144,76 @@ def sketch(docs: DataFrame, cells: int = CELLS, width: int = WIDTH, gram: int =
     return rows
 
 
+def hit_twice(bits: list[np.ndarray], anchors: np.ndarray, cells: int) -> np.ndarray:
+    """Which anchors (0: none) both sketch rows estimate at two or more."""
+    ok = anchors != 0
+    for row in range(2):
+        at = _cells(anchors[ok], row, cells)
+        hit = (bits[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        ok[np.flatnonzero(ok)[hit == 0]] = False
+    return ok
+
+
+def in_order(h1, h2, null, ids, key, start):
+    """Sorted by window, then by place: null ids first."""
+    order = np.lexsort((start, key, ids, ~null, h2, h1))
+    return tuple(x[order] for x in (h1, h2, null, ids, key, start))
+
+
+def first_and_later(h1, h2, null, ids, key, start):
+    """Of sorted places: the first of each window, and those at another place than the first."""
+    first = np.ones(len(h1), bool)
+    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    own = np.maximum.accumulate(np.where(first, np.arange(len(h1)), 0))
+    later = (ids != ids[own]) | (null != null[own]) | (key != key[own]) | (start != start[own])
+    return first, later
+
+
+def runs(null, ids, key, start):
+    """Consecutive starts in one document as (…, start, number)."""
+    order = np.lexsort((start, key, ids, ~null))
+    null, ids, key, start = (x[order] for x in (null, ids, key, start))
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    last = np.append(at, len(ids))[1:] - 1
+    return null[at], ids[at], key[at], start[at], start[last] - start[at] + 1
+
+
 def _candidates(held, cells: int, width: int, gram: int):
     """Task function: windows that the sketch calls repeated. ``run`` 0: the earliest of its kind here; otherwise
     so many consecutive windows that an earlier one in this partition equals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
 
-        def twice(anchors):
-            ok = anchors != 0
-            for row in range(2):
-                at = _cells(anchors[ok], row, cells)
-                hit = (bits[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-                ok[np.flatnonzero(ok)[hit == 0]] = False
-            return ok
-
         parts: list[tuple] = []
 
         def rows(h1, h2, null, ids, key, start, length):
             return pa.RecordBatch.from_arrays([
-                pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, mask=null), pa.array(key),
+                pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(ids, mask=null), pa.array(key),
                 pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["h1", "h2", "doc_id", "key", "start", "run"])
 
         def flush():
-            h1, h2, null, ids, key, start = (np.concatenate(x) for x in zip(*parts))
+            h1, h2, null, ids, key, start = in_order(*(np.concatenate(x) for x in zip(*parts)))
             parts.clear()
-            order = np.lexsort((start, key, ids, ~null, h2, h1))
-            h1, h2, null, ids, key, start = (x[order] for x in (h1, h2, null, ids, key, start))
-            first = np.ones(len(h1), bool)
-            first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            first, later = first_and_later(h1, h2, null, ids, key, start)
             yield rows(*(x[first] for x in (h1, h2, null, ids, key, start)), np.zeros(int(first.sum())))
-            h1, h2, null, ids, key, start = (x[~first] for x in (h1, h2, null, ids, key, start))
-            order = np.lexsort((start, key, ids, null))
-            h1, h2, null, ids, key, start = (x[order] for x in (h1, h2, null, ids, key, start))
-            if len(h1):
-                fresh = np.ones(len(h1), bool)
-                fresh[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
-                at = np.flatnonzero(fresh)
-                length = np.diff(np.append(at, len(h1)))
+            if later.any():
+                null, ids, key, start, length = runs(*(x[later] for x in (null, ids, key, start)))
                 # runs need no partner: the hash of their own place keeps them alone in their group
-                own = mix(ids[at].view(np.uint64) ^ mix(start[at].astype(np.uint64)))
-                yield rows(own, mix(key[at].view(np.uint64) ^ own), null[at], ids[at], key[at], start[at], length)
+                own = mix(ids.view(np.uint64) ^ mix(start.astype(np.uint64) ^ mix(key.astype(np.uint64))))
+                yield rows(own, mix(own).astype(np.uint32), null, ids, key, start, length)
 
         for batch, data, offsets in text_chunks(batches):
             words, doc, left = _read(data, offsets)
-            keep = np.flatnonzero(twice(_anchors(words, left, width, gram)))
+            keep = np.flatnonzero(hit_twice(bits, _anchors(words, left, width, gram), cells))
             if not len(keep):
                 continue
             other = mix(words ^ np.uint64(BASES[1]))
             starts_at = np.searchsorted(doc, np.arange(batch.num_rows))
             ids = batch.column("doc_id")
             own = doc[keep]
-            parts.append((mix(rolling(words, width, BASES[0])[keep]), mix(rolling(other, width, BASES[1])[keep]),
+            parts.append((mix(rolling(words, width, BASES[0])[keep]), mix(rolling(other, width, BASES[1])[keep]).astype(np.uint32),
                           np.asarray(ids.is_null())[own], ids.fill_null(0).to_numpy(zero_copy_only=False)[own],
                           batch.column("key").to_numpy(zero_copy_only=False)[own], keep - starts_at[own]))
             if sum(len(p[0]) for p in parts) >= FLUSH:
@@ -196,19 +224,50 @@ def _candidates(held, cells: int, width: int, gram: int):
     return run
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by window: every place but the first, in runs."""
+    def settle(t: pa.Table):
+        columns = ["doc_id", "key", "start", "run"]
+        known = t.column("run").to_numpy() > 0
+        yield from t.filter(pa.array(known)).select(columns).to_batches()
+        t = t.filter(pa.array(~known))
+        ids = t.column("doc_id")
+        places = in_order(t.column("h1").to_numpy(), t.column("h2").to_numpy(), np.asarray(ids.is_null()), ids.fill_null(0).to_numpy(),
+                          t.column("key").to_numpy(), t.column("start").to_numpy())
+        _, later = first_and_later(*places)
+        null, ids, key, start, length = runs(*(x[later] for x in places[2:]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(key), pa.array(start), pa.array(length, pa.int32())], names=columns)
+
+    yield from by_whole_groups(batches, ("h1", "h2"), GROUP, settle)
+
+
+def by_whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, str], size: int, settle):
+    """Calls ``settle`` on tables of about ``size`` rows that hold all rows of each key; rows come sorted by key."""
+    held: list[pa.Table] = []
+    n = 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        n += len(batch)
+        if n >= size:
+            t = pa.concat_tables(held).combine_chunks()
+            a, b = (t.column(c).to_numpy() for c in keys)
+            whole = int(np.flatnonzero((a == a[-1]) & (b == b[-1]))[0])           # the last key may go on
+            if whole:
+                yield from settle(t.slice(0, whole).combine_chunks())
+            held, n = [t.slice(whole)], len(t) - whole
+    if n:
+        yield from settle(pa.concat_tables(held).combine_chunks())
+
+
 def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """doc_id, key, start, run: starts of windows whose words also start earlier (``run`` consecutive ones)."""
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
-    held = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells, width, gram))
+    held = docs.sparkSession.sparkContext.broadcast(sketch(docs, word_anchors(width, gram), cells))
     found = keyed.mapInArrow(_candidates(held, cells, width, gram),
-                             "h1 long, h2 long, doc_id long, key long, start int, run int")
-    # The earliest of each window per partition, then of all: at most one row per window and partition meets here.
-    place = F.struct("doc_id", "key", "start")
-    kinds = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.collect_list(F.struct(
-        "doc_id", "key", "start", "run")).alias("all"))
-    later = kinds.select("first", F.explode("all").alias("w")).filter(
-        (F.col("w.run") > 0) | ~F.struct("w.doc_id", "w.key", "w.start").eqNullSafe(F.col("first")))
-    return later.select("w.doc_id", "w.key", "w.start", F.greatest(F.lit(1), "w.run").alias("run"))
+                             "h1 long, h2 int, doc_id long, key int, start int, run int")
+    # The earliest of each window per task, then of all: at most one row per window and flush meets here.
+    return (found.repartition(shuffle_partitions(docs.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2")
+            .mapInArrow(_settle, "doc_id long, key int, start int, run int"))
 
 
 def _cut(width: int):
