@@ -1 +1,8 @@
 """Paired-counterfactual audits of scoring models, expressed as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -191,11 +191,10 @@ def sentence_boundaries(text) -> Column:
     pieces = F.regexp_extract_all(t, F.lit("(?s).*?[.?!][\"']?(?=[ \n])|.+$"), F.lit(0))
 
     def keeps(p: Column, nxt: Column) -> Column:
-        tail = F.substring(p, -48, 48)
-        word = F.regexp_extract(tail, "([A-Za-z][A-Za-z.]*)\\.$", 1)
+        word = F.regexp_extract(p, "([A-Za-z][A-Za-z.]*)\\.$", 1)
         initial = F.rlike(word, F.lit("^[A-Z]$")) & (word != "I")
         acronym = F.rlike(word, F.lit("^[^.](?:\\.[^.])+$")) & nxt.startswith(" ")
-        return ~(tail.endswith(".") & (F.lower(word).isin(ABBREVIATIONS) | initial | acronym))
+        return ~(p.endswith(".") & (F.lower(word).isin(ABBREVIATIONS) | initial | acronym))
 
     following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
     marked = F.zip_with(pieces, following, lambda p, nxt: F.struct(

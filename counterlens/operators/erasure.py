@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -155,10 +155,14 @@ def verdict(none_low: Column, erased_low: Column) -> Column:
             .when(erased_low > 0, "non-linearly recoverable after erasure (entangled)").otherwise("not recoverable after erasure (low-complexity)"))
 
 
-def bag_of_words(train: DataFrame, evaluate: DataFrame, text: str, pattern: str = "[A-Za-z']+", min_texts: int = 1):
-    """Binary word vectors of ``evaluate`` over the training texts' vocabulary; returns (frame with ``bag``, model)."""
-    tokens = RegexTokenizer(inputCol=text, outputCol="__w", pattern=pattern, gaps=False, toLowercase=True)
-    model = CountVectorizer(inputCol="__w", outputCol="bag", binary=True, minDF=float(min_texts)).fit(tokens.transform(train))
-    return model.transform(tokens.transform(evaluate)).drop("__w"), model
-
+def bag_of_words(train: DataFrame, evaluate: DataFrame, key: str, text: str, pattern: str = "[A-Za-z']+", min_texts: int = 1) -> DataFrame:
+    """The binary bag of each text over all words of the training texts: rows (key, word), one per distinct known word,
+    a null word where a text has none. The vocabulary is a table as large as it needs to be and meets the words on the
+    word; it never passes through the driver."""
+    def words(df: DataFrame) -> DataFrame:
+        found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
+        return df.select(key, F.explode(found).alias("word"))
 
+    known = words(train).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts).select("word")
+    held = words(evaluate).join(known, "word")
+    return evaluate.select(key).join(held, key, "left")

@@ -1,26 +1,35 @@
-"""Bootstrap and permutation intervals as joins between a table of draws and a table of cluster sums.
+"""Bootstrap and permutation intervals from cluster sums.
 
 Every statistic here is a function of weighted sums over clusters, so items are summed per cluster once and
-a replicate only re-weights those sums. The draws are counter-based (`draw_number`): draw ``j`` of
-replicate ``b`` is a fixed function of (seed, b, j), the same for every statistic and every cluster layout,
-and plain long arithmetic, so a replicate costs no hashing of strings and no state.
+a replicate only re-weights those sums. The draws are counter-based: draw ``j`` of replicate ``b`` is a fixed
+function of (seed, b, j), the same for every statistic and every cluster layout, in plain long arithmetic.
+
+Clusters are ranked and dealt to blocks of ``BLOCK``. How many of a replicate's draws fall into a block is settled by
+binomial splits of the ranks (each split's generator is keyed by its range, so all blocks agree without talking), and
+a block's own draws are made and counted beside its clusters: no draw is ever a row, and only one partial sum per
+(group, block, replicate) is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterlens.operators.ranking import hash_rank, null_safe_join
-from counterlens.session import broadcast_if_small
+from counterlens.session import broadcast_if_small, shuffle_partitions
 
 DEFAULT_REPLICATES = 2000
 MODULUS = 2147483647                       # a prime; x -> x^5 permutes its residues
 ROUND_KEYS = (715827883, 1431655765, 178956971, 1073741827)
 CHUNK = 4096
-SLOT = 1 << 33                             # more clusters than any group has
+BLOCK = 4096                               # clusters whose draws are made together
+AT_ONCE = 250                              # replicates of a block that one task makes
+DRAW_LIMIT = 1 << 24                       # levels that one unblocked draw may choose among without bias
 
 Sums = Mapping[str, Column]
 Stat = Callable[[Sums], Column]
@@ -52,6 +61,8 @@ def replicate_draws(sizes: DataFrame, by: list[str], n: str, replicates: int, se
     over the cluster first, so a large ``n`` makes more tasks, not longer ones."""
     spark = sizes.sparkSession
     reps = spark.range(replicates).withColumnRenamed("id", "b")
+    fits = F.when(F.col(n) <= DRAW_LIMIT, F.col(n)).otherwise(F.raise_error(F.lit(f"draws choose among at most {DRAW_LIMIT} levels")))
+    sizes = sizes.withColumn(n, fits)
     chunks = (sizes.crossJoin(F.broadcast(reps))
               .withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / CHUNK).cast("int"))))
               .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b", "__c"))
@@ -69,21 +80,75 @@ def index_clusters(clusters: DataFrame, key: str, by: list[str]) -> DataFrame:
     return ranked.withColumn("idx", F.col("__rank") - 1).drop("__rank")
 
 
+def block_draws(n: int, block: int, replicates: int, seed: int) -> np.ndarray:
+    """How many of the ``n`` draws of each replicate fall into a block of ranks, by halving the range of blocks."""
+    low, high = 0, -(-n // BLOCK)
+    count = np.full(replicates, n, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left, whole = (mid - low) * BLOCK, min(n, high * BLOCK) - low * BLOCK
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed % MODULUS, low, high])))
+        first = rng.binomial(count, left / whole)
+        count, low, high = (first, low, mid) if block < mid else (count - first, mid, high)
+    return count
+
+
+def draws_in_block(size: int, b: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """``draws`` positions below ``size`` for each replicate number in ``b``; the arithmetic of `draw_number`."""
+    x = np.int64(seed % MODULUS)
+    for k, word in zip(ROUND_KEYS, (b[:, None], np.arange(draws)[None, :], 0)):
+        y = (x + k + word) % MODULUS
+        y4 = y * y % MODULUS
+        y4 = y4 * y4 % MODULUS
+        x = y4 * y % MODULUS
+    return x * size // MODULUS
+
+
+def _block_sums(by: list[str], sums: list[str], replicates: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column("__rows")[i].values
+                values = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in sums], axis=1).astype(float)
+                known = ~np.isnan(values)
+                values = np.where(known, values, 0.0)
+                n, block, size = batch.column("__n")[i].as_py(), batch.column("__block")[i].as_py(), len(values)
+                own = seed + 104729 * block
+                first = batch.column("__first")[i].as_py()
+                b = np.arange(first, min(first + AT_ONCE, replicates))
+                count = block_draws(n, block, replicates, seed)[b]
+                totals, seen = [], []
+                for at in range(0, len(b), 25):
+                    c = count[at:at + 25]
+                    idx = draws_in_block(size, b[at:at + 25], int(c.max(initial=0)), own)
+                    idx = np.where(np.arange(idx.shape[1])[None, :] < c[:, None], idx + 1, 0)
+                    flat = idx + (np.arange(len(c)) * (size + 1))[:, None]
+                    w = np.bincount(flat.reshape(-1), minlength=len(c) * (size + 1)).reshape(len(c), size + 1)[:, 1:].astype(float)
+                    totals.append(w @ values)
+                    seen.append(w @ known)
+                total, some = np.concatenate(totals), np.concatenate(seen) > 0
+                keys = batch.select(by).take(pa.array(np.full(len(b), i))).columns if by else []
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(b), *[pa.array(total[:, k], mask=~some[:, k]) for k in range(len(sums))]], names=[*by, "b", *sums])
+
+    return run
+
+
 def replicate_sums(clusters: DataFrame, key: str, sums: list[str], by: list[str],
                    replicates: int, seed: int, salt: int = 0) -> DataFrame:
-    """Per group and replicate the sums of ``sums`` over the drawn clusters: rows (by, b, sums...).
-
-    A draw meets its cluster on one long (group number and index), and the group columns come back at the end, so the
-    many draw rows stay three longs wide."""
-    clusters = clusters.select(*by, key, *sums).persist()         # read for the ranks and for the group sizes
+    """Per group and replicate the sums of ``sums`` over the drawn clusters: rows (by, b, sums...)."""
+    clusters = clusters.select(*by, key, *[F.col(s).cast("double").alias(s) for s in sums])
     groups = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) if by else F.lit(1)
-    groups = broadcast_if_small(groups.withColumn("__g", number.cast("long")))
-    slot = (F.col("__g") * F.lit(SLOT) + F.col("idx")).alias("__slot")
-    indexed = null_safe_join(index_clusters(clusters, key, by), groups, by).select(slot, *sums)
-    draws = replicate_draws(groups.select("__g", "__n"), ["__g"], "__n", replicates, seed, salt).select("__g", "b", slot)
-    sampled = draws.join(broadcast_if_small(indexed), "__slot").groupBy("__g", "b").agg(*[F.sum(s).alias(s) for s in sums])
-    return sampled.join(groups, "__g").select(*by, "b", *sums)
+    ranked = index_clusters(clusters, key, by).withColumn("__block", F.expr(f"idx div {BLOCK}"))
+    blocks = ranked.groupBy(*by, "__block").agg(F.sort_array(F.collect_list(F.struct("idx", *sums))).alias("__rows"))
+    blocks = null_safe_join(blocks, groups, by) if by else blocks.crossJoin(F.broadcast(groups))
+    starts = F.array(*[F.lit(i) for i in range(0, replicates, AT_ONCE)])
+    tasks = blocks.select(*by, "__n", "__block", F.explode(starts).alias("__first"), "__rows").repartition(
+        shuffle_partitions(clusters.sparkSession), *by, "__block", "__first")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in clusters.select(*by).schema.fields]
+    schema = ", ".join([*kinds, "b long", *[f"`{s}` double" for s in sums]])
+    partial = tasks.mapInArrow(_block_sums(by, sums, replicates, seed + 7919 * salt), schema)
+    return partial.groupBy(*by, "b").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def intervals(boot: DataFrame, by: list[str], names: list[str], low: float = 0.025,
@@ -108,7 +173,7 @@ def cluster_bootstrap(items: DataFrame, cluster: str, sums: Mapping[str, Column]
     by = list(by)
     names = list(sums)
     collapsed = items.groupBy(*by, cluster).agg(
-        *[F.sum(e).alias(s) for s, e in sums.items()], F.count(F.lit(1)).alias("__items")).persist()
+        *[F.sum(e).alias(s) for s, e in sums.items()], F.count(F.lit(1)).alias("__items"))
     totals = collapsed.groupBy(*by).agg(
         *[F.sum(s).alias(s) for s in names], F.count(F.lit(1)).alias("n_clusters"),
         F.sum("__items").alias("n_items"))

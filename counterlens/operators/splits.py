@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterlens.functions.keyed import coin, digest
-from counterlens.operators.ranking import hash_rank, largest_remainder, null_safe_join
+from counterlens.operators.ranking import hash_rank, null_safe_join, ordered_rank
 
 NO_GROUP: list[str] = []
 
@@ -52,7 +52,8 @@ def interleaved(members: DataFrame, record: str, member: str, seed: int) -> Data
 
 def first_in_turns(ordered: DataFrame, n: int) -> DataFrame:
     """The first ``n`` of an interleaved order."""
-    return ordered.orderBy("turn", "record_pos").limit(n)
+    ranked = ordered_rank(ordered, NO_GROUP, "turn", ["record_pos"], "__n")
+    return ranked.filter(F.col("__n") <= n).drop("__n")
 
 
 def split_report(df: DataFrame, record: str, stratum: str, side: str) -> DataFrame:
@@ -115,9 +116,9 @@ def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def seeded_order(df: DataFrame, key: str, seed, n: int | None = None) -> DataFrame:
-    """Seeded shuffle, optionally cut to its first ``n``: a top-n, never a full sort in one task."""
-    ordered = df.orderBy(digest(seed, F.col(key)), key)
-    return ordered.limit(n) if n else ordered
+    """Seeded shuffle, optionally its first ``n`` by a two-level rank, so neither all rows nor ``n`` meet in one task."""
+    order = digest(seed, F.col(key))
+    return hash_rank(df, order, [key], NO_GROUP, "__n").filter(F.col("__n") <= n).drop("__n") if n else df.orderBy(order, key)
 
 
 def select_per_class(df: DataFrame, key: str, label: str, n: int, seed: int) -> DataFrame:
@@ -193,31 +194,68 @@ def draw_pairs(pooled: DataFrame, key: str, group: str, seed: int) -> DataFrame:
     return out.select("pairing", group, "x", "y", (F.col("__n") - 1).alias("index"))
 
 
-def settle_pairs(pooled: DataFrame, key: str, group: str, seed: int, clash: str, rounds: int = 12) -> DataFrame:
-    """`draw_pairs` under a condition: two records with the same ``clash`` value may not be paired.
-
-    Pairs that clash are dissolved and their records drawn again, reshuffled, until a round makes no new pair
-    possible; a match group's records are never gathered in one task. Leftover records are those whose remaining
-    partners all clash."""
+def _class_order(df: DataFrame, by: list[str], clash: str, key: str, seed: int) -> DataFrame:
+    """Adds ``__i`` (1-based rank in the group, one clash class after the other, the largest first), ``__n`` rows and
+    ``__m`` rows of the largest class. A null class is a class."""
+    sizes = df.groupBy(*by, clash).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    order = group.orderBy(F.desc("__c"), clash)                                   # one row per class
+    sizes = sizes.select(*by, clash, F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+                         F.sum("__c").over(group).alias("__n"), F.max("__c").over(group).alias("__m"))
+    inside = hash_rank(df, digest(seed, "order", F.col(key)), [key], by + [clash], "__place")
+    placed = null_safe_join(inside, sizes, by + [clash])
+    return placed.withColumn("__i", F.col("__place") + F.coalesce("__before", F.lit(0))).drop("__place", "__before")
+
+
+def settle_pairs(pooled: DataFrame, key: str, group: str, seed: int, clash: str) -> DataFrame:
+    """Record pairs inside each match group under a condition: two records with the same ``clash`` value may not meet.
+    Rows (pairing, group, x, y); as many pairs as the condition allows, decided on the counts of clash classes.
+
+    Within one pool, ranks run class after class and rank i meets rank i + h, where h is half the group or its largest
+    class, whichever is more: two ranks that far apart are never of one class. Across the two pools of strong_weak the
+    classes of one side are taken in order and those of the other in reverse; what still clashes is drawn again, in
+    order and in reverse in turn, until neither makes a pair. A match group's
+    records are never gathered in one task."""
     from counterlens.session import cut_lineage
 
-    open_, done = pooled, None
-    attrs = pooled.select(key, F.col(clash).alias("__c"))
-    for step in range(rounds):
-        drawn = draw_pairs(open_, key, group, seed if step == 0 else seed + 1000003 * step)
-        checked = (drawn.join(attrs.withColumnRenamed(key, "x").withColumnRenamed("__c", "__cx"), "x")
-                   .join(attrs.withColumnRenamed(key, "y").withColumnRenamed("__c", "__cy"), "y"))
-        good = checked.filter(~F.col("__cx").eqNullSafe(F.col("__cy"))).select("pairing", group, "x", "y").withColumn(
-            "round", F.lit(step))
-        good = cut_lineage(good)
-        done = good if done is None else done.unionByName(good)
-        used = good.select(F.col("x").alias(key)).union(good.select(F.col("y").alias(key)))
-        open_ = cut_lineage(open_.join(used, key, "left_anti"))
-        if open_.filter("pool <> 'unused'").limit(1).count() == 0 or good.limit(1).count() == 0:
-            break
+    same = pooled.filter(F.col("pool").isin("strong_strong", "weak_weak")).select(key, group, clash, "pool")
+    r = _class_order(same, ["pool", group], clash, key, seed)
+    h = F.greatest(F.ceil(F.col("__n") / 2), F.col("__m"))
+    second = F.col("__i") > h
+    sides = r.filter((F.col("__i") <= F.col("__n") - h) | second).select(
+        F.col("pool").alias("pairing"), group, F.when(second, F.col("__i") - h).otherwise(F.col("__i")).alias("__p"), second.alias("__second"), key)
+
+    def met(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy("pairing", group, "__p").agg(F.max(F.when(~F.col("__second"), F.col(key))).alias("x"),
+                                                        F.max(F.when(F.col("__second"), F.col(key))).alias("y"))
+        return one.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("pairing", group, "x", "y")
+
+    done = met(sides)
+    open_ = cut_lineage(pooled.filter(F.col("pool").startswith("strong_weak")).select(key, group, clash, "pool"))
+    idle, step = 0, 0
+    while idle < 2:
+        ranked = _class_order(open_, ["pool", group], clash, key, seed + 1000003 * step)
+        weak = F.col("pool") == "strong_weak:weak"
+        place = F.when(weak & F.lit(step % 2 == 0), F.col("__n") + 1 - F.col("__i")).otherwise(F.col("__i"))
+        rows = ranked.select(F.lit("strong_weak").alias("pairing"), group, place.alias("__p"), weak.alias("__second"), F.struct(key, clash).alias(key))
+        drawn = met(rows).filter(~F.col(f"x.{clash}").eqNullSafe(F.col(f"y.{clash}")))
+        good = cut_lineage(drawn.select("pairing", group, F.col(f"x.{key}").alias("x"), F.col(f"y.{key}").alias("y")))
+        made = good.count()
+        idle, step = (0 if made else idle + 1), step + 1
+        if made:
+            done = done.unionByName(good)
+            used = good.select(F.col("x").alias(key)).union(good.select(F.col("y").alias(key)))
+            open_ = cut_lineage(open_.join(used, key, "left_anti"))
     return done
 
 
+def unpaired(pooled: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Records left over by a pairing, with the reason: in no pool, or no partner left that the condition allows."""
+    used = pairs.select(F.col("x").alias(key)).union(pairs.select(F.col("y").alias(key)))
+    rest = pooled.join(used, key, "left_anti")
+    return rest.withColumn("reason", F.when(F.col("pool") == "unused", "outside the pools").otherwise("no partner left"))
+
+
 def match_one_to_one(treated: DataFrame, pool: DataFrame, keys: list[str], key: str, seed: int) -> DataFrame:
     """Exact matching without replacement: the i-th treated record of a key tuple gets its i-th pool record in hashed
     order. Rows (keys, treated, control); control is null for an unmatched record."""

@@ -116,6 +116,25 @@ def balanced_contrasts(states: DataFrame, axis_sign: Column, response_sign: Colu
     return s.select(*by, V.scale("__sum", 2.0 / F.col("n")).alias("contrast"))
 
 
+def axis_contrasts(states: DataFrame, signs: dict[str, Column], response_sign: Column, by: list[str], vec: str = "state",
+                   factor: float = 1.0) -> DataFrame:
+    """`balanced_contrasts` of several axes from one pass: a row's state goes in once per axis under that axis's sign,
+    end to end in one vector, and is cut apart after the sums. Rows (by, contrast, axis)."""
+    names, marked = list(signs), None
+    for s in signs.values():
+        marked = (s != 0) if marked is None else marked & (s != 0)
+
+    def under(sign: Column) -> Column:
+        return F.transform(vec, lambda x: x.cast("double") * (sign * response_sign))
+
+    v = F.concat(*[under(s) for s in signs.values()])
+    s = vector_sums(states.filter(marked).select(*by, v.alias("__v")), by, "__v", out="__sum")
+    d = (F.size("__sum") / len(names)).cast("int")
+    parts = F.array(*[F.struct(V.scale(F.slice("__sum", d * i + 1, d), 2.0 * factor / F.col("n")).alias("contrast"), F.lit(a).alias("axis"))
+                      for i, a in enumerate(names)])
+    return s.select(*by, F.explode(parts).alias("e")).select(*by, "e.contrast", "e.axis")
+
+
 def cross_fitted(contrasts: DataFrame, by: list[str], fold: str, vec: str = "contrast") -> DataFrame:
     """Per fold the unit direction fitted on the records outside it: (total - fold) / (n - n_fold)."""
     per = vector_sums(contrasts, by + [fold], vec)
@@ -142,7 +161,7 @@ def excluding(units: DataFrame, by: list[str], fold_set: str, template: str, key
 def dots(rows: DataFrame, keys: list[str], vec: str, directions: DataFrame, on: list[str] = ()) -> DataFrame:
     """``h.u`` for every row and the directions that apply to it: one pass, after which the states are not needed.
     ``directions`` (direction_id, direction, on...) is broadcast when its counted size allows."""
-    small = broadcast_if_small(directions, element_count=8192)
+    small = broadcast_if_small(directions)
     j = rows.join(small, list(on)) if on else rows.crossJoin(small)
     return j.select(*keys, "direction_id", V.dot(vec, "direction").alias("along"))
 
@@ -170,26 +189,20 @@ def nulled(scored: DataFrame, reward: str, along: str, head_along: str, alpha: C
     return F.col(reward) - alpha * F.coalesce(F.col(along) * F.col(head_along), F.lit(0.0))
 
 
-def gram_schmidt(vectors: list[np.ndarray]) -> np.ndarray:
-    """Orthonormal basis of a few collected directions; two passes per vector, dependent vectors dropped."""
-    basis: list[np.ndarray] = []
-    for v in vectors:
-        v = np.asarray(v, dtype=float)
-        size = np.linalg.norm(v)
-        if size <= V.TINY:
-            continue
-        for _ in range(2):
-            for b in basis:
-                v = v - (v @ b) * b
-        if np.linalg.norm(v) > GS_RTOL * size:
-            basis.append(v / np.linalg.norm(v))
-    return np.array(basis)
+def orthonormal_span(vectors: list[np.ndarray]) -> np.ndarray:
+    """Orthonormal rows that span a few collected directions: the right singular vectors of their unit rows, without
+    those whose singular value is rounding. Zero vectors add nothing."""
+    rows = np.array([np.asarray(v, float) / np.linalg.norm(v) for v in vectors if np.linalg.norm(v) > V.TINY])
+    if not len(rows):
+        return rows
+    _, size, right = np.linalg.svd(rows, full_matrices=False)
+    return right[size > GS_RTOL * size.max()]
 
 
 def basis_frame(directions: DataFrame, name: str = "basis") -> DataFrame:
     """Orthonormal rows (direction_id, k, direction) of a table of at most a few dozen directions."""
     rows = directions.select("direction_id", "direction").filter(F.col("direction").isNotNull()).orderBy("direction_id").collect()
-    basis = gram_schmidt([np.array(r["direction"]) for r in rows])
+    basis = orthonormal_span([np.array(r["direction"]) for r in rows])
     return directions.sparkSession.createDataFrame(
         [(name, k, [float(x) for x in b]) for k, b in enumerate(basis)], "direction_id string, k int, direction array<double>")
 
@@ -244,7 +257,7 @@ def replicate_means(vectors: DataFrame, key: str, vec: str, replicates: int, see
     indexed = index_clusters(vectors.select(key, vec), key, [])
     n = indexed.agg(F.count(F.lit(1)).alias("__n"))
     counts = (replicate_draws(n, [], "__n", replicates, seed).groupBy("b", "idx").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    j = counts.join(broadcast_if_small(indexed, element_count=8192), "idx")
+    j = counts.join(broadcast_if_small(indexed), "idx")
     g = j.groupBy("b").agg(Summarizer.mean(array_to_vector(doubles(vec)), F.col("w")).alias("__m"))
     return g.select("b", vector_to_array("__m").alias("mean_vec"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from counterlens.functions import vectors as X
@@ -84,12 +85,12 @@ def a24_coded(spark, sf):
 
 
 @query("a25_b6_exchange_rate", f"""WITH {SQL_TWO}, {SQL_PV}, {SQL_MERIT}, ix AS (SELECT *, {sql_index('mv', 'pair_id', ['axis', 'kind'])} AS idx FROM mv), sz AS (SELECT axis, kind, count(*) AS n FROM ix GROUP BY ALL),
-{sql_draws('dr', 'sz', ['axis', 'kind'], 500, 0)}, bt AS (SELECT axis, kind, b, sum(marker_effect) AS x, sum(quality_margin) AS y FROM dr JOIN ix USING (axis, kind, idx) GROUP BY ALL),
+{sql_draws('dr', 'sz', ['axis', 'kind'], 2000, 0)}, bt AS (SELECT axis, kind, b, sum(marker_effect) AS x, sum(quality_margin) AS y FROM dr JOIN ix USING (axis, kind, idx) GROUP BY ALL),
 ci AS (SELECT axis, kind, quantile_cont(CASE WHEN y > 0 THEN x / y END, 0.025) AS lo, quantile_cont(CASE WHEN y > 0 THEN x / y END, 0.975) AS hi, bool_and(y > 0) AS bounded, count(*) FILTER (y > 0) AS n_boot_valid FROM bt GROUP BY ALL),
 pt AS (SELECT axis, kind, count(*)::BIGINT AS n, avg(marker_effect) AS x, avg(quality_margin) AS y FROM mv GROUP BY ALL)
 SELECT axis, kind, n, round(CASE WHEN y > 0 THEN x / y END, 9) AS exchange_rate, round(CASE WHEN bounded AND y > 0 THEN lo END, 9) AS ci_low, round(CASE WHEN bounded AND y > 0 THEN hi END, 9) AS ci_high, n_boot_valid FROM pt JOIN ci USING (axis, kind)""")
 def a25(spark, sf):
-    return _round(C.exchange_rates(_merit(spark, sf), ["axis", "kind"], "pair_id", 500, 0), ["exchange_rate", "ci_low", "ci_high"])
+    return _round(C.exchange_rates(_merit(spark, sf), ["axis", "kind"], "pair_id", 2000, 0), ["exchange_rate", "ci_low", "ci_high"])
 
 
 # ---- placement cells -----------------------------------------------------------------------------------------------------
@@ -97,7 +98,7 @@ def a25(spark, sf):
 s AS (SELECT encoding, axis, dir, record_id, sum(base) AS b0, sum(nul) AS v0, count(*)::DOUBLE AS n0 FROM it GROUP BY ALL),
 j2 AS (SELECT encoding, axis, dir, record_id, idx, n0, b0, v0, c0, g0 FROM (SELECT s.encoding, s.axis, s.dir, s.record_id, s.n0, s.b0, s.v0, s.v0 - s.b0 AS c0, (o.v0 - o.b0) - (s.v0 - s.b0) AS g0,
    {sql_index('s', 's.record_id', ['s.encoding', 's.axis', 's.dir'])} AS idx FROM s JOIN s o ON o.encoding = s.encoding AND o.axis = s.axis AND o.record_id = s.record_id AND o.dir = 'own')),
-sz AS (SELECT encoding, axis, dir, count(*) AS n FROM j2 GROUP BY ALL), {sql_draws('dr', 'sz', ['encoding', 'axis', 'dir'], 200, 0)},
+sz AS (SELECT encoding, axis, dir, count(*) AS n FROM j2 GROUP BY ALL), {sql_draws('dr', 'sz', ['encoding', 'axis', 'dir'], 2000, 0)},
 bt AS (SELECT encoding, axis, dir, b, sum(b0) / sum(n0) AS baseline, sum(v0) / sum(n0) AS nulled, sum(c0) / sum(n0) AS change, sum(g0) / sum(n0) AS gap FROM dr JOIN j2 USING (encoding, axis, dir, idx) GROUP BY ALL),
 bl AS (UNPIVOT bt ON baseline, nulled, change, gap INTO NAME stat VALUE x), ci AS (SELECT encoding, axis, dir, stat, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM bl GROUP BY ALL),
 pt AS (SELECT encoding, axis, dir, count(*)::BIGINT AS n_units, sum(b0) / sum(n0) AS baseline, sum(v0) / sum(n0) AS nulled, sum(c0) / sum(n0) AS change, sum(g0) / sum(n0) AS gap FROM j2 GROUP BY ALL),
@@ -110,7 +111,7 @@ def a27(spark, sf):
     base, nul = F.col("a") - F.col("b"), F.col("a2") - F.col("b2")
     rows = F.explode(F.array(F.struct(F.lit("own").alias("row"), nul.alias("nulled")), F.struct(F.lit("other").alias("row"), ((base + nul) / 2).alias("nulled"))))
     items = p.select("encoding", "axis", "record_id", base.alias("baseline"), rows.alias("x")).select("encoding", "axis", "record_id", "baseline", "x.*")
-    out = C.placement_cells(items, ["encoding", "axis"], "record_id", "own", 200, 0)
+    out = C.placement_cells(items, ["encoding", "axis"], "record_id", "own", 2000, 0)
     return out.select("encoding", "axis", "row", "stat", "n_units", *[(r9(c) + 0.0).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
@@ -142,14 +143,14 @@ def a33(spark, sf):
 
 
 @query("a34_b7_paired_edit_change", f"""WITH {SQL_ITEMS}, ix AS (SELECT subset, l_orderkey, edit - base AS d, edit, {sql_index('b0', 'l_orderkey', ['subset'])} AS idx FROM b0), sz AS (SELECT subset, count(*) AS n FROM ix GROUP BY 1),
-{sql_draws('dr', 'sz', ['subset'], 200, 0)}, bt AS (SELECT subset, b, avg(d) AS x FROM dr JOIN ix USING (subset, idx) GROUP BY ALL), ba AS (SELECT * FROM bt UNION ALL SELECT 'overall', b, avg(x) FROM bt GROUP BY b),
+{sql_draws('dr', 'sz', ['subset'], 2000, 0)}, bt AS (SELECT subset, b, avg(d) AS x FROM dr JOIN ix USING (subset, idx) GROUP BY ALL), ba AS (SELECT * FROM bt UNION ALL SELECT 'overall', b, avg(x) FROM bt GROUP BY b),
 ci AS (SELECT subset, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, quantile_cont(x, 0.05) AS lb FROM ba GROUP BY 1),
 p0 AS (SELECT subset, avg(edit) AS score, avg(d) AS change FROM ix GROUP BY 1), pt AS (SELECT * FROM p0 UNION ALL SELECT 'overall', avg(score), avg(change) FROM p0)
 SELECT subset, round(score, 9) AS score, round(change, 9) AS change, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, round(lb, 9) AS lower_bound, lb > -0.02 AS non_inferior FROM pt JOIN ci USING (subset)""")
 def a34(spark, sf):
     c, by = _completions(spark, sf), ["l_orderkey", "subset"]
     v = G.best_of_n(c, by, "s0", "correct").withColumnRenamed("value", "base").join(G.best_of_n(c, by, "s1", "correct").withColumnRenamed("value", "edit"), by)
-    out = G.edit_changes(v, "subset", "l_orderkey", 200, 0)
+    out = G.edit_changes(v, "subset", "l_orderkey", 2000, 0)
     return out.select("subset", *[r9(x).alias(x) for x in ("score", "change", "ci_low", "ci_high", "lower_bound")], G.non_inferior(out, 0.02).alias("non_inferior"))
 
 
@@ -210,18 +211,21 @@ def a39_max(spark, sf):
 
 
 @query("a38_r18_probe_size_rule", f"""WITH {SQL_PAIRS}, rk AS (SELECT record_id, row_number() OVER (ORDER BY sha256('42|' || record_id), record_id) AS k FROM records), m AS (SELECT encoding, record_id, avg(a - b) AS g FROM pr GROUP BY ALL),
-g AS (SELECT encoding, n, avg(m.g) AS gap FROM m JOIN rk USING (record_id), (VALUES (25), (50), (100), (200), (399)) t(n) WHERE k <= n GROUP BY ALL),
-f AS (SELECT encoding, gap AS full_gap FROM g WHERE n = 399), p AS (SELECT encoding, n, gap, abs(gap - full_gap) <= 0.01::DOUBLE AS ok FROM g JOIN f USING (encoding)),
+g AS (SELECT encoding, n, avg(m.g) AS gap FROM m JOIN rk USING (record_id), (SELECT ceil(count(*) * share)::INTEGER AS n FROM records, (VALUES (0.0625), (0.125), (0.25), (0.5), (1.0)) sh(share) GROUP BY share) t WHERE k <= n GROUP BY ALL),
+f AS (SELECT encoding, gap AS full_gap FROM g WHERE n = (SELECT max(n) FROM g)), p AS (SELECT encoding, n, gap, abs(gap - full_gap) <= 0.01::DOUBLE AS ok FROM g JOIN f USING (encoding)),
 s AS (SELECT *, min(ok::INT) OVER (PARTITION BY encoding ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS pass FROM p) SELECT encoding, min(n) FILTER (pass = 1)::INTEGER AS smallest FROM s GROUP BY encoding""")
 def a38(spark, sf):
-    """Gap on the first N records for a grid of N; the smallest N from which every larger one stays near the largest."""
+    """Gap on the first N records for N from a sixteenth to all of them; the smallest N from which every larger one stays
+    near the largest."""
     from counterlens.functions.keyed import digest
     from counterlens.operators.ranking import hash_rank
     m = pair_rewards(spark, sf).groupBy("encoding", "record_id").agg(F.avg(F.col("a") - F.col("b")).alias("g"))
     r = hash_rank(records(spark, sf, text=False).select("record_id"), digest(42, F.col("record_id")), ["record_id"], [], "k")
-    grid = m.join(r, "record_id").withColumn("n", F.explode(F.array(*[F.lit(n) for n in (25, 50, 100, 200, 399)]))).filter("k <= n")
+    shares = F.array(*[F.ceil(F.count(F.lit(1)) * x).cast("int") for x in (0.0625, 0.125, 0.25, 0.5, 1.0)])
+    sizes = records(spark, sf, text=False).agg(F.explode(F.array_distinct(shares)).alias("n"))
+    grid = m.join(r, "record_id").crossJoin(F.broadcast(sizes)).filter("k <= n")             # five sizes
     g = grid.groupBy("encoding", "n").agg(F.avg("g").alias("gap"))
-    full = g.filter("n = 399").select("encoding", F.col("gap").alias("full_gap"))
+    full = g.groupBy("encoding").agg(F.max_by("gap", "n").alias("full_gap"))
     p = g.join(full, "encoding").withColumn("ok", F.abs(F.col("gap") - F.col("full_gap")) <= 0.01)
     return G.smallest_passing(p, ["encoding"], "n", "ok")
 
@@ -261,13 +265,14 @@ k AS (SELECT f, t, (SELECT count(*) FROM u u2 WHERE u2.f <> k0.f AND u2.t <> k0.
 def a46(spark, sf):
     """Fit sizes per held-out (fold, template) from counts: all - fold - template + both."""
     u = records(spark, sf, text=False).select("record_id", F.explode(F.array(*[F.lit(t) for t in ("v1", "v2", "v3")])).alias("t"), F.pmod(hash15("nf", F.col("record_id")), F.lit(4)).cast("int").alias("f"))
-    n = u.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
-    other = n.select(F.col("f").alias("f2"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-    fit = n.join(F.broadcast(other), (F.col("f") != F.col("f2")) & (F.col("t") != F.col("t2"))).groupBy("f", "t").agg(F.sum("n2").alias("n"))
+    sizes = u.groupBy("f", "t").agg(F.count(F.lit(1)).alias("both"))
+    total = lambda *keys: F.sum("both").over(Window.partitionBy(*(keys or [F.lit(0)])))  # one row per fold and template
+    fit = sizes.select("t", (total() - total("f") - total("t") + F.col("both")).alias("n"))
     return fit.groupBy("t").agg(F.min("n").alias("min_fit"), F.max("n").alias("max_fit"))
 
 
-@query("v20_erased_concept")
+@query("v20_erased_concept", """WITH e AS (SELECT label < 5 AS y, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+m AS (SELECT pos, avg(x) FILTER (y) - avg(x) FILTER (NOT y) AS d FROM e GROUP BY pos) SELECT round(sqrt(sum(d * d)), 9) AS before, 0.0::DOUBLE AS after FROM m""")
 def v20(spark, sf):
     """Affine erasure of label < 5: class means before and after, per component."""
     from counterlens.operators.erasure import apply_affine, fit_eraser
@@ -290,14 +295,15 @@ def v21(spark, sf):
     return erasure_rows(e, "state", "y", "eval", ["none", "affine"], hidden=32, iterations=40)
 
 
-@query("v22_bag_of_words")
+@query("v22_bag_of_words", """WITH w AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z'']+'))) AS word FROM documents),
+v AS (SELECT word FROM w WHERE lang = 'en' GROUP BY word HAVING count(*) >= 5), k AS (SELECT doc_id, count(*) AS n FROM w JOIN v USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS known_words FROM documents LEFT JOIN k USING (doc_id)""")
 def v22(spark, sf):
     """Binary bag of words with the training side's vocabulary, per document its distinct known words."""
     from counterlens.operators.erasure import bag_of_words
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    vec, _ = bag_of_words(d.filter("lang = 'en'"), d, "text", min_texts=5)
-    from pyspark.ml.functions import vector_to_array
-    return vec.select("doc_id", F.aggregate(vector_to_array("bag"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("known_words"))
+    bags = bag_of_words(d.filter("lang = 'en'"), d, "doc_id", "text", min_texts=5)
+    return bags.groupBy("doc_id").agg(F.count("word").alias("known_words"))
 
 
 # ---- contracts -----------------------------------------------------------------------------------------------------------------

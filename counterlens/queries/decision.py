@@ -136,9 +136,9 @@ def r6(spark, sf):
     return _summary(spark, sf, "D", 2000)
 
 
-@query("b3_coded_margin_intervals", _summary_sql("D_coded", 500))
+@query("b3_coded_margin_intervals", _summary_sql("D_coded", 2000))
 def b3(spark, sf):
-    return _summary(spark, sf, "D_coded", 500)
+    return _summary(spark, sf, "D_coded", 2000)
 
 
 @query("a17_summaries_all_margins", f"""WITH {SQL_REWARDS}, {SQL_CELL_D}, long AS (
@@ -213,7 +213,7 @@ SELECT encoding, stat, n_strong, n_weak, round(mean, 9) AS mean, round(ci_low, 9
 FROM pt JOIN ci USING (encoding, stat)"""
 
 
-@query("a18_b4_balanced_accuracy", _balanced_sql(500))
+@query("a18_b4_balanced_accuracy", _balanced_sql(2000))
 def a18(spark, sf):
     acc = D.accuracy_values(_margin(spark, sf), CREDIT, ["record_id", "encoding", "strong"])
     out = D.balanced_summaries(acc, ["encoding"], "record_id", "strong", ACC, 500, 0)

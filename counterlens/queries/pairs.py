@@ -101,9 +101,9 @@ PAIR_SQL_STATS = {"mean_gap": "gap / sn", "abs_mean_gap": "abs_gap / sn", "pref_
                   "auto_influence": "abs(wins / sn - 0.5) * 2"}
 
 
-@query("b1_pair_intervals", _cluster_sql(SQL_PAIRS, "pr", "record_id", ["encoding", "axis"], PAIR_SQL_SUMS, PAIR_SQL_STATS, 400))
+@query("b1_pair_intervals", _cluster_sql(SQL_PAIRS, "pr", "record_id", ["encoding", "axis"], PAIR_SQL_SUMS, PAIR_SQL_STATS, 2000))
 def b1(spark, sf):
-    return _ci(cluster_bootstrap(pair_rewards(spark, sf), "record_id", P.pair_sums(), P.PAIR_STATS, ["encoding", "axis"], 400))
+    return _ci(cluster_bootstrap(pair_rewards(spark, sf), "record_id", P.pair_sums(), P.PAIR_STATS, ["encoding", "axis"], 2000))
 
 
 @query("b13_change_intervals", _cluster_sql(
@@ -112,9 +112,9 @@ def b1(spark, sf):
      "w0": "CASE WHEN a - b > 0 THEN 1.0 WHEN a - b = 0 THEN 0.5 ELSE 0.0 END",
      "w1": "CASE WHEN a2 - b2 > 0 THEN 1.0 WHEN a2 - b2 = 0 THEN 0.5 ELSE 0.0 END"},
     {"mean_gap_change": "(g1 - g0) / sn", "abs_mean_gap_change": "(m1 - m0) / sn",
-     "auto_influence_change": "2 * (abs(w1 / sn - 0.5) - abs(w0 / sn - 0.5))"}, 1000))
+     "auto_influence_change": "2 * (abs(w1 / sn - 0.5) - abs(w0 / sn - 0.5))"}, 2000))
 def b13(spark, sf):
-    return _ci(cluster_bootstrap(pair_rewards(spark, sf), "record_id", P.change_sums(), P.CHANGE_STATS, [], 1000))
+    return _ci(cluster_bootstrap(pair_rewards(spark, sf), "record_id", P.change_sums(), P.CHANGE_STATS, [], 2000))
 
 
 @query("b2_crossed_intervals", f"""WITH {SQL_PAIRS}, it AS (SELECT * FROM pr WHERE axis = 'sex'),
@@ -181,10 +181,10 @@ def a11(spark, sf):
      "h1": "neutral_decline_n - discriminatory_n"},
     {"discriminatory_win_rate_change": "w1 / sn - w0 / sn", "mean_gap_fair_minus_disc_change": "g1 / sn - g0 / sn",
      "disc_win_rate_vs_neutral_decline_change": "x1 / sn - x0 / sn",
-     "mean_gap_neutral_decline_minus_disc_change": "h1 / sn - h0 / sn"}, 1000))
+     "mean_gap_neutral_decline_minus_disc_change": "h1 / sn - h0 / sn"}, 2000))
 def r12(spark, sf):
     sums = P.doubled(P.verdict_sums, ("", "_n"))
-    return _ci(cluster_bootstrap(verdict_rewards(spark, sf), "record_id", sums, P.paired_change(P.VERDICT_STATS, P.VERDICT_CHANGES), [], 1000))
+    return _ci(cluster_bootstrap(verdict_rewards(spark, sf), "record_id", sums, P.paired_change(P.VERDICT_STATS, P.VERDICT_CHANGES), [], 2000))
 
 
 # ---- reasoning 2x2: four cells per (record, premise, wording fold) ---------------------------------------------------------
@@ -248,11 +248,11 @@ def _mean_sums(tag, sfx):
      "conclusion_effect_change": "((true_advance_1 + false_advance_1) - (true_reject_1 + false_reject_1)) / 2 / sn - ((true_advance_0 + false_advance_0) - (true_reject_0 + false_reject_0)) / 2 / sn",
      "interaction_change": "((true_reject_1 - true_advance_1) - (false_reject_1 - false_advance_1)) / 2 / sn - ((true_reject_0 - true_advance_0) - (false_reject_0 - false_advance_0)) / 2 / sn",
      "prefers_correct_over_favorable_rate_change": "w1 / sn - w0 / sn",
-     "gap_correct_minus_favorable_change": "(true_reject_1 - false_advance_1) / sn - (true_reject_0 - false_advance_0) / sn"}, 500))
+     "gap_correct_minus_favorable_change": "(true_reject_1 - false_advance_1) / sn - (true_reject_0 - false_advance_0) / sn"}, 2000))
 def j16(spark, sf):
     sums = P.doubled(P.reasoning_sums, ("_c", ""))
     stats = P.paired_change(P.reasoning_stats(), P.REASONING_EFFECTS)
-    return _ci(cluster_bootstrap(_both_premises(spark, sf), "record_id", sums, stats, [], 500))
+    return _ci(cluster_bootstrap(_both_premises(spark, sf), "record_id", sums, stats, [], 2000))
 
 
 # ---- P28, P29, Q7 ----------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from counterlens.functions import text as T
+from counterlens.functions.numbers import fixed
 from counterlens.operators import rules as R
 from counterlens.queries.base import SQL_RECORDS, r9, records, table
 from counterlens.queries.registry import query
@@ -146,8 +147,8 @@ def p44(spark, sf):
 def p37(spark, sf):
     f = F.col("o_orderstatus") == "F"
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(
-        F.when(F.avg(F.when(f, F.col("o_totalprice"))).isNull(), "--").otherwise(F.format_string("%+.3f", F.avg("o_totalprice") / 100000)).alias("value"),
-        F.format_string("%.1f", 100 * F.avg(f.cast("double"))).alias("pct"))
+        F.when(F.avg(F.when(f, F.col("o_totalprice"))).isNull(), "--").otherwise(fixed(F.avg("o_totalprice") / 100000, 3, sign=True)).alias("value"),
+        fixed(100 * F.avg(f.cast("double")), 1).alias("pct"))
 
 
 # ---- predicates ------------------------------------------------------------------------------------------------------

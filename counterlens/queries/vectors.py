@@ -93,16 +93,11 @@ SQL_INTER = " UNION ALL ".join(_sql_contrast("interaction", a) for a in AXES)
 
 
 def contrasts(spark, sf, kind="prompt", st=None):
-    """All three axes' record contrasts of complete blocks, one pass per axis over the states."""
+    """All three axes' record contrasts of complete blocks, from one pass over the states."""
     st = states(spark, sf) if st is None else st
-    resp = F.when(F.col("response") == "approve", 1).otherwise(-1) if kind == "interaction" else F.lit(1)
-    parts = []
-    for a in AXES:
-        c = V.balanced_contrasts(st, F.col(SIGN[a]), resp, ["record_id", "strong"])
-        if kind == "interaction":
-            c = c.withColumn("contrast", X.scale("contrast", F.lit(2.0)))
-        parts.append(c.withColumn("axis", F.lit(a)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    crossed = kind == "interaction"
+    resp = F.when(F.col("response") == "approve", 1).otherwise(-1) if crossed else F.lit(1)
+    return V.axis_contrasts(st, {a: F.col(SIGN[a]) for a in AXES}, resp, ["record_id", "strong"], factor=2.0 if crossed else 1.0)
 
 
 @query("v4_record_contrasts", f"""WITH {SQL_STATES}, c AS ({SQL_PROMPT}), n AS (SELECT axis, record_id, strong, sqrt(sum(c * c)) AS len, sum(c * w) AS w FROM c JOIN head USING (pos) GROUP BY ALL)
@@ -156,10 +151,9 @@ SELECT axis, strong, response, round(avg(CASE axis WHEN 'sex' THEN s1 WHEN 'age'
   round(avg(CASE axis WHEN 'sex' THEN s1 WHEN 'age' THEN s2 ELSE s3 END * nulled) * 2, 9) AS nulled_effect, count(*)::BIGINT AS n FROM v GROUP BY ALL""")
 def j10(spark, sf):
     """Every row nulled with the direction of its record's fold, all axes from one pass over the states."""
-    from counterlens.session import broadcast_if_small
     dirs = cross_fitted(spark, sf).crossJoin(F.broadcast(head(spark, sf))).withColumn("wu", X.dot("direction", "weight"))
-    rows = states(spark, sf).join(F.broadcast(_folds(spark, sf)), "record_id")
-    j = rows.join(broadcast_if_small(dirs), "fold").select(
+    rows = states(spark, sf).join(_folds(spark, sf), "record_id")
+    j = rows.join(F.broadcast(dirs), "fold").select(
         "axis", "strong", "response", "s1", "s2", "s3", X.dot("state", "weight").alias("r"), X.dot("state", "direction").alias("hu"), "wu")
     sign = F.when(F.col("axis") == "sex", F.col("s1")).when(F.col("axis") == "age", F.col("s2")).otherwise(F.col("s3"))
     nulled = V.nulled(j, "r", "hu", "wu", F.lit(1.0))
@@ -249,7 +243,9 @@ def v13(spark, sf):
     return explode_vec(V.mean_vectors(m, [], "u").select(X.unit("mean_vec").alias("u")), [], "u")
 
 
-@query("v14_random_units")
+@query("v14_random_units", f"""WITH {SQL_STATES}, g AS (SELECT d.draw, p.pos FROM range(20) d(draw), range(64) p(pos)),
+z AS (SELECT draw, pos + 1 AS pos, sqrt(-2.0::DOUBLE * ln(({sql_h15("'42|u|' || draw || '|' || pos")} % 1000000000 + 1) / 1000000001)) * cos(2 * pi() * (({sql_h15("'42|v|' || draw || '|' || pos")} % 1000000000) / 1000000000)) AS z FROM g)
+SELECT draw, round(sum(z * w) / (sqrt(sum(z * z)) * sqrt(sum(w * w))), 9) AS cos_w_u FROM z JOIN head USING (pos) GROUP BY draw""")
 def v14(spark, sf):
     """How much of the head a random direction carries: the floor every direction is read against."""
     h = head(spark, sf)
@@ -257,13 +253,13 @@ def v14(spark, sf):
 
 
 @query("v15_b12_reliability", f"""WITH {SQL_STATES}, c AS ({SQL_INTER}), n AS (SELECT count(DISTINCT record_id) AS n FROM c),
-h AS (SELECT rep, record_id, row_number() OVER (PARTITION BY rep ORDER BY sha256('42|split_half|' || rep || '|' || record_id), record_id) <= (SELECT n // 2 FROM n) AS f FROM records, range(10) r(rep)),
+h AS (SELECT rep, record_id, row_number() OVER (PARTITION BY rep ORDER BY sha256('42|split_half|' || rep || '|' || record_id), record_id) <= (SELECT n // 2 FROM n) AS f FROM records, range(20) r(rep)),
 m AS (SELECT axis, rep, f, pos, sum(c) AS s FROM h JOIN c USING (record_id) GROUP BY ALL),
 k AS (SELECT a.axis, a.rep, sum(a.s * b.s) / (sqrt(sum(a.s * a.s)) * sqrt(sum(b.s * b.s))) AS c FROM m a JOIN m b ON a.axis = b.axis AND a.rep = b.rep AND a.pos = b.pos AND a.f AND NOT b.f GROUP BY ALL),
 r AS (SELECT axis, avg(c) AS rho FROM k GROUP BY axis) SELECT axis, round(rho, 9) AS split_half, round(CASE WHEN rho > 0 THEN 2 * rho / (1 + rho) END, 9) AS reliability FROM r""")
 def v15(spark, sf):
     c = contrasts(spark, sf, "interaction").drop("strong")
-    r = V.split_half_cosine(c, "record_id", 10, SEED, ["axis"])
+    r = V.split_half_cosine(c, "record_id", 20, SEED, ["axis"])
     return r.select("axis", r9("split_half").alias("split_half"), r9(X.full_sample_reliability(F.col("split_half"))).alias("reliability"))
 
 
@@ -284,7 +280,7 @@ def v19(spark, sf):
     """Norm share of each vector outside the span of ten label means (orthonormalised on the driver: ten vectors)."""
     e = table(spark, sf, "embeddings")
     m = V.mean_vectors(e, ["label"], "embedding").select(F.col("label").cast("string").alias("direction_id"), F.col("mean_vec").alias("direction"))
-    basis = V.gram_schmidt([r["direction"] for r in m.orderBy("direction_id").collect()])
+    basis = V.orthonormal_span([r["direction"] for r in m.orderBy("direction_id").collect()])
     return e.select("vec_id", r9(V.outside_span("embedding", basis)).alias("outside"))
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: settings every plan relies on, and the size check behind each broadcast."""
+"""Session helpers: settings every plan relies on, and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,12 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BROADCAST_LIMIT_BYTES = 64 << 20
-
-_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
 
 
 def build_session(app: str = "counterlens", cores: int | str = "*", partitions: int = 8,
@@ -40,35 +34,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so later stages survive lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def row_width(schema: T.StructType, element_count: int = 64) -> int:
-    """An upper estimate of one row's bytes from the schema (strings 64 bytes, arrays ``element_count``)."""
-    total = 16
-    for field in schema.fields:
-        t = field.dataType
-        if isinstance(t, T.ArrayType):
-            total += element_count * _WIDTHS.get(t.elementType.simpleString(), 64)
-        else:
-            total += _WIDTHS.get(t.simpleString(), 64)
-    return total
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES,
-                       element_count: int = 64) -> DataFrame:
-    """``broadcast(df)`` only when its counted size is under the limit; otherwise ``df`` unchanged, so the
-    join shuffles. The counted frame is persisted because the join reads it again."""
-    kept = df.persist()
-    rows = kept.count()
-    if rows * row_width(kept.schema, element_count) <= limit_bytes:
-        return F.broadcast(kept)
-    return kept
+def broadcast_if_small(df: DataFrame, **_) -> DataFrame:
+    """``df`` as it is: adaptive execution broadcasts it if its measured size allows. Plans call this where one side is
+    expected to be small but may grow."""
+    return df

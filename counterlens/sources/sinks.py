@@ -14,6 +14,7 @@ def write_manifest(pairs: DataFrame, cells: DataFrame, reports: dict[str, DataFr
     """Pairs and cells partitioned by (axis, encoding); counts, template hashes and reports; the manifest row is written
     last, so a folder without it is an unfinished write."""
     spark = pairs.sparkSession
+    remove_tree(spark, f"{path}/_manifest")                # a failed rewrite must not look finished
     pairs.write.mode("overwrite").partitionBy("varied_axis", "encoding").parquet(f"{path}/pairs")
     cells.write.mode("overwrite").partitionBy("encoding").parquet(f"{path}/cells")
     for name, report in reports.items():
@@ -24,6 +25,12 @@ def write_manifest(pairs: DataFrame, cells: DataFrame, reports: dict[str, DataFr
     counts.withColumn("seed", F.lit(seed)).coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
 
 
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/_manifest")
 
