@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from counterlens.functions import text as T
 from counterlens.functions.vectors import col as _col
-from counterlens.operators.design import FactorialDesign
+from counterlens.operators.design import Design
 
 # --- fixed values: gate thresholds and reason codes ----------------------------------------------------------------
 MAX_CHAR_DELTA, MAX_WORD_DELTA, MAX_FLESCH_DELTA = 12, 3, 8.0
@@ -49,7 +49,7 @@ def gated_pairs(pairs: DataFrame, **thresholds) -> DataFrame:
     return f.withColumn("codes", feature_codes(F.col("__a"), F.col("__b"), **thresholds)).drop("__a", "__b")
 
 
-def blocks(records: DataFrame, design: FactorialDesign, templates: list[str], render: Renderer, seed: int,
+def blocks(records: DataFrame, design: Design, templates: list[str], render: Renderer, seed: int,
            key: str = "record_id", keep: list[str] = (), encodings: tuple[str, ...] = ("explicit", "proxy"),
            subject: str | None = None) -> DataFrame:
     """One row per (record, template, encoding): ``cells`` (levels, signs, clause, text), ``unmarked`` and ``names``.
@@ -76,7 +76,7 @@ def _block_part(records, design, template, render, seed, key, keep, encoding, su
                           F.array(*cells).alias("cells"), render(template, F.lit("")).alias("unmarked"), drawn.alias("names"))
 
 
-def pair_index(design: FactorialDesign, encoding: str) -> Column:
+def pair_index(design: Design, encoding: str) -> Column:
     """The contrasts of an encoding as a literal array; ``ia`` and ``ib`` point into ``cells``."""
     at = {c.key: i for i, c in enumerate(design.cells())}
     return F.array(*[F.struct(
@@ -86,7 +86,7 @@ def pair_index(design: FactorialDesign, encoding: str) -> Column:
         for p in design.all_pairs(encoding)])
 
 
-def with_pairs(block: DataFrame, design: FactorialDesign, encoding: str, **thresholds) -> DataFrame:
+def with_pairs(block: DataFrame, design: Design, encoding: str, **thresholds) -> DataFrame:
     """Blocks of one encoding with ``pairs``: every contrast, with the gate codes it trips. Texts stay in ``cells``."""
     b = block.filter(F.col("encoding") == encoding)
     b = b.withColumn("features", F.transform("cells", lambda c: gate_features(c["text"], c["clause"])))
@@ -116,7 +116,7 @@ def cell_rows(block: DataFrame, keep: list[str]) -> DataFrame:
     return block.select(*keep, F.explode("cells").alias("c")).select(*keep, "c.*")
 
 
-def pair_rows(block: DataFrame, design: FactorialDesign, encoding: str, keep: list[str], prefix: str = "pair",
+def pair_rows(block: DataFrame, design: Design, encoding: str, keep: list[str], prefix: str = "pair",
               key: str = "record_id", texts: bool = True) -> DataFrame:
     """Long pair table of one encoding, ids ``prefix-axis-encoding-template-record-suffix``; without ``texts`` only
     identifiers and labels."""

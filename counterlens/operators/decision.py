@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterlens.functions.scores import decision_correct
-from counterlens.operators.design import INTERSECTION, FactorialDesign
+from counterlens.operators.design import INTERSECTION, Design
 from counterlens.operators.ranking import auc, null_safe_join
 from counterlens.operators.resampling import auc_replicates, intervals, replicate_sums
 
@@ -30,7 +30,7 @@ def sign_columns() -> tuple[Column, Column, Column]:
     return F.col("s1"), F.col("s2"), F.col("s3")
 
 
-def contrast_weights(design: FactorialDesign) -> dict[str, Column]:
+def contrast_weights(design: Design) -> dict[str, Column]:
     """Effect name -> weight of a cell's value, from the three sign columns (all zero for the unmarked row)."""
     a, b, c = design.axes
     S1, S2, S3 = sign_columns()
@@ -45,7 +45,7 @@ def contrast_weights(design: FactorialDesign) -> dict[str, Column]:
     }
 
 
-def record_effects(rewards: DataFrame, design: FactorialDesign, by: list[str],
+def record_effects(rewards: DataFrame, design: Design, by: list[str],
                    margins: dict[str, tuple[str, str]] = MARGINS, reward: str = "reward") -> DataFrame:
     """One row per ``by`` (which names the record) and one column ``<margin>:<effect>`` per linear statistic,
     averaged over the record's templates, plus ``<margin>:additivity_gap``."""
@@ -66,7 +66,7 @@ def record_effects(rewards: DataFrame, design: FactorialDesign, by: list[str],
     return wide.select(*by, *cols)
 
 
-def effect_names(design: FactorialDesign, margins=MARGINS) -> list[str]:
+def effect_names(design: Design, margins=MARGINS) -> list[str]:
     keys = list(contrast_weights(design)) + ["additivity_gap"]
     return [f"{m}:{k}" for m in margins for k in keys]
 
@@ -137,7 +137,7 @@ def stratum_means(margin: DataFrame, pairs: DataFrame, by: list[str], value: str
             .agg((F.sum(F.col("sign") * F.col(value)) / (F.count(F.lit(1)) / 2)).alias("mean_difference")))
 
 
-def accuracy_values(margin: DataFrame, design: FactorialDesign, by: list[str], value: str = "D") -> DataFrame:
+def accuracy_values(margin: DataFrame, design: Design, by: list[str], value: str = "D") -> DataFrame:
     """Per record (``by``): accuracy on marked cells, on the unmarked control, the cost of any marking, and the
     accuracy at pole B minus pole A per axis. ``margin`` carries ``strong``."""
     ok = decision_correct(F.col(value), F.col("strong"))
@@ -193,7 +193,7 @@ def auc_by_cell(margin: DataFrame, by: list[str], value: str = "D", buckets: int
     return auc(margin.select(*by, "cell", value, "strong"), list(by) + ["cell"], value, "strong", buckets)
 
 
-def auc_cross_influence(margin: DataFrame, design: FactorialDesign, replicates: int = 2000, seed: int = 0,
+def auc_cross_influence(margin: DataFrame, design: Design, replicates: int = 2000, seed: int = 0,
                         value: str = "D", buckets: int = 1) -> DataFrame:
     """AUC at pole B minus pole A per encoding and axis, with strong and weak records resampled separately and
     paired over cells. ``margin`` has (record_id, strong, template, encoding, cell, D)."""
@@ -223,7 +223,7 @@ def auc_cross_influence(margin: DataFrame, design: FactorialDesign, replicates:
     return est.join(bounds, ["encoding", "axis"])
 
 
-def pair_signs(design: FactorialDesign) -> list[tuple]:
+def pair_signs(design: Design) -> list[tuple]:
     """(encoding, axis, cell, +1 at pole A, 1 / number of pairs) for every marked axis."""
     out = []
     for e in ("explicit", "proxy"):
@@ -272,7 +272,7 @@ def quality_tracking(margin: DataFrame, by: list[str], value: str, length: str,
             .drop("__same"))
 
 
-def placement_effects(direct: DataFrame, decisions: DataFrame, design: FactorialDesign, by: list[str],
+def placement_effects(direct: DataFrame, decisions: DataFrame, design: Design, by: list[str],
                       reward: str = "reward") -> DataFrame:
     """Axis effects of the same cells with the marker in the response (``direct_gap``), in the prompt with the
     response fixed (``prompt_effect:<response>``) and in the decision margin (``did``), one row per ``by``.

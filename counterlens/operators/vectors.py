@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from counterlens.functions import vectors as V
 from counterlens.functions.keyed import hash15
-from counterlens.operators.design import FactorialDesign
+from counterlens.operators.design import Design
 from counterlens.operators.ranking import null_safe_join
 from counterlens.operators.resampling import (MODULUS, ROUND_KEYS, index_clusters, replicate_draws)
 from counterlens.session import broadcast_if_small
@@ -65,7 +65,7 @@ def direction_fit(df: DataFrame, by: list[str], positive: str, vec: str) -> Data
         F.stddev_samp(F.when(~pos, F.col("p"))).alias("sd_neg"), F.avg(right.cast("double")).alias("accuracy"))
 
 
-def contrast_weights(rows: DataFrame, design: FactorialDesign, encoding: str, axis: str, kind: str) -> DataFrame:
+def contrast_weights(rows: DataFrame, design: Design, encoding: str, axis: str, kind: str) -> DataFrame:
     """Keys-only: the weight of every (record, template, cell, response) row in its record's mean contrast.
 
     ``prompt``: pole A minus pole B per response; ``interaction``: the approve-minus-decline difference of that;
@@ -99,7 +99,7 @@ def contrast_weights(rows: DataFrame, design: FactorialDesign, encoding: str, ax
             .select(*keys, (F.col("s") / F.col("n_units")).alias("weight")))
 
 
-def record_contrasts(states: DataFrame, design: FactorialDesign, encoding: str, axis: str, kind: str = "prompt",
+def record_contrasts(states: DataFrame, design: Design, encoding: str, axis: str, kind: str = "prompt",
                      vec: str = "state") -> DataFrame:
     """One mean contrast vector per record: (record_id, contrast)."""
     w = contrast_weights(states, design, encoding, axis, kind)

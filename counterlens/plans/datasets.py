@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterlens.operators import blocks as B, rules as R
-from counterlens.operators.design import CREDIT, EDUCATION, FactorialDesign
+from counterlens.operators.design import CREDIT, EDUCATION, Design
 from counterlens.sources import codebook as C
 
 
-def gated_blocks(block: DataFrame, design: FactorialDesign) -> DataFrame:
+def gated_blocks(block: DataFrame, design: Design) -> DataFrame:
     """The blocks of both encodings all of whose pairs pass the gate."""
     parts = [B.kept_blocks(B.with_pairs(block, design, e)).drop("pairs") for e in ("explicit", "proxy")]
     return parts[0].unionByName(parts[1])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterlens.functions.keyed import hash15
-from counterlens.operators.design import CREDIT, FactorialDesign
+from counterlens.operators.design import CREDIT, Design
 
 RESPONSES = ("approve", "decline", "coded", "overt", "evasive")
 TEMPLATES = ("v1", "v2")
@@ -46,7 +46,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def reward_grid(spark: SparkSession, design: FactorialDesign = CREDIT, unmarked: bool = True) -> DataFrame:
+def reward_grid(spark: SparkSession, design: Design = CREDIT, unmarked: bool = True) -> DataFrame:
     rows = [(t, e, c.key, c.signs[0], c.signs[1], c.signs[2], r)
             for t in TEMPLATES for e in ENCODINGS for c in design.cells() for r in RESPONSES]
     if unmarked:
@@ -84,7 +84,7 @@ SQL_RECORDS = r"""records AS (
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def sql_cells(design: FactorialDesign = CREDIT, unmarked: bool = True) -> str:
+def sql_cells(design: Design = CREDIT, unmarked: bool = True) -> str:
     rows = [f"('{c.key}', {c.signs[0]}, {c.signs[1]}, {c.signs[2]})" for c in design.cells()]
     if unmarked:
         rows.append("('unmarked', 0, 0, 0)")

@@ -122,7 +122,7 @@ def _sql_clause_rows(design, key, encoding):
     out = []
     for c in design.cells():
         if encoding == "explicit":
-            out.append((c.key, "'" + design.explicit(c, design.subject).replace("'", "''") + "'"))
+            out.append((c.key, "'" + design.phrase(c, "explicit")[0].replace("'", "''") + "'"))
         else:
             pool = f"{c.levels[0]}_{c.levels[1]}" if design.name == "education" else f"{c.levels[0]}_white"
             tail = {"credit": lambda: f", was born in {2026 - int(c.levels[1])} and is {c.levels[2]}.",
