@@ -429,3 +429,43 @@ def test_streamed_intake_first_score_wins(spark, tmp_path):
     done = spark.read.parquet(out)
     assert worklist(texts, done).count() == 1
     assert [(r.text_key, r.score) for r in score_missing(texts, done, scorer).collect()] == [("d", 4.0)]
+
+
+def test_positions_of_an_inserted_sentence(spark):
+    from counterlens.operators import positioned as PO
+    df = spark.createDataFrame([("r", "One here. Two is there. Three."), ("s", "No boundary")], "record_id string, text string")
+    cut = {p: [r[0] for r in df.orderBy("record_id").select(PO.insertion_cut("text", p, 3)).collect()] for p in PO.POSITIONS}
+    assert cut["opening"] == [0, 0] and cut["conclusion"] == [30, 11] and cut["middle"] == [9, None]
+    assert cut["random"][0] in (9, 23) and cut["random"][1] is None
+    row = df.filter("record_id = 'r'").select(PO.positioned("text", F.lit(" New."), "middle").alias("t")).first()
+    assert row.t == "One here. New. Two is there. Three."
+    with pytest.raises(Exception, match="trailing"):
+        spark.createDataFrame([("ends ",)], "text string").select(PO.positioned("text", F.lit("x"), "conclusion")).collect()
+
+
+def test_relations_between_directions(spark):
+    from counterlens.operators import relations as R
+    from counterlens.operators.design import DESIGNS
+    s = R.source_table(spark, DESIGNS)
+    g = s.select(F.struct("*").alias("s")).crossJoin(s.select(F.struct("*").alias("t"))).select(
+        F.concat_ws("/", "s.domain", "s.encoding", "s.axis").alias("a"), F.concat_ws("/", "t.domain", "t.encoding", "t.axis").alias("b"),
+        R.relation().alias("r"), R.proxy_differs().alias("p"))
+    got = {(r.a, r.b): (r.r, r.p) for r in g.collect()}
+    assert got["credit/explicit/sex", "credit/explicit/sex"] == ("own", None)
+    assert got["hiring/proxy/sex", "credit/explicit/sex"][0] == "domain+encoding"
+    assert got["credit/explicit/sex", "credit/explicit/intersection"][0] == "component"
+    assert got["credit/explicit/age", "credit/explicit/sex"][0] == "off_axis"
+    assert got["education/explicit/ethnicity", "credit/explicit/age"][0] == "unrelated"
+    assert got["hiring/proxy/family_status", "hiring/explicit/family_status"] == ("encoding", True)
+
+
+def test_private_fields_and_one_sided_records_are_refused(spark):
+    from counterlens.operators import relations as R
+    row = ("i", "sex", "explicit", "r", "t", "f", "m", None, "x", "y", "secret")
+    df = spark.createDataFrame([row], "id string, axis string, encoding string, record_id string, template string, label_a string, label_b string, "
+                                      "strong boolean, text_a string, text_b string, ethnicity string")
+    assert "ethnicity" not in R.evaluation_examples(df, "strong").columns and "ethnicity" not in R.probe_pairs(df).columns
+    with pytest.raises(Exception, match="quality flag"):
+        R.evaluation_examples(df, "strong").collect()
+    with pytest.raises(Exception, match="one label"):
+        R.reward_gaps(spark.createDataFrame([("r", 1, 0.5)], "k string, y int, x double"), "k", [], "y", "x").collect()
