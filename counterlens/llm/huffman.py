@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import shuffle_partitions, stored
-from counterlens.llm.tokens import encoder, text_groups
+from counterlens.llm.common import shuffle_partitions, stored, text_chunks
+from counterlens.llm.tokens import encoder
 from counterlens.session import checkpoint_dir
 
 STEP = 512                   # ids between two checkpoints
 BLOCK_BYTES = 1 << 20        # coded bytes of a block, or one document
 GROUP = 1 << 21              # ids decoded side by side
 
-BLOCKS = ("file int, block int, doc_ids array<long>, counts array<long>, offsets array<long>, "
+BLOCKS = ("file int, block int, first long, doc_ids array<long>, counts array<long>, offsets array<long>, "
           "checkpoints array<long>, payload binary")
 
 
@@ -132,18 +132,25 @@ def unpack(payload: bytes, starts: np.ndarray, counts: np.ndarray, book) -> np.n
 
 # ---- Spark ---------------------------------------------------------------------------------------------------
 def _encode(spec: str, end_id: int):
+    """Task function: a row per document, and one last row (``n`` = -1) with the task's count of every id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(spec)
-        wide = known.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
-        for batch in batches:
-            for start, texts in text_groups(batch.column("text")):
-                ids, counts = known.encode(texts)
-                last = np.cumsum(counts)
-                ids = np.insert(ids, last, end_id)
-                parts = np.split(ids.astype("<u4" if wide else "<u2"), (last + np.arange(1, len(last) + 1))[:-1])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(start, len(texts)), pa.array(counts + 1, pa.int64()),
-                    pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "n", "ids"])
+        total = np.zeros(max(known.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1), np.int64)
+        wide = len(total) > 1 << 16
+
+        def rows(doc_ids, n, parts):
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "n", "ids"])
+
+        for batch, data, offsets in text_chunks(batches):
+            ids, counts = known.encode(data, offsets)
+            total += np.bincount(ids, minlength=len(total))
+            total[end_id] += len(counts)
+            last = np.cumsum(counts)
+            ids = np.insert(ids, last, end_id)
+            raw, size = ids.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
+            ends = (last + np.arange(1, len(last) + 1)) * size
+            yield rows(batch.column("doc_id"), counts + 1, [raw[a:b] for a, b in zip(ends - (counts + 1) * size, ends)])
+        yield rows(pa.array([None], pa.int64()), [-1], [total.astype("<i8").tobytes()])
 
     return run
 
@@ -161,12 +168,12 @@ def _ids_of(batch: pa.RecordBatch):
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the tasks' counts, as (id, n) rows."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for _, ids, _ in _ids_of(batch):
-            own = np.bincount(ids, minlength=len(total))
-            own[:len(total)] += total
-            total = own
+        for own in batch.column("ids"):
+            own = np.frombuffer(own.as_py(), "<i8")
+            total = np.pad(total, (0, max(0, len(own) - len(total)))) + np.pad(own, (0, max(0, len(total) - len(own))))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -193,7 +200,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packs a partition's sorted documents into blocks; the partition's number is the file's."""
     from pyspark import TaskContext
 
-    file, block = TaskContext.get().partitionId(), 0
+    file, block, first = TaskContext.get().partitionId(), 0, 0
     held: list[tuple] = []
     size = 0
 
@@ -202,10 +209,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in bits])[:-1]]).astype(np.int64)
         marks = [m + 8 * o for (_, _, m, _), o in zip(held, offsets)]
         return pa.RecordBatch.from_arrays([
-            pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([[h[0] for h in held]], pa.list_(pa.int64())),
+            pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([[h[0] for h in held]], pa.list_(pa.int64())),
             pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())),
             pa.array([np.concatenate(marks)], pa.list_(pa.int64())), pa.array([b"".join(bits)], pa.binary())],
-            names=["file", "block", "doc_ids", "counts", "offsets", "checkpoints", "payload"])
+            names=["file", "block", "first", "doc_ids", "counts", "offsets", "checkpoints", "payload"])
 
     for batch in batches:
         for i, n, m, b in zip(batch.column("doc_id"), batch.column("n"), batch.column("checkpoints"), batch.column("bits")):
@@ -213,6 +220,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(held[-1][3])
             if size >= BLOCK_BYTES:
                 yield done()
+                first += sum(h[1] for h in held)
                 held, size, block = [], 0, block + 1
     if held:
         yield done()
@@ -224,18 +232,18 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, limi
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     ids = stored(docs.select("doc_id", "text").mapInArrow(_encode(spec, end_id), "doc_id long, n long, ids binary"), "ids")
-    found = (ids.select("n", "ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = (ids.filter("n < 0").select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
              .collect())                                     # one row per id of the vocabulary
     counts = np.zeros(max([end_id, *(r["id"] for r in found)]) + 1, np.int64)
     counts[[r["id"] for r in found]] = [r["n"] for r in found]
     lengths = code_lengths(counts, limit)
-    coded = ids.mapInArrow(_code(lengths), "doc_id long, crc long, n long, checkpoints array<long>, bits binary")
+    coded = ids.filter("n >= 0").mapInArrow(_code(lengths), "doc_id long, crc long, n long, checkpoints array<long>, bits binary")
     (coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
      .mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/book")
 
 
-def _decode(lengths: np.ndarray):
+def _decode(lengths: np.ndarray, with_ids: bool):
     book = decode_table(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,30 +259,30 @@ def _decode(lengths: np.ndarray):
                          for a in range(0, len(marks), GROUP // STEP)]
                 ids = np.concatenate(every).astype("<u4")
                 ends = np.cumsum(counts)
+                raw = [ids[e - c:e].tobytes() for e, c in zip(ends, counts)]
+                at = batch.column("first")[i].as_py() + ends - counts
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(counts), batch.column("file")[i].as_py()), pa.int32()),
-                    pa.array(np.full(len(counts), batch.column("block")[i].as_py()), pa.int32()),
-                    batch.column("doc_ids")[i].values, pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()),
-                    pa.array([ids[e - c:e].tobytes() for e, c in zip(ends, counts)], pa.binary())],
-                    names=["file", "block", "doc_id", "at", "n_tokens", "ids"])
+                    pa.array(np.full(len(counts), batch.column("file")[i].as_py()), pa.int32()), batch.column("doc_ids")[i].values,
+                    pa.array(at, pa.int64()), pa.array(counts, pa.int64()),
+                    pa.array(raw, pa.binary()) if with_ids else pa.array([zlib.crc32(r) for r in raw], pa.int64())],
+                    names=["file", "doc_id", "at", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
     return run
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), decoded from the files."""
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens and the document's ids (little-endian unsigned 32-bit), or their checksum ``ids_crc32``,
+    decoded from the files. Nothing is shuffled: a file's first position comes from one total per file."""
     lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/book").first()["lengths"]), np.uint8)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    per = blocks.select("file", "block", size.alias("n"))
-    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    files = per.groupBy("file").agg(F.sum("n").alias("n"))          # one row per file
+    files = blocks.groupBy("file").agg(F.sum(size).alias("n"))          # one row per file
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    starts = per.select("file", "block", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("own")).join(files, "file")
-    ids = blocks.mapInArrow(_decode(lengths), "file int, block int, doc_id long, at long, n_tokens long, ids binary")
-    return ids.join(starts, ["file", "block"]).select(
-        "doc_id", (F.col("base") + F.col("own") + F.col("at")).alias("start"), "n_tokens", "ids")
+    last = "ids binary" if with_ids else "ids_crc32 long"
+    ids = blocks.mapInArrow(_decode(lengths, with_ids), f"file int, doc_id long, at long, n_tokens long, {last}")
+    return ids.join(F.broadcast(files), "file").select(
+        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
 
 
 def new_path(spark: SparkSession) -> str:
@@ -285,4 +293,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | No
     """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32."""
     path = path or new_path(docs.sparkSession)
     write_ids(docs, tokenizer_path, path, end_id)
-    return read_ids(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(docs.sparkSession, path, with_ids=False)

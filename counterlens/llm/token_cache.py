@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlens.llm.tokens import encoder, text_groups
+from counterlens.llm.common import text_chunks
+from counterlens.llm.tokens import encoder
 from counterlens.session import checkpoint_dir
 
 SCHEMA = "digest binary, version string, n_tokens long"
@@ -44,10 +45,9 @@ def cached_counts(spark: SparkSession, path: str, version: str) -> DataFrame:
 def _count(spec: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(spec)
-        for batch in batches:
-            for start, texts in text_groups(batch.column("content")):
-                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(start, len(texts)),
-                                                  pa.array(known.counts(texts), pa.int64())], names=["digest", "n_tokens"])
+        for rows, data, offsets in text_chunks(batches, "content"):
+            yield pa.RecordBatch.from_arrays([rows.column("digest"), pa.array(known.counts(data, offsets), pa.int64())],
+                                             names=["digest", "n_tokens"])
 
     return run
 
