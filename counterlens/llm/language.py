@@ -82,8 +82,9 @@ class Alphabet:
 
 
 def automaton(sample: np.ndarray, alphabet: int) -> np.ndarray:
-    """Moves of the sample's suffix automaton as one table ``[state * alphabet + symbol]`` of ``2 * next state +
-    1 if a phrase ends``; a symbol that does not continue the match ends the phrase and begins the next."""
+    """Moves of the sample's suffix automaton as one table ``[state * alphabet + symbol]`` of ``4 * next state +
+    phrases that end``; a symbol that does not continue the match ends the phrase and begins the next, one that the
+    sample lacks is a phrase of its own."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in sample.tolist():
@@ -112,11 +113,11 @@ def automaton(sample: np.ndarray, alphabet: int) -> np.ndarray:
     root = np.zeros(alphabet, np.int64)
     for c, to in moves[0].items():
         root[c] = to
-    table = np.tile(root * 2 + 1, (len(moves), 1))
-    table[0] = np.where(root > 0, root * 2, 1)               # from the root a known symbol starts a phrase
+    table = np.tile(root * 4 + 1 + (root == 0), (len(moves), 1))
+    table[0] = np.where(root > 0, root * 4, 1)               # from the root a known symbol starts a phrase
     for s, out in enumerate(moves):
         for c, to in out.items():
-            table[s, c] = to * 2
+            table[s, c] = to * 4
     table[1:, PAD] = 1
     table[0, PAD] = 0
     return table.reshape(-1).astype(np.int32)
@@ -149,8 +150,8 @@ class Parser:
             ended = np.zeros(len(grid), np.int32)
             for c in columns:
                 v = table[state * self.alphabet.size + c]
-                ended += v & 1
-                state = v >> 1
+                ended += v & 3
+                state = v >> 2
             out[:, j] = np.bincount(owner, weights=ended, minlength=len(symbols))
         return out
 

@@ -59,20 +59,30 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def _fixed_sizes(groups: DataFrame) -> DataFrame:
-    """Adds ``take``: how many documents of a (source, class) are sampled. A fold from the largest class down
-    carries the words taken beyond, or short of, what was due."""
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<class:int,take:long>>").alias("out"))
+    """Adds ``take``: how many documents of a (source, class) are sampled. A fold from the largest class down carries
+    the words taken beyond, or short of, what was due. A class rounds to the nearer number if the smaller classes can
+    still make up for it (take fewer words than their due, or find as many more), else to the other one."""
+    start = F.struct(F.lit(0.0).alias("carry"), F.col("all_due").alias("due"), F.col("all_words").alias("words"),
+                     F.array().cast("array<struct<class:int,take:bigint>>").alias("out"))
 
     def settle(acc, g):
-        due = g["due"] + acc["carry"]
-        mean = g["words"] / g["n"]
-        take = F.greatest(F.lit(0), F.least(g["n"], F.round(due / mean).cast("long")))
-        take = F.when(g["due"] <= 0, F.lit(0)).otherwise(take).cast("long")
-        return F.struct((due - take * mean).alias("carry"),
+        due, mean = g["due"] + acc["carry"], g["words"] / g["n"]
+        below_due, below_words = acc["due"] - g["due"], acc["words"] - g["words"]
+        low = F.greatest(F.lit(0), F.least(g["n"], F.floor(due / mean)))
+        high = F.least(g["n"], low + 1)
+        over, under = high * mean - due, due - low * mean
+        slack = mean * 1e-9
+        nearer, fits_over, fits_under = over < under, over <= below_due + slack, under <= below_words - below_due + slack
+        take = F.when(nearer & (fits_over | ~fits_under), high).when(fits_under, low).when(fits_over, high).otherwise(
+            F.when(nearer, high).otherwise(low)).cast("bigint")
+        return F.struct((due - take * mean).alias("carry"), below_due.alias("due"), below_words.alias("words"),
                         F.concat(acc["out"], F.array(F.struct(g["class"].alias("class"), take.alias("take")))).alias("out"))
 
-    per = groups.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(
-        "class", "n", "words", "due")), asc=False).alias("classes"))
+    per = groups.groupBy("source").agg(
+        F.sort_array(F.collect_list(F.struct("class", "n", "words", "due")), asc=False).alias("classes"),
+        F.sum("due").alias("all_due"), F.sum("words").cast("double").alias("all_words"))
+    per = per.withColumn("classes", F.transform("classes", lambda g: F.struct(
+        g["class"].alias("class"), g["n"].alias("n"), g["words"].cast("double").alias("words"), g["due"].alias("due"))))
     taken = per.select("source", F.explode(F.aggregate("classes", start, settle, lambda a: a["out"])).alias("g"))
     return taken.select("source", "g.class", "g.take")
 

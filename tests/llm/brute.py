@@ -41,6 +41,15 @@ def targets(docs, weights=(5, 2, 1), share=1.5, most=2.0):
             left -= full[s]
 
 
+def nearest_total(sizes, target):
+    """How near to ``target`` whole copies plus a subset of one more copy each can come."""
+    base = int(target / sum(sizes)) * sum(sizes) if sum(sizes) else 0
+    sums = {base}
+    for x in sizes:
+        sums |= {v + x for v in sums if v <= target + max(sizes)}
+    return min(abs(v - target) for v in sums)
+
+
 def window_repeats(docs, width=20):
     seen, out = {}, {}
     for i, text in sorted({(d[0], d[1] or "") for d in docs}, key=lambda d: id_order(d[0])):
