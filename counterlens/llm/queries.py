@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlens.llm import huffman, language, licenses, mixing, parsing, positions, repeats, simhash, token_cache, vector_tree
+from counterlens.llm import huffman, language, licenses, mixing, parsing, positions, repeats, simhash, sql, token_cache, vector_tree
 from counterlens.llm.common import table
 
 QUERIES: dict = {}
@@ -71,7 +71,7 @@ def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every text."""
     found = positions.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query
@@ -84,3 +84,8 @@ def op4_triggered_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty nearest of every twentieth vector."""
     return vector_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op2_window_repeats"] = sql.WINDOW_REPEATS
+ORACLES["op7_license_diagonals"] = sql.LICENSES
+ORACLES["op9_positional_index"] = sql.CONTAMINATION
