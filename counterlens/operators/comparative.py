@@ -50,16 +50,17 @@ def coded_minus_merit(values: DataFrame, by: list[str]) -> DataFrame:
 
 def exchange_rates(merit: DataFrame, by: list[str], key: str, replicates: int, seed: int) -> DataFrame:
     """Mean marker effect over mean quality margin; null unless the margin is positive, its interval only when the
-    margin is positive in every replicate."""
+    margin is positive in every replicate. A margin that is rounding (below half of 1e-9) is none."""
     x, y = F.col("marker_effect"), F.col("quality_margin")
     point = merit.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))
     boot = replicate_sums(merit.select(*by, key, x, y), key, ["marker_effect", "quality_margin"], by, replicates, seed)
-    ok = F.col("quality_margin") > 0
+    ok = F.round("quality_margin", 9) > 0
     r = boot.select(*by, F.when(ok, F.col("marker_effect") / F.when(ok, F.col("quality_margin"))).alias("r"), ok.alias("ok"))
     b = r.groupBy(*by).agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"),
                            F.bool_and("ok").alias("bounded"), F.count_if("ok").alias("n_boot_valid"))
-    bounded = F.col("bounded") & (F.col("y") > 0) & (F.col("n") > 1)
-    return point.join(b, by).select(*by, "n", F.when(F.col("y") > 0, F.col("x") / F.when(F.col("y") > 0, F.col("y"))).alias("exchange_rate"),
+    positive = F.round("y", 9) > 0
+    bounded = F.col("bounded") & positive & (F.col("n") > 1)
+    return point.join(b, by).select(*by, "n", F.when(positive, F.col("x") / F.when(positive, F.col("y"))).alias("exchange_rate"),
                                     F.when(bounded, F.col("lo")).alias("ci_low"), F.when(bounded, F.col("hi")).alias("ci_high"), "n_boot_valid")
 
 

@@ -86,9 +86,9 @@ def a24_coded(spark, sf):
 
 @query("a25_b6_exchange_rate", f"""WITH {SQL_TWO}, {SQL_PV}, {SQL_MERIT}, ix AS (SELECT *, {sql_index('mv', 'pair_id', ['axis', 'kind'])} AS idx FROM mv), sz AS (SELECT axis, kind, count(*) AS n FROM ix GROUP BY ALL),
 {sql_draws('dr', 'sz', ['axis', 'kind'], 2000, 0)}, bt AS (SELECT axis, kind, b, sum(marker_effect) AS x, sum(quality_margin) AS y FROM dr JOIN ix USING (axis, kind, idx) GROUP BY ALL),
-ci AS (SELECT axis, kind, quantile_cont(CASE WHEN y > 0 THEN x / y END, 0.025) AS lo, quantile_cont(CASE WHEN y > 0 THEN x / y END, 0.975) AS hi, bool_and(y > 0) AS bounded, count(*) FILTER (y > 0) AS n_boot_valid FROM bt GROUP BY ALL),
+ci AS (SELECT axis, kind, quantile_cont(CASE WHEN round(y, 9) > 0 THEN x / y END, 0.025) AS lo, quantile_cont(CASE WHEN round(y, 9) > 0 THEN x / y END, 0.975) AS hi, bool_and(round(y, 9) > 0) AS bounded, count(*) FILTER (round(y, 9) > 0) AS n_boot_valid FROM bt GROUP BY ALL),
 pt AS (SELECT axis, kind, count(*)::BIGINT AS n, avg(marker_effect) AS x, avg(quality_margin) AS y FROM mv GROUP BY ALL)
-SELECT axis, kind, n, round(CASE WHEN y > 0 THEN x / y END, 9) AS exchange_rate, round(CASE WHEN bounded AND y > 0 THEN lo END, 9) AS ci_low, round(CASE WHEN bounded AND y > 0 THEN hi END, 9) AS ci_high, n_boot_valid FROM pt JOIN ci USING (axis, kind)""")
+SELECT axis, kind, n, round(CASE WHEN round(y, 9) > 0 THEN x / y END, 9) AS exchange_rate, round(CASE WHEN bounded AND round(y, 9) > 0 THEN lo END, 9) AS ci_low, round(CASE WHEN bounded AND round(y, 9) > 0 THEN hi END, 9) AS ci_high, n_boot_valid FROM pt JOIN ci USING (axis, kind)""")
 def a25(spark, sf):
     return _round(C.exchange_rates(_merit(spark, sf), ["axis", "kind"], "pair_id", 2000, 0), ["exchange_rate", "ci_low", "ci_high"])
 

@@ -244,11 +244,11 @@ def l8(spark, sf):
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
-@query("j3_probe_exclusion", f"""WITH {SQL_RECORDS}, p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 150)
+@query("j3_probe_exclusion", f"""WITH {SQL_RECORDS}, p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 40)
 SELECT record_id, strong FROM records WHERE record_id NOT IN (SELECT record_id FROM p)""")
 def j3(spark, sf):
     r = recs(spark, sf).select("record_id", "strong")
-    return r.join(S.seeded_order(r, "record_id", SEED, 150).select("record_id"), "record_id", "left_anti")
+    return r.join(S.seeded_order(r, "record_id", SEED, 40).select("record_id"), "record_id", "left_anti")
 
 
 @query("j4_pool_equality", """WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 5 <> 0)
@@ -315,7 +315,7 @@ def j20(spark, sf):
 
 @query("j21_pairing_candidates", f"""WITH {SQL_RECORDS}, b AS (SELECT record_id, strong, prompt, e, t FROM records, (VALUES ('explicit'), ('proxy')) x(e), (VALUES ('v1'), ('v2')) y(t)
   WHERE NOT ({sql_h15("record_id || '|' || e || '|' || t")} % 20 = 0)),
-p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 150)
+p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 40)
 SELECT record_id, any_value(strong) AS strong, any_value(prompt) AS prompt FROM b WHERE record_id NOT IN (SELECT record_id FROM p) GROUP BY record_id HAVING count(DISTINCT e || t) = 4""")
 def j21(spark, sf):
     """Records whose every (encoding, template) block survived the gate and that trained no probe."""
@@ -324,7 +324,7 @@ def j21(spark, sf):
     grid = F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(t).alias("t")) for e in ("explicit", "proxy") for t in ("v1", "v2")]))
     b = r.select("*", grid.alias("g")).filter(F.pmod(hash15(F.col("record_id"), F.col("g.e"), F.col("g.t")), F.lit(20)) != 0)
     whole = b.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.any_value("strong").alias("strong"), F.any_value("prompt").alias("prompt"))
-    probe = S.seeded_order(r, "record_id", SEED, 150).select("record_id")
+    probe = S.seeded_order(r, "record_id", SEED, 40).select("record_id")
     return whole.filter("n = 4").join(probe, "record_id", "left_anti").select("record_id", "strong", "prompt")
 
 

@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from oracle import compare, connect
 
 SMALL = os.environ.get("AUDIT_SF_DIR", "/root/testdata/sf0.001")
+#: At sf0.001 no French, Spanish or German group has both strong and weak records.
+MAY_BE_EMPTY = {"w13_equal_group_selection"} if SMALL.endswith("sf0.001") else set()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -18,9 +20,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, con):
+    """Equal to its SQL up to the last rounded digit (sums in another order), and never empty."""
     df = QUERIES[name](spark, SMALL)
     if name in ORACLES:
-        assert [p for p in compare(df, con, ORACLES[name], 2e-9) if p != "no rows"] == []
+        allowed = {"no rows"} if name in MAY_BE_EMPTY else set()
+        assert set(compare(df, con, ORACLES[name], 2e-9)) <= allowed
     else:
         assert df.count() > 0
     spark.catalog.clearCache()
