@@ -115,8 +115,8 @@ pt AS (SELECT encoding, strong, stat, count(*)::BIGINT AS n, avg(v) AS mean, std
    stddev_samp(u) AS scale_sd, avg(v) / nullif(stddev_samp(u), 0) AS scaled_mean FROM long GROUP BY ALL)
 SELECT encoding, strong, stat, n, round(mean, 9) AS mean, round(sd, 9) AS sd, round(d_z, 9) AS d_z,
   round(share_negative, 9) AS share_negative, round(scale_sd, 9) AS scale_sd, round(scaled_mean, 9) AS scaled_mean,
-  round(ci_low, 7) AS ci_low, round(ci_high, 7) AS ci_high, round(scaled_ci_low, 7) AS scaled_ci_low,
-  round(scaled_ci_high, 7) AS scaled_ci_high FROM pt JOIN ci USING (encoding, strong, stat)"""
+  round(ci_low, 10) AS ci_low, round(ci_high, 10) AS ci_high, round(scaled_ci_low, 10) AS scaled_ci_low,
+  round(scaled_ci_high, 10) AS scaled_ci_high FROM pt JOIN ci USING (encoding, strong, stat)"""
 
 
 SUMMARY_COLUMNS = ["mean", "sd", "d_z", "share_negative", "scale_sd", "scaled_mean", "ci_low", "ci_high",
@@ -128,8 +128,8 @@ def _summary(spark, sf, margin: str, replicates: int):
     wide = D.record_effects(rewards(spark, sf), CREDIT, KEYS, margins)
     names = [f"{margin}:{k}" for k in SQL_EFFECT_LIST if k != "unmarked"]
     out = D.summaries(wide, ["encoding", "strong"], "record_id", names, "D:unmarked", replicates, 0)
-    # Scores are whole thousandths: interpolated bounds can end in a 5 at the tenth decimal, so they are cut before it.
-    return out.select("encoding", "strong", "stat", "n", *[F.round(c, 7 if "ci_" in c else 9).alias(c) for c in SUMMARY_COLUMNS])
+    # Scores are whole thousandths: interpolated bounds can end in a 5 at the tenth decimal, so they are cut after it.
+    return out.select("encoding", "strong", "stat", "n", *[F.round(c, 10 if "ci_" in c else 9).alias(c) for c in SUMMARY_COLUMNS])
 
 
 @query("r6_decision_audit", _summary_sql("D", 2000))
