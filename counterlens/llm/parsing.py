@@ -35,10 +35,10 @@ from counterlens.llm.common import BASES, BYTE_VALUES, mix, powers, shuffle_part
 from counterlens.llm.repeats import CELLS, by_whole_groups, hit_twice, join_back, sketch
 
 LENGTH, GRAM, STEP = 200, 64, 16
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 PLACE_BITS = 26                        # positions of a block in the low bits of what triggers are chosen by
-FLUSH = 150_000                        # pieces a task gathers before it merges equal ones
-GROUP = 400_000                        # pieces settled at once
+FLUSH = 100_000                        # pieces a task gathers before it merges equal ones
+GROUP = 200_000                        # pieces settled at once
 
 PIECES = "k1 long, k2 long, doc_id long, key int, start int, low int, high int, many boolean, wings binary, run int"
 

@@ -21,6 +21,7 @@ ordered by text hash; a run of equal words repeats itself and keeps its first wi
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -36,8 +37,9 @@ from counterlens.llm.common import (BASES, SPACE_KEEP, mix, rolling, shuffle_par
 WIDTH, GRAM = 20, 10
 CELLS = 1 << 27          # cells of each of the two sketch rows
 SLICE = 1 << 21          # cells that one merging step holds
-FLUSH = 2_000_000        # windows a task gathers before it writes the earliest of each
-GROUP = 500_000          # windows settled at once
+CHUNK = 2 << 20          # text bytes in numpy form at once
+FLUSH = 1_000_000        # windows a task gathers before it writes the earliest of each
+GROUP = 250_000          # windows settled at once
 _SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -73,6 +75,11 @@ def _read(data, offsets):
     return words, doc, ends_at[doc] - np.arange(len(words)) if len(words) else np.empty(0, np.int64)
 
 
+def _squeezed(hits: np.ndarray) -> bytes:
+    """Sorted cell numbers as compressed differences."""
+    return zlib.compress(np.diff(hits, prepend=0).astype("<u4").tobytes(), 1)
+
+
 def _sketch(cells: int, anchors_of):
     """Task function: cells that this partition's anchors hit, each at most twice, by (row, slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +95,9 @@ def _sketch(cells: int, anchors_of):
                 cut = np.flatnonzero(np.diff(parts, prepend=-1))
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array(row * (cells // SLICE) + parts[cut], pa.int32()),
-                    "hits": pa.array([x.astype(np.uint32).tobytes() for x in np.split(at % SLICE, cut[1:])], pa.binary())})
+                    "hits": pa.array([_squeezed(x) for x in np.split(at % SLICE, cut[1:])], pa.binary())})
 
-        for _, data, offsets in text_chunks(batches):
+        for _, data, offsets in text_chunks(batches, limit=CHUNK):
             found.append(anchors_of(data, offsets))
             if sum(map(len, found)) >= FLUSH:
                 yield from flush()
@@ -113,7 +120,7 @@ def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if now is not None:
                     yield done()
                 now, seen = k, np.zeros(SLICE, np.uint8)
-            at = np.frombuffer(hits, np.uint32)
+            at = np.cumsum(np.frombuffer(zlib.decompress(hits), "<u4"), dtype=np.int64)
             once = np.ones(len(at), bool)
             once[1:] = at[1:] != at[:-1]
             for own in (at[once], at[~once]):           # each cell at most once per step, so += counts right
@@ -204,7 +211,7 @@ def _candidates(held, cells: int, width: int, gram: int):
                 own = mix(ids.view(np.uint64) ^ mix(start.astype(np.uint64) ^ mix(key.astype(np.uint64))))
                 yield rows(own, mix(own).astype(np.uint32), null, ids, key, start, length)
 
-        for batch, data, offsets in text_chunks(batches):
+        for batch, data, offsets in text_chunks(batches, limit=CHUNK):
             words, doc, left = _read(data, offsets)
             keep = np.flatnonzero(hit_twice(bits, _anchors(words, left, width, gram), cells))
             if not len(keep):
