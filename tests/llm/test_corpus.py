@@ -373,6 +373,45 @@ def test_pipeline_stages(spark, docs, rows):
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == len(after)
 
 
+def five_word_groups(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = brute.SPACE.findall((t or "").translate(brute.LOWER))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    return [find(x) for x in range(len(texts))]
+
+
+def test_near_duplicates_by_shingles(spark, rows):
+    """Edits spread over a text leave 0.8 of its five-word shingles but move more than four bits of its SimHash."""
+    base = [f"word{i}" for i in range(400)]
+    some = [" ".join("other" if i in at else w for i, w in enumerate(base)) for at in ((), (50, 150, 250), (20, 120, 220, 320, 380), range(0, 400, 30))]
+    short = ["a b c d e f g h i j k l", "A  b c d e f g h i j k l", "a b c d e f g h i j k m", "a b c d", "a b c d e", None, " "]
+    more = [(3000 + i, t, "src0", "en") for i, t in enumerate(some + short)]
+    more += [(3100, "one id with one text " * 3, "src0", "en"), (3100, "and the same id over a different one", "src0", "en"),
+             (None, some[0], "src0", "en"), (None, "only null ids here " * 4, "src0", "en"), (None, "only null ids here " * 4, "src0", "en")]
+    table = rows + more
+    group = five_word_groups([r[1] for r in table])
+    best = {}
+    for g, r in zip(group, table):
+        best[g] = min(best.get(g, (True, 0, "")), (r[0] is None, r[0] or 0, "" if r[0] is not None else r[1]), key=lambda k: k[:2])
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, table).repartition(5), SMALL)
+    ids = sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None)
+    assert ids == sorted(i for none, i, _ in best.values() if not none) and ids.count(3100) == 2
+    assert len(out.collect()) == len(best)
+    assert len({brute.fingerprint(t) for t in some[:2]}) == 2 and (brute.fingerprint(some[0]) ^ brute.fingerprint(some[2])).bit_count() > 4
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
