@@ -412,6 +412,24 @@ def test_near_duplicates_by_shingles(spark, rows):
     assert len({brute.fingerprint(t) for t in some[:2]}) == 2 and (brute.fingerprint(some[0]) ^ brute.fingerprint(some[2])).bit_count() > 4
 
 
+def test_decisions_hold_for_rows_not_ids(spark):
+    """Rows without an id, and rows that share one, are each judged and mixed by themselves."""
+    item = pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist()[0]["text"]
+    bad, clean = "Before it " + item + " after it", "nothing of any benchmark in here"
+    rows = [(None, bad, "a", "en"), (None, clean, "a", "en"), (7, bad, "a", "en"), (7, clean, "a", "en"), (8, clean, "a", "en"), (8, clean, "a", "en")]
+    out = corpus_pipeline.decontamination(spark, frame(spark, rows), SMALL)
+    assert got(out, "doc_id", "text") == sorted([(None, clean), (7, clean), (8, clean), (8, clean)], key=repr)
+    rows = [(None, f"t{i} " * (20 + i % 7), "a", "en") for i in range(300)] + [(5, f"u{i} " * 30, "b", "en") for i in range(300)]
+    rows += [(6, "same row " * 10, "b", "en")] * 40
+    _, target = brute.targets(rows)
+    words = {}
+    for r in corpus_pipeline.mixture(spark, frame(spark, rows), SMALL).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert set(words) == set(target)
+    for s, n in words.items():
+        assert n == pytest.approx(target[s], rel=0.03), (s, n, target[s])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
