@@ -9,7 +9,7 @@ the id first) of 4 * SAMPLE characters each: these bounds are parameters of the
 most one phrase more each, so many blocks are parsed side by side, one table lookup per symbol and language.
 
 Scale: one pass over the texts, no shuffle of texts; the automata are bounded by SAMPLE times the number of
-languages and travel with the tasks.
+languages, also in scripts of many thousand letters (sparse moves), and travel with the tasks.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; letters that no sample has are one
 symbol; equal phrase counts go to the language first in code-point order; repeated rows each get their row; a
@@ -19,8 +19,10 @@ null id is never held out; with no labelled text every document is ``und``; othe
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,6 @@ from counterlens.llm.common import Carried
 SAMPLE = 40_000
 ROWS = 200
 BLOCK = 256
-LETTERS = 60                 # letters with a symbol of their own
 GROUP = 1 << 19              # symbols parsed side by side
 GAP, PAD = 0, 1              # symbols: any run of non-letters; end of a block
 UNKNOWN = "und"
@@ -56,16 +57,16 @@ def labelled_sample(docs: DataFrame, rows: int = ROWS) -> DataFrame:
 
 
 class Alphabet:
-    """Symbols of lower-cased characters: gap, block end, unknown letter, then the commonest letters."""
+    """Symbols of lower-cased characters: gap, block end, unknown letter, then every letter of the texts, commonest first."""
 
     def __init__(self, texts: list[str]):
         seen = Counter()
         for t in texts:
             seen.update(t.lower())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:LETTERS]
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()]
         self.size = 3 + len(letters)
         own = {c: 3 + i for i, c in enumerate(letters)}
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.symbol = np.zeros(0x110000, np.min_scalar_type(self.size - 1))
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
@@ -81,10 +82,24 @@ class Alphabet:
         return s[:-1] if len(s) and s[-1] == GAP else s
 
 
-def automaton(sample: np.ndarray, alphabet: int) -> np.ndarray:
-    """Moves of the sample's suffix automaton as one table ``[state * alphabet + symbol]`` of ``4 * next state +
-    phrases that end``; a symbol that does not continue the match ends the phrase and begins the next, one that the
-    sample lacks is a phrase of its own."""
+class Moves(NamedTuple):
+    """Moves of an automaton. That of ``state`` with ``symbol`` stands at ``base[state] + symbol`` if ``owner`` there is
+    the state, else it is ``miss[symbol]``. A move is ``4 * next state + phrases that end``."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    miss: np.ndarray
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.to[at], self.miss[symbol])
+
+
+def automaton(sample: np.ndarray, alphabet: int) -> Moves:
+    """The sample's suffix automaton; a symbol that does not continue the match ends the phrase and begins the next,
+    one that the sample lacks is a phrase of its own. Its moves are as many as the sample's symbols, times three at
+    most, whatever the size of the alphabet."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in sample.tolist():
@@ -113,18 +128,34 @@ def automaton(sample: np.ndarray, alphabet: int) -> np.ndarray:
     root = np.zeros(alphabet, np.int64)
     for c, to in moves[0].items():
         root[c] = to
-    table = np.tile(root * 4 + 1 + (root == 0), (len(moves), 1))
-    table[0] = np.where(root > 0, root * 4, 1)               # from the root a known symbol starts a phrase
-    for s, out in enumerate(moves):
-        for c, to in out.items():
-            table[s, c] = to * 4
-    table[1:, PAD] = 1
-    table[0, PAD] = 0
-    return table.reshape(-1).astype(np.int32)
+    miss = root * 4 + 1 + (root == 0)
+    miss[PAD] = 1
+    first = np.where(root > 0, root * 4, 1)                  # from the root a known symbol starts a phrase
+    first[PAD] = 0
+    # The root has a place for every symbol; then the states with most moves look for free places, and single moves fill up.
+    size = alphabet + 2 * sum(map(len, moves))
+    base, owner, to = np.zeros(len(moves), np.int32), np.full(size + alphabet, -1, np.int32), np.zeros(size + alphabet, np.int32)
+    owner[:alphabet], to[:alphabet] = 0, first
+    free = bytearray(b"\1") * (size + alphabet)
+    free[:alphabet] = bytes(alphabet)
+    rng = random.Random(1)
+    for s in sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s])):
+        at = rng.randrange(size)
+        while not all(free[at + c] for c in moves[s]):
+            at = rng.randrange(size)
+        base[s] = at
+        for c, t in moves[s].items():
+            free[at + c], owner[at + c], to[at + c] = 0, s, t * 4
+    ones = [(s, *next(iter(moves[s].items()))) for s in range(1, len(moves)) if len(moves[s]) == 1]
+    if ones:
+        s, c, t = np.array(ones).T
+        places = np.flatnonzero(np.frombuffer(free, np.uint8)[:size])[:len(s)]
+        base[s], owner[places], to[places] = places - c, s, t * 4
+    return Moves(base, owner, to, miss.astype(np.int32))
 
 
 class Parser:
-    def __init__(self, alphabet: Alphabet, tables: dict[str, np.ndarray], weights: dict[str, float]):
+    def __init__(self, alphabet: Alphabet, tables: dict[str, Moves], weights: dict[str, float]):
         self.alphabet, self.langs = alphabet, sorted(tables)
         self.tables = [tables[k] for k in self.langs]
         self.weights = np.array([weights[k] for k in self.langs])
@@ -135,11 +166,11 @@ class Parser:
         out = np.zeros((len(symbols), len(self.langs)))
         if not n.sum():
             return out
-        grid = np.full((int(n.sum()), BLOCK + 1), PAD, np.uint8)
+        grid = np.full((int(n.sum()), BLOCK + 1), PAD, self.alphabet.symbol.dtype)
         at = 0
         for s, k in zip(symbols, n):
             if k:
-                flat = np.full(int(k) * BLOCK, PAD, np.uint8)
+                flat = np.full(int(k) * BLOCK, PAD, grid.dtype)
                 flat[:len(s)] = s
                 grid[at:at + k, :BLOCK] = flat.reshape(int(k), BLOCK)
                 at += int(k)
@@ -149,7 +180,7 @@ class Parser:
             state = np.zeros(len(grid), np.int32)
             ended = np.zeros(len(grid), np.int32)
             for c in columns:
-                v = table[state * self.alphabet.size + c]
+                v = table.step(state, c)
                 ended += v & 3
                 state = v >> 2
             out[:, j] = np.bincount(owner, weights=ended, minlength=len(symbols))
@@ -196,7 +227,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> Parser:
         share = max(1, sample // len(own))                   # first an even share of every document, then the rest
         parts = [alphabet.read(t) for t in own]
         taken = [p[:share] for p in parts] + [p[share:] for p in parts]
-        joined = np.concatenate([np.append(p, GAP) for p in taken if len(p)] or [np.zeros(0, np.uint8)])[:sample]
+        joined = np.concatenate([np.append(p, GAP) for p in taken if len(p)] or [np.zeros(0, alphabet.symbol.dtype)])[:sample]
         if len(joined):
             tables[lang] = automaton(joined, alphabet.size)
             weights[lang] = math.log2(len(joined) + 1)

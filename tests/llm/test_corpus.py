@@ -221,6 +221,27 @@ def test_language_accuracy(spark, docs, rows):
     assert und == {1001, 1002, 1003}
 
 
+def test_every_letter_of_the_samples_counts(spark):
+    """Hundreds of letters a script: two languages that differ in rare letters alone, and texts by plain parsing."""
+    rng = np.random.default_rng(6)
+    latin = "the quick brown fox jumps over lazy dogs " * 40
+    letters = {"a": [chr(0x4E00 + i) for i in range(600)], "b": [chr(0x5E00 + i) for i in range(600)], "c": [chr(0xAC00 + i) for i in range(600)]}
+    words = {k: ["".join(rng.choice(v, 4)) for _ in range(150)] for k, v in letters.items()}
+    text = lambda k: "".join(rng.choice(words[k], 50))
+    rows = [(i, text("abc"[i % 3]) if i % 4 else latin, "s", "abc"[i % 3] if i % 4 else "en") for i in range(240)]
+    parser = language.train(frame(spark, rows))
+    assert parser.alphabet.size > 700 and sum(t.to.nbytes + t.owner.nbytes for t in parser.tables) < 1 << 24
+    for k in "abc":
+        assert parser.predict([text(k) for _ in range(20)])[0] == [k] * 20
+    alphabet = language.Alphabet([t for _, t, _, _ in rows])
+    sample = alphabet.read("".join(t + " " for _, t, _, _ in rows[1:40]))
+    whole = "".join(map(chr, sample))
+    one = language.Parser(alphabet, {"x": language.automaton(sample, alphabet.size)}, {"x": 1.0})
+    for t in ("quick dogs", text("a")[:100], text("b")[:60] + "\u0436\u0436 the", rows[5][1]):
+        own = alphabet.read(t)[:language.BLOCK]
+        assert one.phrases([own])[0, 0] == brute.phrases("".join(map(chr, own)), whole)
+
+
 def test_language_of_nothing(docs, none):
     assert language.predictions(none, language.train(none)).count() == 0
     assert {r["lang_pred"] for r in language.predictions(docs.limit(5), language.train(none)).collect()} == {"und"}
