@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlens.llm import huffman, language, licenses, mixing, parsing, positions, repeats, simhash, sql, token_cache, vector_tree
+from counterlens.llm import huffman, language, licenses, mixing, parsing, positions, repeats, simhash, sql, token_cache, vector_tree, whitening
 from counterlens.llm.common import table
 
 QUERIES: dict = {}
@@ -86,6 +86,13 @@ def op10_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of every vector."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 ORACLES["op2_window_repeats"] = sql.WINDOW_REPEATS
 ORACLES["op7_license_diagonals"] = sql.LICENSES
 ORACLES["op9_positional_index"] = sql.CONTAMINATION
