@@ -43,6 +43,14 @@ def text_key(text: str = "text") -> Column:
     return F.hash(F.col(text))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with signs added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

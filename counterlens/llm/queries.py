@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlens.llm import huffman, language, licenses, mixing, parsing, positions, repeats, simhash, sql, token_cache, vector_tree, whitening
+from counterlens.llm import huffman, language, licenses, mixing, packing, parsing, positions, repeats, simhash, sql, token_cache, vector_tree, whitening
 from counterlens.llm.common import table
 
 QUERIES: dict = {}
@@ -14,6 +14,8 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+WORD_TOKENIZER = "word_bpe_49k.json"
+WORD_END_ID = 1
 
 
 def query(fn):
@@ -93,6 +95,14 @@ def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+@query
+def op12_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in pieces of at most 4096 tokens, packed."""
+    pieces = packing.encoded_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), WORD_END_ID)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row")
+    return packing.place(digests).drop("row")
+
+
 ORACLES["op2_window_repeats"] = sql.WINDOW_REPEATS
 ORACLES["op7_license_diagonals"] = sql.LICENSES
 ORACLES["op9_positional_index"] = sql.CONTAMINATION

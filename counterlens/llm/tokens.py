@@ -156,11 +156,14 @@ class Encoder:
             self._add_each([data[a:b].tobytes().decode() for a, b in zip(starts[rest], ends[rest])])
         return number
 
-    def _places(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number and row of every piece, in order."""
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return piece_starts(data, offsets)
+
+    def _places(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Number and row of every piece, in order; None where two different pieces have one name."""
         if self.count > PIECES:
             self._reset()
-        starts = piece_starts(data, offsets)
+        starts = self._starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         name, check = piece_names(data, starts, ends)
         kinds, one, back = np.unique(name, return_index=True, return_inverse=True)
@@ -169,7 +172,7 @@ class Encoder:
         number = np.empty(len(kinds), np.int64)
         number[known] = self.number[at[known]]
         if (check[one][back] != check).any() or (known.any() and (self.check[at[known]] != check[one[known]]).any()):
-            raise ValueError("two pieces share a hash")     # one in 2 ** 64 for each pair: never seen, never wrong
+            return None                          # one in 2 ** 64 for each pair: the rows are encoded whole
         if not known.all():
             new = one[~known]
             number[~known] = self._learn(data, starts[new], ends[new])
@@ -191,7 +194,10 @@ class Encoder:
             return self._whole(data, offsets)
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        place, row = self._places(data, offsets)
+        found = self._places(data, offsets)
+        if found is None:
+            return self._whole(data, offsets)
+        place, row = found
         lens = self.length[place]
         ends = np.cumsum(lens)
         ids = self.ids[np.repeat(self.first[place] - (ends - lens), lens) + np.arange(int(lens.sum()))]
@@ -200,7 +206,10 @@ class Encoder:
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not self.by_piece or not len(data):
             return self.encode(data, offsets)[1]
-        place, row = self._places(data, offsets)
+        found = self._places(data, offsets)
+        if found is None:
+            return self._whole(data, offsets)[1]
+        place, row = found
         return np.bincount(row, weights=self.length[place], minlength=len(offsets) - 1).astype(np.int64)
 
 
