@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlens.llm import huffman, language, licenses, mixing, packing, parsing, positions, repeats, simhash, sql, token_cache, vector_tree, whitening
+from counterlens.llm import (huffman, language, licenses, mixing, packing, parsing, positions, repeats, simhash, spelling, sql, token_cache,
+                             vector_tree, whitening)
 from counterlens.llm.common import table
 
 QUERIES: dict = {}
@@ -103,6 +104,12 @@ def op12_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests).drop("row")
 
 
+@query
+def op13_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, one in 97 occurrences damaged, with their more frequent near words."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), damage=97))
+
+
 ORACLES["op2_window_repeats"] = sql.WINDOW_REPEATS
 ORACLES["op7_license_diagonals"] = sql.LICENSES
 ORACLES["op9_positional_index"] = sql.CONTAMINATION
