@@ -20,6 +20,12 @@ def edits(word, letters):
     return out - {word}
 
 
+def one_edit(a, b):
+    a, b = sorted((a, b), key=len)
+    front = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a != b and len(b) - len(a) < 2 and a[front + (len(a) == len(b)):] == b[front + 1:]
+
+
 def words_of(rows, damage=97):
     count = Counter()
     for i, text, *_ in rows:
@@ -35,7 +41,7 @@ def words_of(rows, damage=97):
 
 def plain(words):
     letters = sorted({c for w in words for c in w})
-    near = {w: sorted(edits(w, letters) & words.keys()) for w in words}
+    near = {w: sorted(edits(w, letters) & words.keys() if len(w) < 99 else {o for o in words if one_edit(w, o)}) for w in words}
     form = {}
     for w, others in near.items():
         best = min(others, key=lambda o: (-words[o], o), default=None)
