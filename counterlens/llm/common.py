@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from counterlens.session import checkpoint_dir
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"                      # words: runs without ASCII white space
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"        # after lower-casing: ASCII letters, digits, all non-ASCII
+SHARED = 100_000                                       # ids of several rows that are broadcast
 CHUNK_BYTES = 4 << 20                                  # text that a task holds in numpy form at once
 
 _CODES = np.arange(256)
@@ -38,9 +40,52 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_key(text: str = "text") -> Column:
-    """Tells rows with one id and different texts apart; rows equal in both are the same document."""
-    return F.hash(F.col(text))
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``key``: rows equal in id and key are the same document, equal in id and text.
+
+    Only rows without an id, or whose id other rows have too, need a key: 128 bits of the text. The others' is empty. Shared ids are
+    broadcast while there are at most ``SHARED``; beyond, every row has a key."""
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id")
+    ids = stored(ids, "shared-ids")
+    many = ids.limit(SHARED + 1).count() > SHARED
+    rows = docs.select("doc_id", "text")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    if many:
+        return rows.withColumn("key", digest)
+    flagged = rows.join(F.broadcast(ids.withColumn("shared", F.lit(True))), "doc_id", "left")
+    return flagged.select("doc_id", "text", F.when(F.col("shared") | F.col("doc_id").isNull(), digest).otherwise(F.lit("")).alias("key"))
+
+
+def ranked(column) -> tuple[np.ndarray, pa.Array]:
+    """Rank of each value among the distinct ones, and these in order."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    coded = column.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+
+class Keys:
+    """Numbers for the keys that a task meets; nearly all are empty."""
+
+    def __init__(self):
+        self.number = {"": 0}
+
+    def of(self, column: pa.Array) -> np.ndarray:
+        if not pc.sum(pc.binary_length(column)).as_py():
+            return np.zeros(len(column), np.int64)
+        return np.array([self.number.setdefault(k, len(self.number)) for k in column.to_pylist()], np.int64)
+
+    def ranks(self, numbers: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        rank, names = ranked(pa.array(list(self.number), pa.string()))
+        return rank[numbers], names
+
+
+def row_digest(columns: list[str]) -> Column:
+    """128 bits of a row's values, null unlike any value."""
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return F.unhex(F.md5(F.to_json(F.struct(*[c.cast("string").alias(f"c{i}") for i, c in enumerate(quoted)]))))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import ALNUM_WORD, text_key
+from counterlens.llm.common import ALNUM_WORD, keyed_rows
 
 K, DRIFT, ENOUGH = 3, 2, 0.7
 
@@ -81,11 +81,11 @@ def template_grams(spark: SparkSession, templates: tuple, phrases: tuple) -> tup
     return grams.withColumn("n_grams", F.count(F.lit(1)).over(per)), short
 
 
-def license_spans(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
-    """doc_id, key, label, base, first_word, last_word (starts of the span's first and last k-gram), score."""
-    spark = docs.sparkSession
+def license_spans(rows: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
+    """``rows``: as ``keyed_rows``. doc_id, key, label, base, first_word, last_word (starts of the span's first and last k-gram), score."""
+    spark = rows.sparkSession
     known, short = template_grams(spark, templates, phrases)
-    words = docs.select("doc_id", text_key().alias("key"), words_of().alias("words"))
+    words = rows.select("doc_id", "key", words_of().alias("words"))
     votes = (_grams(words, ["doc_id", "key"], short).join(F.broadcast(known), "gram")
              .select("doc_id", "key", "template", "label", "base", "n_grams", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")))
     exact = ["doc_id", "key", "template", "label", "base", "n_grams", "diagonal"]
@@ -104,7 +104,8 @@ def license_spans(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
 
 def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per input row."""
-    spans = license_spans(docs, templates, phrases)
+    rows = keyed_rows(docs)
+    spans = license_spans(rows, templates, phrases)
     base = F.col("base")
     found = spans.groupBy("doc_id", "key").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first_word"))).cast("long").alias("first_word"),
@@ -113,7 +114,7 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple =
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"))
     found = found.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     any_case = ALNUM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
-    docs = docs.select("doc_id", text_key().alias("key"),
+    docs = rows.select("doc_id", "key",
                        F.coalesce(F.regexp_count("text", F.lit(any_case)), F.lit(0)).cast("long").alias("n_words"))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["i"]) & (docs["key"] == found["k"]), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",

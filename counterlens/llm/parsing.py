@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import BASES, BYTE_VALUES, mix, powers, shuffle_partitions, sliding, text_chunks, text_key
+from counterlens.llm.common import BASES, BYTE_VALUES, keyed_rows, mix, powers, shuffle_partitions, sliding, text_chunks
 from counterlens.llm.repeats import CELLS, by_whole_groups, hit_twice, join_back, sketch
 
 LENGTH, GRAM, STEP = 200, 64, 16
@@ -40,7 +40,7 @@ PLACE_BITS = 26                        # positions of a block in the low bits of
 FLUSH = 100_000                        # pieces a task gathers before it merges equal ones
 GROUP = 200_000                        # pieces settled at once
 
-PIECES = "k1 long, k2 long, doc_id long, key int, start int, low int, high int, many boolean, wings binary, run int"
+PIECES = "k1 long, k2 long, doc_id long, key string, start int, low int, high int, many boolean, wings binary, run int"
 
 
 class Prefix:
@@ -143,7 +143,7 @@ def _pieces(held, cells: int, length: int, gram: int):
             own = [ids[d] for d in doc.tolist()]
             return pa.RecordBatch.from_arrays([
                 pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([i for i, _ in own], pa.int64()),
-                pa.array([k for _, k in own], pa.int32()), pa.array(start, pa.int32()), pa.array(low, pa.int32()),
+                pa.array([k for _, k in own], pa.string()), pa.array(start, pa.int32()), pa.array(low, pa.int32()),
                 pa.array(high, pa.int32()), pa.array(many), pa.array(wings, pa.binary()), pa.array(length_, pa.int32())],
                 names=[c.split()[0] for c in PIECES.split(", ")])
 
@@ -220,13 +220,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from by_whole_groups(batches, ("k1", "k2"), GROUP, settle)
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """doc_id, key, start, run: starts of ``length``-byte strings that also start elsewhere."""
-    keyed = docs.select("doc_id", text_key().alias("key"), "text")
-    held = docs.sparkSession.sparkContext.broadcast(sketch(docs, byte_anchors(length, gram), cells))
-    pieces = keyed.mapInArrow(_pieces(held, cells, length, gram), PIECES)
-    return (pieces.repartition(shuffle_partitions(docs.sparkSession), "k1", "k2").sortWithinPartitions("k1", "k2")
-            .mapInArrow(_settle, "doc_id long, key int, start int, run int"))
+def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
+    """``rows``: as ``keyed_rows``. doc_id, key, start, run: starts of ``length``-byte strings that also start elsewhere."""
+    held = rows.sparkSession.sparkContext.broadcast(sketch(rows, byte_anchors(length, gram), cells))
+    pieces = rows.mapInArrow(_pieces(held, cells, length, gram), PIECES)
+    return (pieces.repartition(shuffle_partitions(rows.sparkSession), "k1", "k2").sortWithinPartitions("k1", "k2")
+            .mapInArrow(_settle, "doc_id long, key string, start int, run int"))
 
 
 def _cut(length: int):
@@ -261,6 +260,7 @@ def _cut(length: int):
 
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row."""
-    gone = repeated_starts(docs, length, gram, cells).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "run")).alias("gone"))
-    return join_back(docs, gone).mapInArrow(
+    rows = keyed_rows(docs)
+    gone = repeated_starts(rows, length, gram, cells).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "run")).alias("gone"))
+    return join_back(rows, gone).mapInArrow(
         _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -33,7 +33,7 @@ SEGMENT_BYTES = 6 << 20
 QUERY_LIMIT = 512 << 20                                 # characters of benchmark text that may travel with the tasks
 GAP = 64                                                # free positions after each document; above window + slop
 
-SEGMENTS = "terms binary, firsts binary, positions binary, doc_ids array<long>, bases array<int>, counts array<int>"
+SEGMENTS = "terms binary, firsts binary, positions binary, doc_ids array<{}>, bases array<int>, counts array<int>"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,14 +51,18 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             pa.array([h[firsts].tobytes()], pa.binary()), pa.array([np.append(firsts, len(h)).astype(np.int32).tobytes()], pa.binary()),
             pa.array([position[order].astype(np.int32).tobytes()], pa.binary()),
-            pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+            pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.schema.field("doc_id").type)),
             pa.array([bases], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32()))],
             names=["terms", "firsts", "positions", "doc_ids", "bases", "counts"])
 
 
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def positional_index(docs: DataFrame) -> DataFrame:
     """The stored index; a row is a segment."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_index, SEGMENTS), "postings")
+    return stored(docs.select("doc_id", "text").mapInArrow(_index, SEGMENTS.format(_id_type(docs))), "postings")
 
 
 class Windows:
@@ -163,4 +167,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         raise ValueError(f"benchmark of {size} characters: run it in parts of at most {QUERY_LIMIT}")
     held = Carried(spark, Windows([(r["item"], r["text"]) for r in items.toLocalIterator()], window))
     return positional_index(docs).mapInArrow(
-        _search(held, slop), "doc_id long, n_words long, n_hit long, n_items long, n_near long, items array<string>, items_sha256 string")
+        _search(held, slop), f"doc_id {_id_type(docs)}, n_words long, n_hit long, n_items long, n_near long, items array<string>, items_sha256 string")

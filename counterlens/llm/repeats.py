@@ -15,7 +15,7 @@ filter lets more windows through (never fewer), so ``cells`` should follow execu
 
 Edge cases: null and short texts have no window and lose nothing; a null id sorts before all others; rows equal
 in id and text are one document and share its result, rows with one id and different texts are two documents,
-ordered by text hash; a run of equal words repeats itself and keeps its first window; other columns are ignored.
+ordered by a 128-bit hash of the text; a run of equal words repeats itself and keeps its first window; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import (BASES, SPACE_KEEP, mix, rolling, shuffle_partitions, sliding, span_hashes,
-                                    text_chunks, text_key, word_spans)
+from counterlens.llm.common import (BASES, SPACE_KEEP, Keys, keyed_rows, mix, ranked, rolling, shuffle_partitions, sliding, span_hashes,
+                                    text_chunks, word_spans)
 
 WIDTH, GRAM = 20, 10
 CELLS = 1 << 27          # cells of each of the two sketch rows
@@ -194,22 +194,25 @@ def _candidates(held, cells: int, width: int, gram: int):
         bits = held.value
 
         parts: list[tuple] = []
+        keys = Keys()
 
-        def rows(h1, h2, null, ids, key, start, length):
+        def rows(h1, h2, null, ids, key, start, length, names):
             return pa.RecordBatch.from_arrays([
-                pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(ids, mask=null), pa.array(key),
+                pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(ids, mask=null), names.take(pa.array(key)),
                 pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["h1", "h2", "doc_id", "key", "start", "run"])
 
         def flush():
-            h1, h2, null, ids, key, start = in_order(*(np.concatenate(x) for x in zip(*parts)))
+            h1, h2, null, ids, key, start = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
+            key, names = keys.ranks(key)
+            h1, h2, null, ids, key, start = in_order(h1, h2, null, ids, key, start)
             first, later = first_and_later(h1, h2, null, ids, key, start)
-            yield rows(*(x[first] for x in (h1, h2, null, ids, key, start)), np.zeros(int(first.sum())))
+            yield rows(*(x[first] for x in (h1, h2, null, ids, key, start)), np.zeros(int(first.sum())), names)
             if later.any():
                 null, ids, key, start, length = runs(*(x[later] for x in (null, ids, key, start)))
                 # runs need no partner: the hash of their own place keeps them alone in their group
                 own = mix(ids.view(np.uint64) ^ mix(start.astype(np.uint64) ^ mix(key.astype(np.uint64))))
-                yield rows(own, mix(own).astype(np.uint32), null, ids, key, start, length)
+                yield rows(own, mix(own).astype(np.uint32), null, ids, key, start, length, names)
 
         for batch, data, offsets in text_chunks(batches, limit=CHUNK):
             words, doc, left = _read(data, offsets)
@@ -222,7 +225,7 @@ def _candidates(held, cells: int, width: int, gram: int):
             own = doc[keep]
             parts.append((mix(rolling(words, width, BASES[0])[keep]), mix(rolling(other, width, BASES[1])[keep]).astype(np.uint32),
                           np.asarray(ids.is_null())[own], ids.fill_null(0).to_numpy(zero_copy_only=False)[own],
-                          batch.column("key").to_numpy(zero_copy_only=False)[own], keep - starts_at[own]))
+                          keys.of(batch.column("key"))[own], keep - starts_at[own]))
             if sum(len(p[0]) for p in parts) >= FLUSH:
                 yield from flush()
         if parts:
@@ -239,11 +242,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.filter(pa.array(known)).select(columns).to_batches()
         t = t.filter(pa.array(~known))
         ids = t.column("doc_id")
+        key, names = ranked(t.column("key"))
         places = in_order(t.column("h1").to_numpy(), t.column("h2").to_numpy(), np.asarray(ids.is_null()), ids.fill_null(0).to_numpy(),
-                          t.column("key").to_numpy(), t.column("start").to_numpy())
+                          key, t.column("start").to_numpy())
         _, later = first_and_later(*places)
         null, ids, key, start, length = runs(*(x[later] for x in places[2:]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(key), pa.array(start), pa.array(length, pa.int32())], names=columns)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), names.take(pa.array(key)), pa.array(start), pa.array(length, pa.int32())], names=columns)
 
     yield from by_whole_groups(batches, ("h1", "h2"), GROUP, settle)
 
@@ -266,15 +270,15 @@ def by_whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, str], si
         yield from settle(pa.concat_tables(held).combine_chunks())
 
 
-def later_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """doc_id, key, start, run: starts of windows whose words also start earlier (``run`` consecutive ones)."""
-    keyed = docs.select("doc_id", text_key().alias("key"), "text")
-    held = docs.sparkSession.sparkContext.broadcast(sketch(docs, word_anchors(width, gram), cells))
-    found = keyed.mapInArrow(_candidates(held, cells, width, gram),
-                             "h1 long, h2 int, doc_id long, key int, start int, run int")
+def later_windows(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
+    """``rows``: as ``keyed_rows``. doc_id, key, start, run: starts of windows whose words also start earlier (``run``
+    consecutive ones)."""
+    held = rows.sparkSession.sparkContext.broadcast(sketch(rows, word_anchors(width, gram), cells))
+    found = rows.mapInArrow(_candidates(held, cells, width, gram),
+                            "h1 long, h2 int, doc_id long, key string, start int, run int")
     # The earliest of each window per task, then of all: at most one row per window and flush meets here.
-    return (found.repartition(shuffle_partitions(docs.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2")
-            .mapInArrow(_settle, "doc_id long, key int, start int, run int"))
+    return (found.repartition(shuffle_partitions(rows.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2")
+            .mapInArrow(_settle, "doc_id long, key string, start int, run int"))
 
 
 def _cut(width: int):
@@ -303,19 +307,19 @@ def _cut(width: int):
     return run
 
 
-def join_back(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text and, from ``found`` (doc_id, key, ...; one row per document), its other columns."""
-    keyed = docs.select("doc_id", "text", text_key().alias("key"))
+def join_back(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text of ``rows`` (as ``keyed_rows``) and, from ``found`` (doc_id, key, ...; one row per document), its other columns."""
     extra = [c for c in found.columns if c not in ("doc_id", "key")]
     right = found.select(F.coalesce("doc_id", F.lit(0)).alias("__i"), F.col("doc_id").isNull().alias("__n"),
                          F.col("key").alias("__k"), *extra)
-    return keyed.join(right, (F.coalesce(keyed["doc_id"], F.lit(0)) == right["__i"])
-                      & (keyed["doc_id"].isNull() == right["__n"]) & (keyed["key"] == right["__k"]),
-                      "left").select("doc_id", "text", *extra)
+    return rows.join(right, (F.coalesce(rows["doc_id"], F.lit(0)) == right["__i"])
+                     & (rows["doc_id"].isNull() == right["__n"]) & (rows["key"] == right["__k"]),
+                     "left").select("doc_id", "text", *extra)
 
 
 def drop_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; one row per input row."""
-    gone = later_windows(docs, width, gram, cells).groupBy("doc_id", "key").agg(
+    rows = keyed_rows(docs)
+    gone = later_windows(rows, width, gram, cells).groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("start", "run")).alias("gone"))
-    return join_back(docs, gone).mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return join_back(rows, gone).mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")

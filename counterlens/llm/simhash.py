@@ -173,12 +173,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """a, b: fingerprints of ``distinct`` (stored; fp, each once) within ``DISTANCE`` bits, as spanning forests."""
+    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
+    return keys.repartition(shuffle_partitions(distinct.sparkSession), "key").mapInArrow(_links, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long), component_id; one row per input row."""
     own = stored(fingerprints(docs), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
-    links = keys.repartition(shuffle_partitions(docs.sparkSession), "key").mapInArrow(_links, "a long, b long")
+    links = fingerprint_links(distinct)
     roots = stored(components(links), "roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
