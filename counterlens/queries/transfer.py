@@ -9,10 +9,11 @@ from counterlens.operators import blocks as B
 from counterlens.operators import pairs as P
 from counterlens.operators import positioned as PO
 from counterlens.operators import relations as R
-from counterlens.operators.design import DESIGNS, EDUCATION, INTERSECTION
+from counterlens.operators.design import DESIGNS, EDUCATION
 from counterlens.operators.ranking import hash_rank
 from counterlens.operators.resampling import cluster_bootstrap
 from counterlens.queries.base import SEED, SQL_RECORDS, literal_rows, r9, records, spread, sql_h15
+from counterlens.queries.directions import SQL_SOURCES
 from counterlens.queries.design import SQL_EPAIRS, _essay_sql, essay_blocks
 from counterlens.queries.pairs import SQL_PAIRS, SQL_REASONING, SQL_WIN, _ci, _cluster_sql, pair_rewards, reasoning_rewards
 from counterlens.queries.registry import query
@@ -65,29 +66,14 @@ def p16_ends(spark, sf):
 
 
 # ---- transfer: every source against every target's pair rows -------------------------------------------------------------
-def _py_relation(s, t):
-    """The relation of two (domain, encoding, axis) names, on plain sets, for the SQL side."""
-    fs, ft = ({(f, *p) for f, p in DESIGNS[d].levels.items() if a in (INTERSECTION, f)} for d, _, a in (s, t))
-    if not fs & ft:
-        return "off_axis" if s[0] == t[0] else "unrelated"
-    words = ["component"] * (fs != ft) + ["domain"] * (s[0] != t[0]) + ["encoding"] * (s[1] != t[1])
-    return "+".join(words) or "own"
-
-
-ALL_SOURCES = [(d, e, a) for d, x in DESIGNS.items() for e in x.clauses for a in x.marked_axes(e)]
-SQL_RELATION = "rel AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{s[0]}/{s[1]}/{s[2]}', '{t[1]}', '{t[2]}', '{_py_relation(s, t)}')" for s in ALL_SOURCES for t in ALL_SOURCES if t[0] == "credit"
-) + ") t(source, encoding, axis, relation))"
-
-
 def _credit_targets(spark, sf):
     sources = R.source_table(spark, DESIGNS)
     credit = sources.filter("domain = 'credit'").select("encoding", "axis", F.struct("*").alias("t"))
     return pair_rewards(spark, sf).join(F.broadcast(credit), ["encoding", "axis"]), sources
 
 
-@query("p35_relations", f"""WITH {SQL_PAIRS}, {SQL_RELATION} SELECT source, encoding, axis, relation, count(*)::BIGINT AS rows
-FROM pr JOIN rel USING (encoding, axis) GROUP BY ALL""")
+@query("p35_relations", f"""WITH {SQL_PAIRS}, {SQL_SOURCES} SELECT source, pr.encoding, pr.axis, relation, count(*)::BIGINT AS rows
+FROM pr JOIN rel ON td = 'credit' AND te = pr.encoding AND ta = pr.axis GROUP BY ALL""")
 def p35(spark, sf):
     """Relation of every source direction to the rows it would be projected out of."""
     rows, sources = _credit_targets(spark, sf)
@@ -96,23 +82,6 @@ def p35(spark, sf):
     return g.select(F.concat_ws("/", "s.domain", "s.encoding", "s.axis").alias("source"), "encoding", "axis", "relation", "rows")
 
 
-@query("j19_r9_transfer_matrix", f"""WITH {SQL_PAIRS}, {SQL_RELATION}, n AS (SELECT source, relation, encoding, axis, a - b AS gap,
-  (a - b) * (1 - CASE WHEN relation = 'own' THEN 1.0::DOUBLE WHEN relation IN ('off_axis', 'unrelated') THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END) AS left_over
-  FROM pr JOIN rel USING (encoding, axis))
-SELECT source, relation, encoding, axis, count(*)::BIGINT AS n, round(avg(abs(gap)), 9) AS abs_gap, round(avg(abs(left_over)), 9) AS abs_gap_after,
-  round(avg(abs(left_over) - abs(gap)), 9) AS change FROM n GROUP BY ALL""")
-def j19(spark, sf):
-    """Every target row under every source: the gap that is left if an own direction removes all of it, a component or
-    another domain's or encoding's direction half, and any other nothing."""
-    rows, sources = _credit_targets(spark, sf)
-    g = R.transfer_grid(rows.select("encoding", "axis", "t", (F.col("a") - F.col("b")).alias("gap")), sources)
-    share = F.when(F.col("relation") == "own", 1.0).when(F.col("relation").isin("off_axis", "unrelated"), 0.0).otherwise(0.5)
-    g = g.withColumn("left_over", F.col("gap") * (1 - share))
-    return g.groupBy(F.concat_ws("/", "s.domain", "s.encoding", "s.axis").alias("source"), "relation", "encoding", "axis").agg(
-        F.count(F.lit(1)).alias("n"), r9(F.avg(F.abs("gap"))).alias("abs_gap"), r9(F.avg(F.abs("left_over"))).alias("abs_gap_after"),
-        r9(F.avg(F.abs("left_over") - F.abs("gap"))).alias("change"))
-
-
 # ---- probe pairs and evaluation examples ---------------------------------------------------------------------------------
 def _essay_pairs(spark, sf):
     blk = essay_blocks(spark, sf, ("strong", "prompt"))
