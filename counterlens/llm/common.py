@@ -100,9 +100,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
-    return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__
+def worker_cache(owner: str = "") -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks, while they belong to one ``owner``; another
+    one starts empty, so that a stage does not hold what an earlier one needed."""
+    held = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
+    if getattr(held, "owner", None) != owner:
+        held.owner, held.cache = owner, {}
+    return held.cache
 
 
 class Carried:
@@ -114,10 +118,8 @@ class Carried:
 
     @property
     def value(self):
-        cache = worker_cache()
+        cache = worker_cache(self._name)
         if self._name not in cache:
-            for k in [k for k in cache if k.startswith("carried-")]:
-                del cache[k]
             cache[self._name] = cloudpickle.loads(self._bytes.value)
         return cache[self._name]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import ALNUM_KEEP, LOWER, Carried, span_hashes, stored, text_chunks, word_spans
+from counterlens.llm.common import ALNUM_KEEP, LOWER, Carried, span_hashes, stored, text_chunks, word_spans, worker_cache
 
 WINDOW, SLOP = 10, 2
 SEGMENT_BYTES = 6 << 20
@@ -38,6 +38,7 @@ SEGMENTS = "terms binary, firsts binary, positions binary, doc_ids array<{}>, ba
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per segment."""
+    worker_cache()
     for batch, data, offsets in text_chunks(batches, limit=SEGMENT_BYTES):
         lower = LOWER[data]
         starts, ends, doc = word_spans(lower, offsets, ALNUM_KEEP)

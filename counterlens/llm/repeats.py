@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterlens.llm.common import (BASES, SPACE_KEEP, Keys, keyed_rows, mix, ranked, rolling, shuffle_partitions, sliding, span_hashes,
-                                    text_chunks, word_spans)
+                                    text_chunks, word_spans, worker_cache)
 
 WIDTH, GRAM = 20, 10
 CELLS = 1 << 27          # cells of each of the two sketch rows
@@ -84,6 +84,7 @@ def _sketch(cells: int, anchors_of):
     """Task function: cells that this partition's anchors hit, each at most twice, by (row, slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
+        worker_cache()
 
         def flush():
             every = np.concatenate(found)

@@ -215,7 +215,7 @@ class Encoder:
 
 def encoder(spec: str) -> Encoder:
     """The worker's encoder for this tokenizer, kept across tasks."""
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if cache.get("spec") != spec:
         cache["spec"], cache["encoder"] = spec, Encoder(spec)
     return cache["encoder"]

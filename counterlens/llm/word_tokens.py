@@ -99,7 +99,7 @@ class WordEncoder(Encoder):
 
 def word_encoder(spec: str) -> WordEncoder:
     """The worker's encoder for this tokenizer, kept across tasks."""
-    cache = worker_cache()
+    cache = worker_cache("words")
     if cache.get("word-spec") != spec:
         cache["word-spec"], cache["word-encoder"] = spec, WordEncoder(spec)
     return cache["word-encoder"]
