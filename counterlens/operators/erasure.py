@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,53 +14,30 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from counterlens.session import cut_lineage
+
 SNAP_RTOL = 1e-4
 
 
 @dataclass
 class AffineEraser:
-    """``x - M (x - mean)``: after it no linear function of the states predicts the concepts."""
+    """``x - sum_j a_j (b_j . (x - mean))``: after it no linear function of the states predicts the concepts."""
 
     mean: np.ndarray
-    matrix: np.ndarray
-
-
-def moments(df: DataFrame, vec: str, concept: str) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n, sums of x and z, and the cross products xx and xz. Each task reduces its rows to one row of sums (its size is
-    the square of the width, not of the data); those rows are summed on the executors."""
-    def partial(batches):
-        acc = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, z = np.stack(pdf["x"].to_numpy()), np.stack(pdf["z"].to_numpy())
-            part = [np.array([float(len(pdf))]), x.sum(0), z.sum(0), (x.T @ x).ravel(), (x.T @ z).ravel()]
-            acc = part if acc is None else [a + p for a, p in zip(acc, part)]
-        if acc is not None:
-            yield pd.DataFrame({"v": [np.concatenate(acc)]})
-
-    rows = df.select(F.transform(vec, lambda x: x.cast("double")).alias("x"), F.col(concept).alias("z"))
-    total = rows.mapInPandas(partial, "v array<double>").agg(Summarizer.sum(array_to_vector("v")).alias("s")).first()["s"].toArray()
-    k = df.select(F.size(concept).alias("k"), F.size(vec).alias("d")).first()
-    d, c = k["d"], k["k"]
-    cuts = np.cumsum([1, d, c, d * d])
-    n, sx, sz, xx, xz = np.split(total, cuts)
-    return n[0], sx, sz, xx.reshape(d, d), xz.reshape(d, c)
+    a: np.ndarray
+    b: np.ndarray
 
 
 def fit_eraser(df: DataFrame, vec: str, concept: str) -> AffineEraser:
     """Least-change affine erasure of one or several 0/1 concepts (an array column): project the whitened states off the
-    whitened cross-covariance."""
-    n, sx, sz, xx, xz = moments(df, vec, concept)
-    mx, mz = sx / n, sz / n
-    cov, cross = xx / n - np.outer(mx, mx), xz / n - np.outer(mx, mz)
-    values, q = np.linalg.eigh(cov)
-    keep = values > values.max() * 1e-9
-    root, inv = np.sqrt(values[keep]), 1.0 / np.sqrt(values[keep])
-    whiten, colour = (q[:, keep] * inv) @ q[:, keep].T, (q[:, keep] * root) @ q[:, keep].T
-    u, s, _ = np.linalg.svd(whiten @ cross, full_matrices=False)
-    u = u[:, s > max(s.max(), 1e-30) * 1e-6]
-    return AffineEraser(mx, colour @ u @ u.T @ whiten)
+    whitened cross-covariance. Moments are reduced in blocks of rows of the Gram matrix (`edits.fold_moments`); the solve is one task's."""
+    from counterlens.operators import edits as E
+
+    k = df.select(F.size(concept).alias("k")).first()["k"]
+    moments = E.fold_moments(df.withColumn("__f", F.lit(0)), "__f", vec, concept, 1)
+    row = E.fold_erasers(moments, "__f", {"all": 0}, k, list(range(k))).filter(F.col("method") == E.AFFINE_CELLS).first()
+    mean = np.array(row["mean"])
+    return AffineEraser(mean, *(np.array(row[c], float).reshape(-1, len(mean)) for c in ("a", "b")))
 
 
 def difference_eraser(df: DataFrame, vec: str, label: str) -> AffineEraser:
@@ -69,19 +47,19 @@ def difference_eraser(df: DataFrame, vec: str, label: str) -> AffineEraser:
     d = difference_of_means(df.withColumn("__y", F.col(label) == 1), [], "__y", vec).select("direction").first()["direction"]
     size = len(df.select(vec).first()[0])
     u = np.zeros(size) if d is None else np.array(d)
-    return AffineEraser(np.zeros(size), np.outer(u, u))
+    return AffineEraser(np.zeros(size), u[None], u[None])
 
 
 def apply_affine(df: DataFrame, vec: str, eraser: AffineEraser, out: str) -> DataFrame:
-    """Apply the map batch by batch; the matrix is the only thing sent to the tasks."""
-    mean, matrix = eraser.mean, eraser.matrix
+    """Apply the map batch by batch; its few vectors are the only thing sent to the tasks."""
+    mean, a, b = eraser.mean, eraser.a, eraser.b
 
     @F.pandas_udf("array<double>")
     def erase(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
         x = np.stack(v.to_numpy()).astype(float)
-        return pd.Series(list(x - (x - mean) @ matrix.T))
+        return pd.Series(list(x - ((x - mean) @ b.T) @ a))
 
     return df.withColumn(out, erase(F.transform(vec, lambda x: x.cast("double"))))
 
@@ -105,10 +83,10 @@ def probe(df: DataFrame, vec: str, label: str, eval_flag: str, hidden: int = 256
         mask = F.array(*[F.lit(not bool(b)) for b in dead])
         values = F.zip_with(values, mask, lambda x, ok: F.when(ok, x).otherwise(0.0))
     data = df.withColumn("__x", array_to_vector(values)).withColumn("label", F.col(label).cast("double"))
-    train, held = data.filter(~F.col(eval_flag)).persist(), data.filter(F.col(eval_flag))
+    train, held = data.filter(~F.col(eval_flag)), data.filter(F.col(eval_flag))
     n = train.count()
     scaler = StandardScaler(inputCol="__x", outputCol="features", withMean=True, withStd=True).fit(train)
-    tr, ev = scaler.transform(train).persist(), scaler.transform(held)
+    tr, ev = scaler.transform(train).persist(), scaler.transform(held)        # read once per training step
     linear = LogisticRegression(maxIter=1000, regParam=1.0 / n, standardization=False).fit(tr)
     out = linear.transform(ev).withColumn("lin", F.col("prediction") == F.col("label")).drop("prediction", "rawPrediction", "probability")
     votes: Column = F.lit(0.0)
@@ -118,6 +96,7 @@ def probe(df: DataFrame, vec: str, label: str, eval_flag: str, hidden: int = 256
                                              rawPredictionCol=f"__r{s}", probabilityCol=f"__q{s}").fit(tr)
         out = net.transform(out).drop(f"__r{s}", f"__q{s}")
         votes = votes + F.col(f"__p{s}")
+    tr.unpersist()
     return out.withColumn("mlp", (votes * 2 > len(seeds)).cast("double") == F.col("label")).drop("__x", "features", "label", *[f"__p{s}" for s in seeds])
 
 
@@ -131,22 +110,33 @@ def recoverability(items: DataFrame, by: list[str], fit: str, label: str, lin: s
     return per.groupBy(*by).agg(a.alias("linear_acc"), b.alias("mlp_acc"), chance.alias("chance"), (a - chance).alias("linear_above_chance"), (b - chance).alias("mlp_above_chance"))
 
 
+def erasure_items(df: DataFrame, vec: str, label: str, eval_flag: str, method: str, hidden: int = 256, iterations: int = 200,
+                  seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """The evaluation rows with both probes' hits under one erasure (``none``, ``diffmean`` or ``affine``), fitted on the training side."""
+    train, dead = df.filter(~F.col(eval_flag)), None
+    erased = df.withColumn("__e", F.transform(vec, lambda x: x.cast("double")))
+    if method != "none":
+        eraser = (difference_eraser(train, vec, label) if method == "diffmean"
+                  else fit_eraser(train.withColumn("__z", F.array(F.col(label).cast("double"))), vec, "__z"))
+        erased = apply_affine(df, vec, eraser, "__e")
+        dead = snapped(erased.filter(~F.col(eval_flag)), "__e", vec)
+    return probe(erased, "__e", label, eval_flag, hidden, seeds, iterations, dead).drop("__e")
+
+
 def erasure_rows(df: DataFrame, vec: str, label: str, eval_flag: str, methods: list[str], hidden: int = 256, iterations: int = 200,
                  seeds: tuple[int, ...] = (0,)) -> DataFrame:
-    """Recoverability of a concept under each erasure: ``none``, ``diffmean`` or ``affine``, fitted on the training side."""
-    out = None
-    train = df.filter(~F.col(eval_flag))
-    for method in methods:
-        erased, dead = df.withColumn("__e", F.transform(vec, lambda x: x.cast("double"))), None
-        if method != "none":
-            eraser = (difference_eraser(train, vec, label) if method == "diffmean"
-                      else fit_eraser(train.withColumn("__z", F.array(F.col(label).cast("double"))), vec, "__z"))
-            erased = apply_affine(df, vec, eraser, "__e")
-            dead = snapped(erased.filter(~F.col(eval_flag)), "__e", vec)
-        items = probe(erased, "__e", label, eval_flag, hidden, seeds, iterations, dead).withColumn("fit", F.lit(0))
-        row = recoverability(items, [], "fit", label).withColumn("method", F.lit(method))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Recoverability of a concept under each erasure, on one split."""
+    rows = [recoverability(erasure_items(df, vec, label, eval_flag, m, hidden, iterations, seeds).withColumn("fit", F.lit(0)), [], "fit", label)
+            .withColumn("method", F.lit(m)) for m in methods]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def fold_recoverability(df: DataFrame, vec: str, label: str, fold: str, folds: int, methods: list[str], hidden: int = 256, iterations: int = 200,
+                        seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """Recoverability over all folds: each is held out once from the erasure and the probes, and the hits are pooled."""
+    items = [cut_lineage(erasure_items(df.withColumn("__held", F.col(fold) == f), vec, label, "__held", m, hidden, iterations, seeds)
+                         .select(F.lit(f).alias("fit"), label, "lin", "mlp")).withColumn("method", F.lit(m)) for f in range(folds) for m in methods]
+    return recoverability(reduce(DataFrame.unionByName, items), ["method"], "fit", label)
 
 
 def verdict(none_low: Column, erased_low: Column) -> Column:
