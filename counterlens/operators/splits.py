@@ -207,53 +207,92 @@ def _class_order(df: DataFrame, by: list[str], clash: str, key: str, seed: int)
     return placed.withColumn("__i", F.col("__place") + F.coalesce("__before", F.lit(0))).drop("__place", "__before")
 
 
-def settle_pairs(pooled: DataFrame, key: str, group: str, seed: int, clash: str) -> DataFrame:
-    """Record pairs inside each match group under a condition: two records with the same ``clash`` value may not meet.
-    Rows (pairing, group, x, y); as many pairs as the condition allows, decided on the counts of clash classes.
-
-    Within one pool, ranks run class after class and rank i meets rank i + h, where h is half the group or its largest
-    class, whichever is more: two ranks that far apart are never of one class. Across the two pools of strong_weak the
-    classes of one side are taken in order and those of the other in reverse; what still clashes is drawn again, in
-    order and in reverse in turn, until neither makes a pair. A match group's
-    records are never gathered in one task."""
-    from counterlens.session import cut_lineage
-
-    same = pooled.filter(F.col("pool").isin("strong_strong", "weak_weak")).select(key, group, clash, "pool")
-    r = _class_order(same, ["pool", group], clash, key, seed)
+def _spread_halves(rows: DataFrame, by: list[str], clash: str, key: str, seed: int) -> DataFrame:
+    """Adds ``__p`` and ``__second``: ranks run class after class, rank i meets rank i + h, h being half the group or its largest class,
+    whichever is more, so that no two of one class meet. ``__p`` is null for the ranks between, which are all of the largest class, or one."""
+    r = _class_order(rows, by, clash, key, seed)
     h = F.greatest(F.ceil(F.col("__n") / 2), F.col("__m"))
     second = F.col("__i") > h
-    sides = r.filter((F.col("__i") <= F.col("__n") - h) | second).select(
-        F.col("pool").alias("pairing"), group, F.when(second, F.col("__i") - h).otherwise(F.col("__i")).alias("__p"), second.alias("__second"), key)
-
-    def met(rows: DataFrame) -> DataFrame:
-        one = rows.groupBy("pairing", group, "__p").agg(F.max(F.when(~F.col("__second"), F.col(key))).alias("x"),
-                                                        F.max(F.when(F.col("__second"), F.col(key))).alias("y"))
-        return one.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("pairing", group, "x", "y")
-
-    done = met(sides)
-    open_ = cut_lineage(pooled.filter(F.col("pool").startswith("strong_weak")).select(key, group, clash, "pool"))
-    idle, step = 0, 0
-    while idle < 2:
-        ranked = _class_order(open_, ["pool", group], clash, key, seed + 1000003 * step)
-        weak = F.col("pool") == "strong_weak:weak"
-        place = F.when(weak & F.lit(step % 2 == 0), F.col("__n") + 1 - F.col("__i")).otherwise(F.col("__i"))
-        rows = ranked.select(F.lit("strong_weak").alias("pairing"), group, place.alias("__p"), weak.alias("__second"), F.struct(key, clash).alias(key))
-        drawn = met(rows).filter(~F.col(f"x.{clash}").eqNullSafe(F.col(f"y.{clash}")))
-        good = cut_lineage(drawn.select("pairing", group, F.col(f"x.{key}").alias("x"), F.col(f"y.{key}").alias("y")))
-        made = good.count()
-        idle, step = (0 if made else idle + 1), step + 1
-        if made:
-            done = done.unionByName(good)
-            used = good.select(F.col("x").alias(key)).union(good.select(F.col("y").alias(key)))
-            open_ = cut_lineage(open_.join(used, key, "left_anti"))
-    return done
-
-
-def unpaired(pooled: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Records left over by a pairing, with the reason: in no pool, or no partner left that the condition allows."""
-    used = pairs.select(F.col("x").alias(key)).union(pairs.select(F.col("y").alias(key)))
-    rest = pooled.join(used, key, "left_anti")
-    return rest.withColumn("reason", F.when(F.col("pool") == "unused", "outside the pools").otherwise("no partner left"))
+    place = F.when(second, F.col("__i") - h).when(F.col("__i") <= F.col("__n") - h, F.col("__i"))
+    return r.withColumn("__p", place).withColumn("__second", second).drop("__i", "__n", "__m")
+
+
+def _met(rows: DataFrame, by: list[str], what: Column) -> DataFrame:
+    """``what`` of the first and the second side of each place, as x and y."""
+    one = rows.filter(F.col("__p").isNotNull()).groupBy(*by, "__p").agg(
+        F.max(F.when(~F.col("__second"), what)).alias("x"), F.max(F.when(F.col("__second"), what)).alias("y"))
+    return one.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def _across(pooled: DataFrame, key: str, group: str, seed: int, clash: str) -> DataFrame:
+    """Pairs (group, x, y) of the strong and the weak side, as many as classes allow: the shorter side, or all that is
+    not of one class on both sides, whichever is fewer.
+
+    Ranks meet first. Pairs of one class then swap partners with such pairs of another class. What still clashes is of one class per
+    group (or a single pair): each swaps with a pair that has that class on neither side, or takes a record of the longer side
+    that met none. If those run out, every pair has that class on one side, and none can be added."""
+    from counterlens.session import cut_lineage
+
+    weak = F.col("pool") == "strong_weak:weak"
+    ranked = hash_rank(pooled.withColumn("__weak", weak), digest(seed, "order", F.col(key)), [key], [group, "__weak"], "__p")
+    who = F.struct(F.col(key).alias("k"), F.col(clash).alias("c"))
+    one = ranked.groupBy(group, "__p").agg(F.max(F.when(~F.col("__weak"), who)).alias("x"), F.max(F.when(F.col("__weak"), who)).alias("y"))
+    one = cut_lineage(one.withColumn("__clash", F.coalesce(F.col("x.c").eqNullSafe(F.col("y.c")) & F.col("x").isNotNull() & F.col("y").isNotNull(), F.lit(False))))
+    id_ = F.coalesce("x.k", "y.k").alias("id")
+    bad = one.filter("__clash").select(group, "x", "y", F.col("x.c").alias("kind"), id_)
+    halves = cut_lineage(_spread_halves(bad, [group], "kind", "id", seed + 1))
+    met = _met(halves, [group], F.struct("x", "y"))
+    swapped = met.select(group, F.explode(F.array(F.struct(F.col("x.x").alias("x"), F.col("y.y").alias("y")),
+                                                  F.struct(F.col("y.x").alias("x"), F.col("x.y").alias("y")))).alias("e")).select(group, "e.*")
+    left = halves.filter(F.col("__p").isNull()).select(group, "x", "y", "kind", "id")
+    free = one.filter(~F.col("__clash")).select(group, "x", "y").unionByName(swapped)
+    named = cut_lineage(free.withColumn("id", F.coalesce("x.k", "y.k")))
+    of = left.groupBy(group).agg(F.max(F.struct("kind")).alias("__of"))                 # one class per group
+    apart = lambda side: F.col(side).isNull() | ~F.col(f"{side}.c").eqNullSafe(F.col("__of.kind"))
+    able = null_safe_join(named, of, [group]).filter(apart("x") & apart("y")).drop("__of")
+    a = hash_rank(left, digest(seed + 2, "left", F.col("id")), ["id"], [group], "lane").select(group, "lane", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    b = hash_rank(able, digest(seed + 3, "able", F.col("id")), ["id"], [group], "lane").select(group, "lane", "x", "y", "id")
+    both = cut_lineage(null_safe_join(a, b, [group, "lane"]))
+    mended = both.select(group, F.explode(F.array(F.struct(F.col("lx").alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), F.col("ly").alias("y")))).alias("e")).select(group, "e.*")
+    rest = named.join(both.select("id"), "id", "left_anti").select(group, "x", "y")
+    done = rest.unionByName(mended).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return done.select(group, F.col("x.k").alias("x"), F.col("y.k").alias("y"))
+
+
+def settle_pairs(pooled: DataFrame, key: str, group: str, seed: int, clash: str, want: dict[str, int] | None = None) -> DataFrame:
+    """Record pairs inside each match group under a condition: two records with the same ``clash`` value may not meet (a null
+    value is a value). Rows (pairing, group, x, y, index); as many pairs as the condition allows, settled by ranks and class counts,
+    so that a match group's records are never gathered in one task. ``index`` orders a pairing's pairs by their first
+    record's hash; with ``want`` (pairing -> pairs asked for) a smaller request gives a prefix of a larger one's. ``key`` is unique."""
+    rows = pooled.select(key, group, clash, "pool")
+    same = _spread_halves(rows.filter(F.col("pool").isin("strong_strong", "weak_weak")), ["pool", group], clash, key, seed)
+    inside = _met(same, ["pool", group], F.col(key)).select(F.col("pool").alias("pairing"), group, "x", "y")
+    across = _across(rows.filter(F.col("pool").startswith("strong_weak")), key, group, seed, clash)
+    pairs = inside.unionByName(across.select(F.lit("strong_weak").alias("pairing"), group, "x", "y"))
+    out = hash_rank(pairs, digest(seed, "pair", F.col("x")), ["x"], ["pairing"], "index").withColumn("index", F.col("index") - 1)
+    if want is None:
+        return out
+    asked = F.create_map(*[F.lit(v) for item in want.items() for v in item]) if want else F.create_map().cast("map<string,int>")
+    return out.filter(F.col("index") < F.coalesce(F.element_at(asked, F.col("pairing")), F.lit(0)))
+
+
+def unpaired(pooled: DataFrame, pairs: DataFrame, key: str, group: str | None = None, clash: str | None = None, drawn: DataFrame | None = None) -> DataFrame:
+    """Records left over by a pairing, with the reason: outside the pools; beyond the request (``drawn``: all pairs, of which ``pairs`` is
+    the part asked for); with ``group`` and ``clash``, of the class that most of the group's pool is of; or no partner left. Reasons and
+    pairs add up to the records."""
+    ids = lambda p: p.select(F.col("x").alias(key)).union(p.select(F.col("y").alias(key)))
+    rest = pooled.join(ids(pairs), key, "left_anti")
+    reason = F.when(F.col("pool") == "unused", "outside the pools")
+    if drawn is not None:
+        rest = rest.join(ids(drawn).withColumn("__drawn", F.lit(True)), key, "left")
+        reason = reason.when(F.col("__drawn"), "beyond the request")
+    if clash is not None:
+        side = F.split("pool", ":")[0]
+        counts = pooled.withColumn("__pool", side).groupBy("__pool", group, clash).agg(F.count(F.lit(1)).alias("__c"))
+        top = counts.groupBy("__pool", group).agg(F.max_by(F.struct(F.col(clash).alias("c")), F.struct("__c", F.col(clash).isNull(), clash)).alias("__top"))
+        rest = null_safe_join(rest.withColumn("__pool", side), top, ["__pool", group], "left")
+        reason = reason.when(F.col(clash).eqNullSafe(F.col("__top.c")), "same class")
+    return rest.withColumn("reason", reason.otherwise("no partner left")).select(*pooled.columns, "reason")
 
 
 def match_one_to_one(treated: DataFrame, pool: DataFrame, keys: list[str], key: str, seed: int) -> DataFrame:
@@ -266,46 +305,51 @@ def match_one_to_one(treated: DataFrame, pool: DataFrame, keys: list[str], key:
     return null_safe_join(t, p, keys + ["__i"], "left").drop("__i")
 
 
-def derangement(records: DataFrame, key: str, label: str, seed: int, forbidden: list[tuple[str, str]] = (),
-                max_labels: int = 1000) -> DataFrame:
+def derangement(records: DataFrame, key: str, label: str, seed: int, forbidden: list[tuple[str, str]] = (), patience: int = 4) -> DataFrame:
     """Adds ``target``: a permutation of the labels in which nobody keeps their own or gets a forbidden partner's.
 
-    A hashed permutation first. What it leaves in conflict is repaired by swaps planned on the counts of (label, target)
-    kinds, a table no larger than the labels squared; which rows of a kind swap is decided by their hashed rank."""
+    A hashed permutation first. Each row that it leaves in conflict then proposes a swap of targets to a row at a hashed place; of the
+    proposals that would leave neither in conflict, each row takes part in the one that hashes lowest at both its rows. If nothing was
+    swapped for ``patience`` rounds, rows in conflict are sent to a kind (label, target) that can swap with theirs. No label or
+    kind passes the driver. ``key`` is unique; no solution by swaps is an error."""
     from counterlens.session import cut_lineage
 
-    labels = records.agg(F.count_distinct(label).alias("k")).first()["k"]
-    if labels > max_labels:
-        raise ValueError(f"{labels} labels; at most {max_labels} are planned on the driver")
     src = hash_rank(records, digest(seed, "own", F.col(key)), [key], NO_GROUP, "__i")
-    tgt = hash_rank(records, digest(seed, "target", F.col(key)), [key], NO_GROUP, "__i").select(
-        "__i", F.col(label).alias("target"))
-    state = cut_lineage(src.join(tgt, "__i").drop("__i"))
-    barred = {frozenset(p) for p in forbidden}
+    tgt = hash_rank(records, digest(seed, "target", F.col(key)), [key], NO_GROUP, "__i").select("__i", F.col(label).alias("target"))
+    state = cut_lineage(src.join(tgt, "__i"))
+    total = state.count()
+    barred = sorted({"\0".join(sorted(p)) for p in forbidden})
 
-    def clash(a: str, b: str) -> bool:
-        return a == b or frozenset((a, b)) in barred
+    def clash(a: Column, b: Column) -> Column:
+        met = F.concat(F.least(a, b), F.lit("\0"), F.greatest(a, b)).isin(barred) if barred else F.lit(False)
+        return a.eqNullSafe(b) | F.coalesce(met, F.lit(False))
 
+    own, idle, step = clash(F.col(label), F.col("target")), 0, 0
     while True:
-        kinds = {(r[label], r["target"]): r["count"] for r in state.groupBy(label, "target").count().collect()}
-        bad = {k: n for k, n in kinds.items() if clash(*k)}
-        if not bad:
-            return state
-        spare = {k: n for k, n in sorted(kinds.items()) if k not in bad}
-        taken = dict.fromkeys(kinds, 0)
-        moves = []
-        for (l1, t1), n in sorted(bad.items()):
-            for (l2, t2), m in spare.items():
-                size = min(n - taken[l1, t1], m - taken[l2, t2])
-                if size > 0 and not clash(l1, t2) and not clash(l2, t1):
-                    for (lab, old), new in (((l1, t1), t2), ((l2, t2), t1)):
-                        moves.append((lab, old, new, taken[lab, old], taken[lab, old] + size))
-                        taken[lab, old] += size
-        if not moves:
+        bad = state.filter(own).select(F.col("__i").alias("i"), F.col(label).alias("l"), F.col("target").alias("t"))
+        if bad.isEmpty():
+            return state.drop("__i")
+        if idle > patience:
             raise ValueError("no derangement found: one label dominates the group")
-        plan = records.sparkSession.createDataFrame(moves, "__l string, __t string, __new string, __lo long, __hi long")
-        ranked = hash_rank(state, digest(seed, "swap", F.col(key)), [key], [label, "target"], "__rank")
-        here = ((F.col(label) == F.col("__l")) & (F.col("target") == F.col("__t")) & (F.col("__rank") > F.col("__lo"))
-                & (F.col("__rank") <= F.col("__hi")))
-        state = cut_lineage(ranked.join(F.broadcast(plan), here, "left").withColumn("target", F.coalesce("__new", "target"))
-                            .select(*records.columns, "target"))
+        other = state.select(F.col("__i").alias("j"), F.col(label).alias("l2"), F.col("target").alias("t2"))
+        fits = ~clash(F.col("l"), F.col("t2")) & ~clash(F.col("l2"), F.col("t"))
+        if idle < patience:
+            place = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "i"), F.lit(total)) + 1
+            offers = bad.withColumn("j", place).join(other, "j").filter((F.col("i") != F.col("j")) & fits)
+        else:                                       # the few kinds in conflict meet the kinds there are
+            kinds = bad.select("l", "t").distinct().crossJoin(other.select("l2", "t2").distinct()).filter(fits)
+            kinds = kinds.groupBy("l", "t").agg(F.min_by(F.struct("l2", "t2"), F.xxhash64(F.lit(step), "l2", "t2")).alias("k")).select("l", "t", "k.*")
+            a = hash_rank(bad, digest(seed, "i", F.col("i")), ["i"], ["l", "t"], "r")
+            b = hash_rank(other, digest(seed, "j", F.col("j")), ["j"], ["l2", "t2"], "r")
+            offers = null_safe_join(null_safe_join(a, kinds, ["l", "t"]), b, ["l2", "t2", "r"])
+        offers = cut_lineage(offers.select("i", "j", "t", "t2", F.xxhash64(F.lit(seed), F.lit(step), "i", "j").alias("h")))
+        at = offers.select("h", F.col("i").alias("p")).union(offers.select("h", F.col("j").alias("p")))
+        least = at.groupBy("p").agg(F.min("h").alias("h"))
+        taken = least.groupBy("h").count().filter("count = 2").select("h")
+        swaps = offers.join(taken, "h")
+        moved = swaps.select(F.col("i").alias("__i"), F.col("t2").alias("__new")).union(swaps.select("j", "t"))
+        moved = cut_lineage(moved)
+        idle, step = (idle + 1 if moved.isEmpty() else 0), step + 1
+        if not idle:
+            state = cut_lineage(state.join(moved.withColumn("__moved", F.lit(True)), "__i", "left").withColumn(
+                "target", F.when(F.col("__moved"), F.col("__new")).otherwise(F.col("target"))).drop("__new", "__moved"))

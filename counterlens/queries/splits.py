@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from counterlens.functions.keyed import choice_index, digest, uniform
 from counterlens.operators import ranking, splits as S
-from counterlens.queries.base import SQL_RECORDS, SEED, r9, records, sql_h15, table
+from counterlens.queries.base import SQL_RECORDS, SEED, literal_rows, r9, records, sql_h15, table
 from counterlens.queries.registry import query
 
 HASH = "sha256('42|' || record_id)"
@@ -53,10 +53,17 @@ def w4(spark, sf):
     return S.half_labels(recs(spark, sf).select("record_id", "grp"), "record_id", "grp", SEED)
 
 
-@query("w5_role_derangement")
+BARRED = [("src0", "src1"), ("src2", "src3")]
+
+
+@query("w5_role_derangement", f"WITH {SQL_RECORDS} SELECT grp, count(*)::BIGINT AS rows, count(*)::BIGINT AS targets, 0::BIGINT AS kept, 0::BIGINT AS barred FROM records GROUP BY grp")
 def w5(spark, sf):
-    d = recs(spark, sf).select("record_id", "grp")
-    return S.derangement(d, "record_id", "grp", SEED, [("src0", "src1"), ("src2", "src3")])
+    """Per label: its rows, how often it is a target (as often), rows that keep it or get a barred partner's (none)."""
+    d = S.derangement(recs(spark, sf).select("record_id", "grp"), "record_id", "grp", SEED, BARRED)
+    barred = F.concat_ws("|", F.least("grp", "target"), F.greatest("grp", "target")).isin(["|".join(p) for p in BARRED])
+    each = d.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("grp") == F.col("target")).alias("kept"), F.count_if(barred).alias("barred"))
+    aims = d.groupBy(F.col("target").alias("grp")).agg(F.count(F.lit(1)).alias("targets"))
+    return each.join(aims, "grp", "left").select("grp", "rows", "targets", "kept", "barred")
 
 
 @query("w6_balanced_couples", f"""WITH {SQL_RECORDS}, p AS (SELECT record_id, prompt, strong, row_number() OVER (ORDER BY {HASH}, record_id) AS pos,
@@ -108,10 +115,44 @@ def j6(spark, sf):
     return record_pairs(spark, sf)
 
 
-@query("j6_pairs_without_clash")
+_LIMITS = f"""{SQL_RECORDS}, {SQL_POOLS}, pg AS (SELECT p.*, r.grp FROM pools p JOIN records r USING (record_id)),
+cl AS (SELECT split_part(pool, ':', 1) AS pairing, prompt, grp, count(*) FILTER (strong) AS s, count(*) FILTER (NOT strong) AS w FROM pg WHERE pool <> 'unused' GROUP BY ALL),
+gr AS (SELECT pairing, prompt, sum(s) AS s, sum(w) AS w, max(s + w) AS m FROM cl GROUP BY ALL),
+lim AS (SELECT pairing, prompt, s + w AS records, CASE WHEN pairing = 'strong_weak' THEN least(s, w, s + w - m) ELSE least((s + w) // 2, s + w - m) END AS pairs FROM gr)"""
+
+
+@query("j6_pairs_without_clash", f"""WITH {_LIMITS} SELECT pairing, prompt, pairs::BIGINT AS pairs, (2 * pairs)::BIGINT AS distinct_records, 0::BIGINT AS clashes, 0::BIGINT AS wrong_sides FROM lim WHERE pairs > 0""")
 def j6_clash(spark, sf):
-    pooled = S.pool_shares(recs(spark, sf), "record_id", "strong", SEED)
-    return S.settle_pairs(pooled.select("record_id", "prompt", "grp", "pool"), "record_id", "prompt", SEED, "grp")
+    """Per pairing and match group: as many pairs as the class counts allow, no record twice, no two of one class, each from its pool."""
+    pooled = S.pool_shares(recs(spark, sf), "record_id", "strong", SEED).select("record_id", "prompt", "grp", "strong", "pool")
+    p = S.settle_pairs(pooled, "record_id", "prompt", SEED, "grp")
+    side = lambda c: pooled.select(F.col("record_id").alias(c), F.col("grp").alias(f"{c}_grp"), F.col("pool").alias(f"{c}_pool"))
+    j = p.join(side("x"), "x").join(side("y"), "y")
+    right = F.when(F.col("pairing") == "strong_weak", (F.col("x_pool") == "strong_weak:strong") & (F.col("y_pool") == "strong_weak:weak")).otherwise(
+        (F.col("x_pool") == F.col("pairing")) & (F.col("y_pool") == F.col("pairing")))
+    both = j.withColumn("r", F.explode(F.array("x", "y")))
+    return both.groupBy("pairing", "prompt").agg((F.count(F.lit(1)) / 2).cast("long").alias("pairs"), F.count_distinct("r").alias("distinct_records"),
+                                                 F.count_if(F.col("x_grp").eqNullSafe(F.col("y_grp"))).alias("clashes"), F.count_if(~right).alias("wrong_sides"))
+
+
+REQUEST = {"strong_strong": 20, "strong_weak": 25, "weak_weak": 10}
+
+
+@query("j6_x5_leftovers", f"""WITH {_LIMITS}, rq AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in REQUEST.items())}) t(pairing, want)),
+t AS (SELECT pairing, sum(pairs) AS possible, sum(records) AS records FROM lim GROUP BY pairing)
+SELECT 'paired' AS reason, (2 * sum(least(possible, want)))::BIGINT AS records FROM t JOIN rq USING (pairing) UNION ALL
+SELECT 'beyond the request', (2 * sum(possible - least(possible, want)))::BIGINT FROM t JOIN rq USING (pairing) UNION ALL
+SELECT 'outside the pools', count(*)::BIGINT FROM pools WHERE pool = 'unused' UNION ALL SELECT 'no partner', (sum(records) - 2 * sum(possible))::BIGINT FROM t""")
+def j6_leftovers(spark, sf):
+    """A request smaller than what is possible: every record is paired or has one reason."""
+    pooled = S.pool_shares(recs(spark, sf), "record_id", "strong", SEED).select("record_id", "prompt", "grp", "pool")
+    every = S.settle_pairs(pooled, "record_id", "prompt", SEED, "grp")
+    pairs = every.filter(F.col("index") < F.element_at(F.create_map(*[F.lit(v) for i in REQUEST.items() for v in i]), F.col("pairing")))
+    rest = S.unpaired(pooled, pairs, "record_id", "prompt", "grp", every)
+    reason = F.when(F.col("reason").isin("same class", "no partner left"), "no partner").otherwise(F.col("reason"))
+    zero = literal_rows(spark, [(r, 0) for r in ("beyond the request", "outside the pools", "no partner")], "reason string, n long")
+    left = rest.select(reason.alias("reason"), F.lit(1).cast("long").alias("n")).unionByName(zero).groupBy("reason").agg(F.sum("n").alias("records"))
+    return pairs.agg(F.lit("paired").alias("reason"), (2 * F.count(F.lit(1))).alias("records")).unionByName(left)
 
 
 @query("w10_context_rotation", f"""WITH {SQL_RECORDS}, {SQL_POOLS}, {SQL_DRAWN} SELECT pairing, x, y, idx,

@@ -182,6 +182,37 @@ def test_settled_pairs_are_as_many_as_possible(spark):
     assert [(r.key, r.reason) for r in P.unpaired(pooled, pairs, "key").collect()] == [("u", "outside the pools")]
 
 
+@pytest.mark.parametrize("counts", [{"p": (1, 1), "q": (1, 1), "r": (1, 1)}, {"p": (5, 5), "q": (1, 0)}, {"p": (3, 4), "q": (4, 1), None: (2, 2)},
+                                    {"p": (6, 6), "q": (2, 3), "r": (3, 1)}, {"p": (9, 0), "q": (0, 4)}, {"p": (4, 0)}, {"p": (2, 7), "q": (3, 2), "r": (1, 1)}])
+def test_pairs_across_pools_reach_the_limit(spark, counts):
+    """The shorter side, or what is not of one class, whichever is fewer; leftovers have one reason each."""
+    rows = [(f"{c}{side}{i}", "g", c, f"strong_weak:{side}") for c, n in counts.items() for side, k in zip(("strong", "weak"), n) for i in range(k)]
+    pooled = spark.createDataFrame(rows + [("u", "g", "p", "unused")], "key string, grp string, name string, pool string")
+    s, w = (sum(n[k] for n in counts.values()) for k in (0, 1))
+    limit = min(s, w, s + w - max(sum(n) for n in counts.values()))
+    name, pool = {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}
+    for seed in range(2):
+        pairs = P.settle_pairs(pooled, "key", "grp", seed, "name").collect()
+        used = [k for r in pairs for k in (r.x, r.y)]
+        assert len(pairs) == limit and len(used) == len(set(used)) and all(name[r.x] != name[r.y] for r in pairs)
+        assert all(pool[r.x].endswith("strong") and pool[r.y].endswith("weak") for r in pairs) and sorted(r.index for r in pairs) == list(range(limit))
+    every = P.settle_pairs(pooled, "key", "grp", 1, "name")
+    two = P.settle_pairs(pooled, "key", "grp", 1, "name", {"strong_weak": 2})
+    assert {(r.x, r.y) for r in two.collect()} == {(r.x, r.y) for r in pairs if r.index < 2}
+    rest = [r.reason for r in P.unpaired(pooled, two, "key", "grp", "name", every).collect()]
+    assert len(rest) + 2 * min(2, limit) == len(rows) + 1 and rest.count("beyond the request") == 2 * max(0, limit - 2) and rest.count("outside the pools") == 1
+
+
+def test_derangement_of_many_labels_and_none(spark):
+    rows = [(f"r{i}", f"l{i // 2}") for i in range(2400)]
+    out = P.derangement(spark.createDataFrame(rows, "key string, label string"), "key", "label", 1).collect()
+    assert sorted(r.target for r in out) == sorted(r.label for r in out) and all(r.target != r.label for r in out)
+    lopsided = spark.createDataFrame([(f"r{i}", "a" if i < 7 else "b") for i in range(10)], "key string, label string")
+    with pytest.raises(ValueError, match="dominates"):
+        P.derangement(lopsided, "key", "label", 1)
+    assert P.derangement(lopsided.limit(0), "key", "label", 1).count() == 0
+
+
 def test_numbers_round_as_they_lie(spark):
     from counterlens.functions.numbers import fixed
     values = [36.25, 36.35, 0.15, 0.25, 2.675, -0.25, -36.35, 1e-9, 0.0, 123456.45, 0.05, 99.95]
