@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_RECORDS: list[list[str]] = []          # of the stages being built, the innermost last
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under the shared checkpoint folder and read back: a cut in the lineage that every executor
     can read again after a loss, and a table whose size the optimiser knows."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _RECORDS:
+        _RECORDS[-1].append(path)
+    return out
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Paths of the tables stored inside, for `remove` once what was built from them has been written."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
+def remove(spark: SparkSession, tables: list) -> None:
+    """Deletes stored tables (or paths) that nothing reads any more."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import shuffle_partitions, stored, text_chunks
+from counterlens.llm.common import remove, shuffle_partitions, stored, text_chunks
 from counterlens.llm.tokens import encoder
 from counterlens.session import checkpoint_dir
 
@@ -241,6 +241,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, limi
     (coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
      .mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/book")
+    remove(spark, [ids])
 
 
 def _decode(lengths: np.ndarray, with_ids: bool):
