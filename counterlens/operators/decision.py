@@ -206,8 +206,7 @@ def auc_cross_influence(margin: DataFrame, design: Design, replicates: int = 200
     signed = pair_signs(design)
     grid = margin.sparkSession.createDataFrame(signed, "encoding string, axis string, cell string, sign double, half double")
     point = auc(marked, ["encoding", "template", "cell"], value, "strong", buckets)
-    boot = auc_replicates(marked, ["encoding", "template", "cell"], "record_id", value, "strong", replicates, seed,
-                          buckets)
+    boot = auc_replicates(marked, ["encoding", "template", "cell"], "record_id", value, "strong", replicates, seed)
     est = point.groupBy("encoding", "cell").agg(F.avg("auc").alias("auc"), F.max("n_pos").alias("n_pos"),
                                                 F.max("n_neg").alias("n_neg"))
     est = (est.join(F.broadcast(grid), ["encoding", "cell"]).groupBy("encoding", "axis")

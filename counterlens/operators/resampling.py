@@ -16,20 +16,19 @@ from collections.abc import Iterator
 from typing import Callable, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterlens.operators.ranking import hash_rank, null_safe_join
-from counterlens.session import broadcast_if_small, shuffle_partitions
+from counterlens.session import shuffle_partitions
 
 DEFAULT_REPLICATES = 2000
 MODULUS = 2147483647                       # a prime; x -> x^5 permutes its residues
 ROUND_KEYS = (715827883, 1431655765, 178956971, 1073741827)
-CHUNK = 4096
 BLOCK = 4096                               # clusters whose draws are made together
 AT_ONCE = 250                              # replicates of a block that one task makes
-DRAW_LIMIT = 1 << 24                       # levels that one unblocked draw may choose among without bias
 
 Sums = Mapping[str, Column]
 Stat = Callable[[Sums], Column]
@@ -53,27 +52,6 @@ def draw_number(df: DataFrame, seed: int, words: list[str], out: str) -> DataFra
     return df.withColumn(out, F.coalesce(F.col("__x"), F.lit(0).cast("long"))).drop("__x", "__y", "__y2", "__y4")
 
 
-def replicate_draws(sizes: DataFrame, by: list[str], n: str, replicates: int, seed: int,
-                    salt: int = 0) -> DataFrame:
-    """``n`` draws with replacement from ``0..n-1`` per group and replicate: rows (by, b, j, idx).
-
-    Groups of the same size get the same draws. The draws are unrolled in chunks of ``CHUNK`` that are spread
-    over the cluster first, so a large ``n`` makes more tasks, not longer ones."""
-    spark = sizes.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "b")
-    fits = F.when(F.col(n) <= DRAW_LIMIT, F.col(n)).otherwise(F.raise_error(F.lit(f"draws choose among at most {DRAW_LIMIT} levels")))
-    sizes = sizes.withColumn(n, fits)
-    chunks = (sizes.crossJoin(F.broadcast(reps))
-              .withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / CHUNK).cast("int"))))
-              .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b", "__c"))
-    draws = chunks.withColumn("j", F.explode(F.sequence(
-        F.col("__c").cast("long") * CHUNK,
-        F.least((F.col("__c").cast("long") + 1) * CHUNK, F.col(n).cast("long")) - 1)))
-    draws = draw_number(draws, seed + 7919 * salt, ["b", "j"], "__u")
-    position = F.expr(f"(__u * cast({n} as bigint)) div {MODULUS}")
-    return draws.withColumn("idx", F.coalesce(position, F.lit(0).cast("long"))).select(*by, "b", "j", "idx")
-
-
 def index_clusters(clusters: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Adds the 0-based ``idx`` of each cluster inside ``by``, in the order of its key's digest."""
     ranked = hash_rank(clusters, F.sha2(F.col(key).cast("string"), 256), [key], by, "__rank")
@@ -104,6 +82,51 @@ def draws_in_block(size: int, b: np.ndarray, draws: int, seed: int) -> np.ndarra
     return x * size // MODULUS
 
 
+def block_counts(n: int, block: int, size: int, b: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each of a block's ``size`` ranks is drawn in the replicates ``b``: one row per replicate."""
+    count = block_draws(n, block, replicates, seed)[b]
+    out = np.empty((len(b), size))
+    for at in range(0, len(b), 25):
+        c = count[at:at + 25]
+        idx = draws_in_block(size, b[at:at + 25], int(c.max(initial=0)), seed + 104729 * block)
+        idx = np.where(np.arange(idx.shape[1])[None, :] < c[:, None], idx + 1, 0)
+        flat = idx + (np.arange(len(c)) * (size + 1))[:, None]
+        out[at:at + 25] = np.bincount(flat.reshape(-1), minlength=len(c) * (size + 1)).reshape(len(c), size + 1)[:, 1:]
+    return out
+
+
+def draw_counts(levels: DataFrame, key: str, by: list[str], replicates: int, seed: int, salt: int = 0) -> DataFrame:
+    """How often every level is drawn in every replicate, inside ``by``: rows (by, key, w), ``w`` one byte per replicate. Levels are
+    dealt to blocks as in `replicate_sums`, so there is no limit to their number; a replicate is never a row."""
+    levels = levels.select(*by, key).distinct()
+    groups = levels.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = index_clusters(levels, key, by).withColumn("__block", F.expr(f"idx div {BLOCK}"))
+    blocks = ranked.groupBy(*by, "__block").agg(F.sort_array(F.collect_list(F.struct("idx", F.col(key).alias("k")))).alias("__rows"))
+    blocks = null_safe_join(blocks, groups, by) if by else blocks.crossJoin(F.broadcast(groups))
+    schema = levels.schema.add("w", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = batch.column("__rows")[i].values.field("k")
+                n, block = batch.column("__n")[i].as_py(), batch.column("__block")[i].as_py()
+                w = np.empty((len(keys), replicates), np.uint8)
+                for at in range(0, replicates, AT_ONCE):
+                    found = block_counts(n, block, len(keys), np.arange(at, min(at + AT_ONCE, replicates)), replicates, seed + 7919 * salt)
+                    if found.max(initial=0) > 255:
+                        raise ValueError("a level was drawn more than 255 times")       # one in 10 ** 500
+                    w[:, at:at + AT_ONCE] = found.T
+                same = batch.select(by).take(pa.array(np.full(len(keys), i))).columns if by else []
+                yield pa.RecordBatch.from_arrays([*same, keys, pa.array([x.tobytes() for x in w], pa.binary())], names=[*by, key, "w"])
+
+    return blocks.mapInArrow(run, schema)
+
+
+def weight_matrix(column) -> np.ndarray:
+    """Rows x replicates of `draw_counts` bytes in a pandas column."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
 def _block_sums(by: list[str], sums: list[str], replicates: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,21 +135,10 @@ def _block_sums(by: list[str], sums: list[str], replicates: int, seed: int):
                 values = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in sums], axis=1).astype(float)
                 known = ~np.isnan(values)
                 values = np.where(known, values, 0.0)
-                n, block, size = batch.column("__n")[i].as_py(), batch.column("__block")[i].as_py(), len(values)
-                own = seed + 104729 * block
                 first = batch.column("__first")[i].as_py()
                 b = np.arange(first, min(first + AT_ONCE, replicates))
-                count = block_draws(n, block, replicates, seed)[b]
-                totals, seen = [], []
-                for at in range(0, len(b), 25):
-                    c = count[at:at + 25]
-                    idx = draws_in_block(size, b[at:at + 25], int(c.max(initial=0)), own)
-                    idx = np.where(np.arange(idx.shape[1])[None, :] < c[:, None], idx + 1, 0)
-                    flat = idx + (np.arange(len(c)) * (size + 1))[:, None]
-                    w = np.bincount(flat.reshape(-1), minlength=len(c) * (size + 1)).reshape(len(c), size + 1)[:, 1:].astype(float)
-                    totals.append(w @ values)
-                    seen.append(w @ known)
-                total, some = np.concatenate(totals), np.concatenate(seen) > 0
+                w = block_counts(batch.column("__n")[i].as_py(), batch.column("__block")[i].as_py(), len(values), b, replicates, seed)
+                total, some = w @ values, w @ known > 0
                 keys = batch.select(by).take(pa.array(np.full(len(b), i))).columns if by else []
                 yield pa.RecordBatch.from_arrays(
                     [*keys, pa.array(b), *[pa.array(total[:, k], mask=~some[:, k]) for k in range(len(sums))]], names=[*by, "b", *sums])
@@ -200,21 +212,28 @@ def crossed_bootstrap(items: DataFrame, key_a: str, key_b: str, sums: Mapping[st
                       stats: Mapping[str, Stat], replicates: int = DEFAULT_REPLICATES,
                       seed: int = 0) -> DataFrame:
     """Items crossed in two random factors: both are resampled, an item weighs the product of its two levels'
-    draw counts. Items are summed per (a, b) cell first; the counts meet the cells on (level, replicate)."""
+    draw counts. Items are summed per (a, b) cell first; a cell meets the counts of its two levels, all replicates of a level in
+    one value, and each task sums its cells for all replicates at once."""
     names = list(sums)
     cells = items.groupBy(key_a, key_b).agg(*[F.sum(e).alias(s) for s, e in sums.items()],
                                             F.count(F.lit(1)).alias("__items"))
-    a = index_clusters(cells.select(key_a).distinct(), key_a, [])
-    b = index_clusters(cells.select(key_b).distinct(), key_b, [])
-    counts = {}
-    for side, levels, salt in (("a", a, 1), ("b", b, 2)):
-        sizes = levels.agg(F.count(F.lit(1)).alias("__n"))
-        counts[side] = (replicate_draws(sizes, [], "__n", replicates, seed, salt)
-                        .groupBy("b", "idx").agg(F.count(F.lit(1)).cast("double").alias(f"w_{side}")))
-    weights_a = counts["a"].join(broadcast_if_small(a), "idx").select(key_a, "b", "w_a")
-    weights_b = counts["b"].join(broadcast_if_small(b), "idx").select(key_b, "b", "w_b")
-    weighted = (cells.join(weights_a, key_a).join(weights_b, [key_b, "b"])
-                .groupBy("b").agg(*[F.sum(F.col("w_a") * F.col("w_b") * F.col(s)).alias(s) for s in names]))
+    w_a = draw_counts(cells.select(key_a), key_a, [], replicates, seed, 1).withColumnRenamed("w", "w_a")
+    w_b = draw_counts(cells.select(key_b), key_b, [], replicates, seed, 2).withColumnRenamed("w", "w_b")
+
+    def partial(frames):
+        total = None
+        for pdf in frames:
+            for at in range(0, len(pdf), 1000):
+                own = pdf.iloc[at:at + 1000]
+                w = weight_matrix(own["w_a"]).astype(float) * weight_matrix(own["w_b"])
+                part = w.T @ own[names].to_numpy(float)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"b": np.arange(len(total)), **{s: total[:, k] for k, s in enumerate(names)}})
+
+    both = cells.select(key_a, key_b, *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in names]).join(w_a, key_a).join(w_b, key_b)
+    weighted = (both.select(*names, "w_a", "w_b").mapInPandas(partial, ", ".join(["b long", *[f"`{s}` double" for s in names]]))
+                .groupBy("b").agg(*[F.sum(s).alias(s) for s in names]))
     totals = cells.agg(*[F.sum(s).alias(s) for s in names], F.sum("__items").alias("n_items"),
                        F.count_distinct(key_a).alias("n_clusters"), F.count_distinct(key_b).alias("n_clusters_b"))
     point = _long_stats(totals, ["n_clusters", "n_clusters_b", "n_items"], names, stats, "estimate")
@@ -228,38 +247,45 @@ def crossed_bootstrap(items: DataFrame, key_a: str, key_b: str, sums: Mapping[st
 
 
 def auc_replicates(scored: DataFrame, by: list[str], key: str, score: str, positive: str,
-                   replicates: int, seed: int, buckets: int = 1) -> DataFrame:
+                   replicates: int, seed: int, block: int = 2000) -> DataFrame:
     """The AUC of every replicate from multiplicities: positives and negatives are resampled separately, with
     the same draws in every group of ``by``. Rows (by, b, auc).
 
-    ``scored`` has one row per (by, key). Draw counts join the scores, equal scores merge inside a replicate, and
-    the negatives below come from a two-level running total; replicates are never materialised as samples."""
-    from counterlens.operators.ranking import running_totals, with_bucket
+    ``scored`` has one row per (by, key). Scores meet their record's draw counts (all replicates in one value); ranges of about
+    ``block`` scores are reduced on their own to three numbers per replicate (weights of both sides, and wins inside), and the ranges of a
+    group add up in order: wins inside, plus a range's positives against the negatives of the ranges below."""
+    from counterlens.operators.ranking import with_bucket
 
-    scored = scored.select(*by, key, score, positive).persist()
-    people = scored.select(key, positive).distinct()
-    indexed = index_clusters(people, key, [positive])
-    sizes = indexed.groupBy(positive).agg((F.max("idx") + 1).alias("__n"))
-    sides = []
+    scored = scored.select(*by, key, F.col(score).alias("__s"), F.col(positive).cast("boolean").alias("__y"))
+    people = scored.select(key, "__y").distinct()
+    weights = None
     for flag, salt in ((True, 1), (False, 2)):
-        part = sizes.filter(F.col(positive) == F.lit(flag))
-        sides.append(replicate_draws(part, [positive], "__n", replicates, seed, salt)
-                     .groupBy(positive, "b", "idx").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    counts = sides[0].unionByName(sides[1])
-    weights = null_safe_join(counts, broadcast_if_small(indexed), [positive, "idx"],
-                             plain=(positive, "idx")).select(key, "b", "w")
-    marked = with_bucket(scored, by, score, buckets).withColumnRenamed("__b", "__bk")
-    hist = (weights.join(marked.select(*by, key, score, positive, "__bk"), key)
-            .groupBy(*by, "b", "__bk", score)
-            .agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0.0)).alias("__p"),
-                 F.sum(F.when(F.col(positive), 0.0).otherwise(F.col("w"))).alias("__q")))
-    below = (running_totals(hist, by + ["b"], score, ["__q"], bucket="__bk") if buckets > 1
-             else running_totals(hist, by + ["b"], score, ["__q"], buckets=1))
-    return (below.groupBy(*by, "b")
-            .agg(F.sum(F.col("__p") * (F.col("__q_below") + 0.5 * F.col("__q"))).alias("__u"),
-                 F.sum("__p").alias("__np"), F.sum("__q").alias("__nq"))
-            .select(*by, "b", (F.col("__u") / F.when(F.col("__np") * F.col("__nq") > 0,
-                                                     F.col("__np") * F.col("__nq"))).alias("auc")))
+        side = draw_counts(people.filter(F.col("__y") == F.lit(flag)), key, [], replicates, seed, salt)
+        weights = side if weights is None else weights.unionByName(side)
+    buckets = max(1, -(-people.count() // block))
+    joined = with_bucket(scored, by, "__s", buckets).withColumnRenamed("__b", "__bk").join(weights, key).select(*by, "__bk", "__s", "__y", "w")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*by).schema.fields)
+
+    def reduced(pdf):
+        pdf = pdf.sort_values("__s")
+        w, y, value = weight_matrix(pdf["w"]), pdf["__y"].to_numpy(bool), pdf["__s"].to_numpy()
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        p = np.add.reduceat(np.where(y[:, None], w, 0).astype(float), first, axis=0)
+        q = np.add.reduceat(np.where(y[:, None], 0, w).astype(float), first, axis=0)
+        wins = (p * (np.cumsum(q, axis=0) - 0.5 * q)).sum(axis=0)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "low": [float(value[0])], "p": [p.sum(axis=0)], "q": [q.sum(axis=0)], "u": [wins]})
+
+    def added(pdf):
+        pdf = pdf.sort_values("low")
+        p, q, u = (np.stack(pdf[c].to_numpy()) for c in ("p", "q", "u"))
+        wins = (u + p * (np.cumsum(q, axis=0) - q)).sum(axis=0)
+        n = p.sum(axis=0) * q.sum(axis=0)
+        auc = np.where(n > 0, wins / np.where(n > 0, n, 1), np.nan)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "b": np.arange(len(auc)), "auc": auc})
+
+    ranges = joined.groupBy(*by, "__bk").applyInPandas(reduced, f"{keys}, low double, p array<double>, q array<double>, u array<double>")
+    out = ranges.groupBy(*by).applyInPandas(added, f"{keys}, b long, auc double")
+    return out.withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
 
 
 def sign_flips(flips: int, units: DataFrame, unit: str, seed: int) -> DataFrame:

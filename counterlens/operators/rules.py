@@ -111,7 +111,6 @@ def first_name_hits(df: DataFrame, key: str, body: str, names: DataFrame, name:
 
     Candidates are capitalised mixed-case words not next to a place or institution cue. They leave the text in one
     narrow pass; only candidates meet the list, which is broadcast when its counted size allows."""
-    from counterlens.session import broadcast_if_small
 
     runs = df.select(key, F.regexp_extract_all(F.col(body), F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)).alias("r"))
     n = F.size("r")
@@ -133,7 +132,7 @@ def first_name_hits(df: DataFrame, key: str, body: str, names: DataFrame, name:
     hits = (runs.select(key, F.explode(F.filter(F.transform("r", candidate), lambda x: x.isNotNull())).alias("c"))
             .select(key, "c.pos", "c.w", F.lower("c.w").alias("__l")))
     listed = names.select(F.lower(F.col(name)).alias("__l")).distinct()
-    return (hits.join(broadcast_if_small(listed), "__l").groupBy(key)
+    return (hits.join(listed, "__l").groupBy(key)
             .agg(F.min_by("w", "pos").alias("first_name")))
 
 

@@ -8,6 +8,7 @@ of group sums, and every nulled score follows from the dot products of one pass
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,7 @@ from counterlens.functions import vectors as V
 from counterlens.functions.keyed import hash15
 from counterlens.operators.design import Design
 from counterlens.operators.ranking import null_safe_join
-from counterlens.operators.resampling import (MODULUS, ROUND_KEYS, index_clusters, replicate_draws)
-from counterlens.session import broadcast_if_small
+from counterlens.operators.resampling import MODULUS, ROUND_KEYS, draw_counts, index_clusters, weight_matrix
 
 GS_RTOL = 1e-5
 
@@ -53,7 +53,7 @@ def direction_fit(df: DataFrame, by: list[str], positive: str, vec: str) -> Data
     """In-sample statistics of a difference-of-means direction: separation, projection means and SDs per side and
     the accuracy of the midpoint threshold."""
     d = difference_of_means(df, by, positive, vec)
-    small = broadcast_if_small(d.select(*by, "direction", "raw", "mean_pos", "mean_neg", "n_pos", "n_neg"))
+    small = d.select(*by, "direction", "raw", "mean_pos", "mean_neg", "n_pos", "n_neg")
     scored = null_safe_join(df.select(*by, positive, vec), small, by).select(
         *by, positive, V.dot(vec, "direction").alias("p"), V.norm("raw").alias("separation"),
         ((V.dot("mean_pos", "direction") + V.dot("mean_neg", "direction")) / 2).alias("mid"))
@@ -160,9 +160,8 @@ def excluding(units: DataFrame, by: list[str], fold_set: str, template: str, key
 
 def dots(rows: DataFrame, keys: list[str], vec: str, directions: DataFrame, on: list[str] = ()) -> DataFrame:
     """``h.u`` for every row and the directions that apply to it: one pass, after which the states are not needed.
-    ``directions`` (direction_id, direction, on...) is broadcast when its counted size allows."""
-    small = broadcast_if_small(directions)
-    j = rows.join(small, list(on)) if on else rows.crossJoin(small)
+    ``directions``: (direction_id, direction, on...), a few."""
+    j = rows.join(directions, list(on)) if on else rows.crossJoin(directions)
     return j.select(*keys, "direction_id", V.dot(vec, "direction").alias("along"))
 
 
@@ -253,13 +252,25 @@ def split_half_cosine(contrasts: DataFrame, key: str, repeats: int, seed: int, b
 
 
 def replicate_means(vectors: DataFrame, key: str, vec: str, replicates: int, seed: int) -> DataFrame:
-    """The mean vector of every bootstrap replicate over records: (b, mean_vec), drawn as in `resampling`."""
-    indexed = index_clusters(vectors.select(key, vec), key, [])
-    n = indexed.agg(F.count(F.lit(1)).alias("__n"))
-    counts = (replicate_draws(n, [], "__n", replicates, seed).groupBy("b", "idx").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    j = counts.join(broadcast_if_small(indexed), "idx")
-    g = j.groupBy("b").agg(Summarizer.mean(array_to_vector(doubles(vec)), F.col("w")).alias("__m"))
-    return g.select("b", vector_to_array("__m").alias("mean_vec"))
+    """The mean vector of every bootstrap replicate over records: (b, mean_vec), drawn as in `resampling`. A record's vector meets its draw
+    counts for all replicates; each task sums its records for all of them at once."""
+    counts = draw_counts(vectors.select(key), key, [], replicates, seed)
+
+    def partial(frames):
+        total, drawn = None, None
+        for pdf in frames:
+            for at in range(0, len(pdf), 1000):
+                own = pdf.iloc[at:at + 1000]
+                w = weight_matrix(own["w"]).astype(float)
+                part, n = w.T @ np.stack(own["v"].to_numpy()), w.sum(axis=0)
+                total, drawn = (part, n) if total is None else (total + part, drawn + n)
+        if total is not None:
+            yield pd.DataFrame({"b": np.arange(len(total)), "v": list(total), "n": drawn})
+
+    both = vectors.select(key, doubles(vec).alias("v")).join(counts, key).select("v", "w")
+    parts = both.mapInPandas(partial, "b long, v array<double>, n double")
+    g = parts.groupBy("b").agg(Summarizer.sum(array_to_vector("v")).alias("__m"), F.sum("n").alias("n"))
+    return g.select("b", V.scale(vector_to_array("__m"), 1.0 / F.col("n")).alias("mean_vec"))
 
 
 def flip_norms(vectors: DataFrame, key: str, vec: str, flips: int, seed: int, block: int = 500) -> DataFrame:
@@ -271,8 +282,6 @@ def flip_norms(vectors: DataFrame, key: str, vec: str, flips: int, seed: int, bl
     indexed = index_clusters(vectors.select(key, vec), key, []).select("idx", doubles(vec).alias("v"))
 
     def partial(batches):
-        import pandas as pd
-
         def mix(x):
             x = x % MODULUS
             x2 = (x * x) % MODULUS

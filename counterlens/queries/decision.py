@@ -277,9 +277,9 @@ SELECT encoding, axis, n_strong, n_weak, round(mean, 9) AS mean, round(auc_prote
   round(auc_reference, 9) AS auc_reference, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM pt JOIN ci USING (encoding, axis)"""
 
 
-@query("b5_auc_cross_influence", _auc_ci_sql(100))
+@query("b5_auc_cross_influence", _auc_ci_sql(2000))
 def b5(spark, sf):
-    out = D.auc_cross_influence(_margin(spark, sf), CREDIT, 100, 0)
+    out = D.auc_cross_influence(_margin(spark, sf), CREDIT, 2000, 0)
     return out.select("encoding", "axis", "n_strong", "n_weak",
                       *[r9(c).alias(c) for c in ("mean", "auc_protected", "auc_reference", "ci_low", "ci_high")])
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterlens.functions.keyed import hash15
 from counterlens.functions.scores import win
 from counterlens.operators import pairs as P
-from counterlens.operators.design import CREDIT
+from counterlens.operators.design import CREDIT, INTERSECTION
 from counterlens.operators.resampling import cluster_bootstrap, crossed_bootstrap
 from counterlens.queries.base import (SQL_RECORDS, literal_rows, r9, records, spread, sql_draws, sql_h15, sql_index)
 from counterlens.queries.registry import query
@@ -117,12 +120,13 @@ def b13(spark, sf):
     return _ci(cluster_bootstrap(pair_rewards(spark, sf), "record_id", P.change_sums(), P.CHANGE_STATS, [], 2000))
 
 
-@query("b2_crossed_intervals", f"""WITH {SQL_PAIRS}, it AS (SELECT * FROM pr WHERE axis = 'sex'),
+def _crossed_sql(axis: str) -> str:
+    return f"""WITH {SQL_PAIRS}, it AS (SELECT * FROM pr WHERE axis = '{axis}'),
 cells AS (SELECT record_id, grp, count(*)::DOUBLE AS sn, sum(a - b) AS gap, sum({SQL_WIN}) AS wins FROM it GROUP BY ALL),
 la AS (SELECT record_id, {sql_index('x', 'record_id')} AS idx FROM (SELECT DISTINCT record_id FROM cells)),
 lb AS (SELECT grp, {sql_index('x', 'grp')} AS idx FROM (SELECT DISTINCT grp FROM cells)),
 sa AS (SELECT count(*) AS n FROM la), sb AS (SELECT count(*) AS n FROM lb),
-{sql_draws('da', 'sa', [], 300, 0, 1)}, {sql_draws('db', 'sb', [], 300, 0, 2)},
+{sql_draws('da', 'sa', [], 2000, 0, 1)}, {sql_draws('db', 'sb', [], 2000, 0, 2)},
 wa AS (SELECT record_id, b, count(*) AS w FROM da JOIN la USING (idx) GROUP BY ALL),
 wb AS (SELECT grp, b, count(*) AS w FROM db JOIN lb USING (idx) GROUP BY ALL),
 boot AS (SELECT wa.b, sum(wa.w * wb.w * sn) AS sn, sum(wa.w * wb.w * gap) AS gap, sum(wa.w * wb.w * wins) AS wins
@@ -130,13 +134,21 @@ boot AS (SELECT wa.b, sum(wa.w * wb.w * sn) AS sn, sum(wa.w * wb.w * gap) AS gap
 bs AS (SELECT 'mean_gap' AS stat, gap / sn AS v FROM boot UNION ALL SELECT 'pref_a_rate', wins / sn FROM boot),
 ci AS (SELECT stat, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, count(v) AS n_boot_valid FROM bs GROUP BY ALL),
 pt AS (SELECT 'mean_gap' AS stat, avg(a - b) AS v FROM it UNION ALL SELECT 'pref_a_rate', avg({SQL_WIN}) FROM it)
-SELECT stat, round(v, 9) AS estimate, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, (SELECT count(*) FROM la) AS n_clusters,
-  (SELECT count(*) FROM lb) AS n_clusters_b, (SELECT count(*) FROM it) AS n_items, n_boot_valid FROM pt JOIN ci USING (stat)""")
+SELECT '{axis}' AS axis, stat, round(v, 9) AS estimate, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, (SELECT count(*) FROM la) AS n_clusters,
+  (SELECT count(*) FROM lb) AS n_clusters_b, (SELECT count(*) FROM it) AS n_items, n_boot_valid FROM pt JOIN ci USING (stat)"""
+
+
+CROSSED_AXES = [*CREDIT.axes, INTERSECTION]
+
+
+@query("b2_crossed_intervals", " UNION ALL ".join(f"SELECT * FROM ({_crossed_sql(a)})" for a in CROSSED_AXES))
 def b2(spark, sf):
+    """Records and groups both resampled, for every axis."""
     sums = {k: v for k, v in P.pair_sums().items() if k in ("n", "gap", "wins")}
     stats = {k: P.PAIR_STATS[k] for k in ("mean_gap", "pref_a_rate")}
-    items = pair_rewards(spark, sf).filter("axis = 'sex'")
-    return _ci(crossed_bootstrap(items, "record_id", "grp", sums, stats, 300))
+    items = pair_rewards(spark, sf)
+    each = [_ci(crossed_bootstrap(items.filter(F.col("axis") == a), "record_id", "grp", sums, stats, 2000)).withColumn("axis", F.lit(a)) for a in CROSSED_AXES]
+    return reduce(DataFrame.unionByName, each)
 
 
 # ---- authored verdicts: evasive is missing for long records, neutral_decline for some groups --------------------------------

@@ -285,11 +285,11 @@ def l8(spark, sf):
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
-@query("j3_probe_exclusion", f"""WITH {SQL_RECORDS}, p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 40)
+@query("j3_probe_exclusion", f"""WITH {SQL_RECORDS}, p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 150)
 SELECT record_id, strong FROM records WHERE record_id NOT IN (SELECT record_id FROM p)""")
 def j3(spark, sf):
     r = recs(spark, sf).select("record_id", "strong")
-    return r.join(S.seeded_order(r, "record_id", SEED, 40).select("record_id"), "record_id", "left_anti")
+    return r.join(S.seeded_order(r, "record_id", SEED, 150).select("record_id"), "record_id", "left_anti")
 
 
 @query("j4_pool_equality", """WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 5 <> 0)
@@ -356,7 +356,7 @@ def j20(spark, sf):
 
 @query("j21_pairing_candidates", f"""WITH {SQL_RECORDS}, b AS (SELECT record_id, strong, prompt, e, t FROM records, (VALUES ('explicit'), ('proxy')) x(e), (VALUES ('v1'), ('v2')) y(t)
   WHERE NOT ({sql_h15("record_id || '|' || e || '|' || t")} % 20 = 0)),
-p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 40)
+p AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY {HASH}, record_id) AS rk FROM records) WHERE rk <= 150)
 SELECT record_id, any_value(strong) AS strong, any_value(prompt) AS prompt FROM b WHERE record_id NOT IN (SELECT record_id FROM p) GROUP BY record_id HAVING count(DISTINCT e || t) = 4""")
 def j21(spark, sf):
     """Records whose every (encoding, template) block survived the gate and that trained no probe."""
@@ -365,7 +365,7 @@ def j21(spark, sf):
     grid = F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(t).alias("t")) for e in ("explicit", "proxy") for t in ("v1", "v2")]))
     b = r.select("*", grid.alias("g")).filter(F.pmod(hash15(F.col("record_id"), F.col("g.e"), F.col("g.t")), F.lit(20)) != 0)
     whole = b.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.any_value("strong").alias("strong"), F.any_value("prompt").alias("prompt"))
-    probe = S.seeded_order(r, "record_id", SEED, 40).select("record_id")
+    probe = S.seeded_order(r, "record_id", SEED, 150).select("record_id")
     return whole.filter("n = 4").join(probe, "record_id", "left_anti").select("record_id", "strong", "prompt")
 
 
@@ -391,18 +391,18 @@ def a36(spark, sf):
 
 
 @query("a36_chance_balance", """WITH g AS (SELECT c_custkey, c_nationkey::VARCHAR AS v FROM customer),
-n AS (SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS k FROM customer),
-s AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY sha256('42|' || draw || '|' || c_custkey), c_custkey) <= (SELECT k FROM n) AS a FROM g, range(20) t(draw)),
-c AS (SELECT draw, v, count(*) FILTER (a) AS ca, count(*) FILTER (NOT a) AS cb FROM s GROUP BY ALL),
+n AS (SELECT least(count(*) FILTER (c_mktsegment = 'BUILDING'), count(*) // 2) AS k FROM customer),
+s AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY sha256('42|' || draw || '|' || c_custkey), c_custkey) AS rk FROM g, range(200) t(draw)),
+c AS (SELECT draw, v, count(*) FILTER (rk <= k) AS ca, count(*) FILTER (rk > k) AS cb FROM s, n WHERE rk <= 2 * k GROUP BY ALL),
 d AS (SELECT draw, v, abs(ca / sum(ca) OVER (PARTITION BY draw) - cb / sum(cb) OVER (PARTITION BY draw)) AS d FROM c),
 e AS (SELECT draw, 0.5 * sum(d) AS tv FROM d GROUP BY draw) SELECT round(avg(tv), 9) AS chance_floor, count(*)::BIGINT AS draws FROM e""")
 def a36_chance(spark, sf):
-    """The same distance under random splits of the same sizes."""
+    """The same distance between two random samples of the treated group's size (or half of all, if that is less), 200 times."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("v"), "c_mktsegment")
-    k = c.agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("k"))
-    grid = c.select("c_custkey", "v").crossJoin(F.broadcast(spark.range(20).withColumnRenamed("id", "draw")))
+    k = c.agg(F.least(F.count_if(F.col("c_mktsegment") == "BUILDING"), F.floor(F.count(F.lit(1)) / 2)).alias("k"))
+    grid = c.select("c_custkey", "v").crossJoin(F.broadcast(spark.range(200).withColumnRenamed("id", "draw")))
     r = ranking.hash_rank(grid, digest(SEED, F.col("draw"), F.col("c_custkey")), ["c_custkey"], ["draw"], "rk").crossJoin(F.broadcast(k))
-    s = r.groupBy("draw", "v").agg(F.count_if(F.col("rk") <= F.col("k")).alias("a"), F.count_if(F.col("rk") > F.col("k")).alias("b"))
+    s = r.filter(F.col("rk") <= 2 * F.col("k")).groupBy("draw", "v").agg(F.count_if(F.col("rk") <= F.col("k")).alias("a"), F.count_if(F.col("rk") > F.col("k")).alias("b"))
     w = Window.partitionBy("draw")
     d = s.withColumn("d", F.abs(F.col("a") / F.sum("a").over(w) - F.col("b") / F.sum("b").over(w))).groupBy("draw").agg((0.5 * F.sum("d")).alias("tv"))
     return d.agg(r9(F.avg("tv")).alias("chance_floor"), F.count(F.lit(1)).alias("draws"))

@@ -311,7 +311,7 @@ def additivity_table(spark, sf):
 
 @query("b9_sign_flip_test", f"""WITH {SQL_STATES}, k AS (SELECT record_id, pos, sum(x * CASE WHEN s1 + s2 + s3 = 3 THEN 1 WHEN s1 + s2 + s3 = -3 THEN -1 ELSE 0 END) / 4 - sum(x * (s1 + s2 + s3)) / 16 AS r FROM st GROUP BY ALL),
 ids AS (SELECT DISTINCT record_id FROM k), ix AS (SELECT record_id, {sql_index('ids', 'record_id')} AS j FROM ids),
-f0 AS (SELECT record_id, j, b, 42::BIGINT AS x FROM ix, range(200) t(b)),
+f0 AS (SELECT record_id, j, b, 42::BIGINT AS x FROM ix, range(10000) t(b)),
 f1 AS (SELECT record_id, j, ((x + 715827883 + b) % 2147483647)::BIGINT AS y, b FROM f0), f2 AS (SELECT *, (((y * y) % 2147483647) * ((y * y) % 2147483647) % 2147483647) * y % 2147483647 AS x FROM f1),
 f3 AS (SELECT record_id, b, ((x + 1431655765 + j) % 2147483647)::BIGINT AS y FROM f2), f4 AS (SELECT record_id, b, (((y * y) % 2147483647) * ((y * y) % 2147483647) % 2147483647) * y % 2147483647 AS x FROM f3),
 f5 AS (SELECT record_id, b, ((x + 178956971) % 2147483647)::BIGINT AS y FROM f4), f6 AS (SELECT record_id, b, (((y * y) % 2147483647) * ((y * y) % 2147483647) % 2147483647) * y % 2147483647 AS x FROM f5),
@@ -320,14 +320,14 @@ nn AS (SELECT b, sum(v * v) AS n2 FROM p GROUP BY b), o AS (SELECT sum(v * v) AS
 SELECT (SELECT count(*) FROM ids) AS n_records, count(*)::BIGINT AS n_flips, round((1 + count(*) FILTER (nn.n2 >= o.n2)) / (1 + count(*)), 9) AS p_value FROM nn, o""")
 def b9(spark, sf):
     r = additivity_table(spark, sf).select("record_id", "residual")
-    flips = V.flip_norms(r, "record_id", "residual", 200, 42)
+    flips = V.flip_norms(r, "record_id", "residual", 10000, 42)
     obs = V.vector_sums(r, [], "residual").select(X.dot("sum_vec", "sum_vec").alias("o"), F.col("n").alias("n_records"))
     return flips.crossJoin(F.broadcast(obs)).groupBy("n_records").agg(
         F.count(F.lit(1)).alias("n_flips"), r9((1 + F.count_if(F.col("norm2") >= F.col("o"))) / (1 + F.count(F.lit(1)))).alias("p_value"))
 
 
 @query("a29_b10_cosine_intervals", f"""WITH {SQL_STATES}, c AS ({SQL_PROMPT}), ids AS (SELECT DISTINCT record_id FROM c), ix AS (SELECT record_id, {sql_index('ids', 'record_id')} AS idx FROM ids),
-sz AS (SELECT count(*) AS n FROM ids), {sql_draws('dr', 'sz', [], 100, 0)}, w AS (SELECT record_id, b, count(*) AS w FROM dr JOIN ix USING (idx) GROUP BY ALL),
+sz AS (SELECT count(*) AS n FROM ids), {sql_draws('dr', 'sz', [], 2000, 0)}, w AS (SELECT record_id, b, count(*) AS w FROM dr JOIN ix USING (idx) GROUP BY ALL),
 m AS (SELECT axis, b, pos, sum(w.w * c) AS s FROM w JOIN c USING (record_id) GROUP BY ALL), m0 AS (SELECT axis, pos, sum(c) AS s FROM c GROUP BY ALL),
 pr AS (SELECT * FROM (VALUES ('sex', 'age'), ('sex', 'marital_status'), ('age', 'marital_status')) t(a, z)),
 k AS (SELECT pr.a, pr.z, x.b, sum(x.s * y.s) / (sqrt(sum(x.s * x.s)) * sqrt(sum(y.s * y.s))) AS c FROM pr JOIN m x ON x.axis = pr.a JOIN m y ON y.axis = pr.z AND x.b = y.b AND x.pos = y.pos GROUP BY ALL),
@@ -339,7 +339,7 @@ def b10(spark, sf):
     c = contrasts(spark, sf)
     wide = c.groupBy("record_id").agg(*[F.first(F.when(F.col("axis") == a, F.col("contrast")), True).alias(a) for a in AXES])
     wide = wide.select("record_id", F.concat(*AXES).alias("v"))
-    boot = V.replicate_means(wide, "record_id", "v", 100, 0).withColumn("kind", F.lit("boot"))
+    boot = V.replicate_means(wide, "record_id", "v", 2000, 0).withColumn("kind", F.lit("boot"))
     point = V.mean_vectors(wide, [], "v").select(F.lit(-1).cast("long").alias("b"), "mean_vec", F.lit("point").alias("kind"))
     both = boot.unionByName(point)
     d = (F.size("mean_vec") / 3).cast("int")

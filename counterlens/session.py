@@ -49,9 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so later stages survive lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, **_) -> DataFrame:
-    """``df`` as it is: adaptive execution broadcasts it if its measured size allows. Plans call this where one side is
-    expected to be small but may grow."""
-    return df

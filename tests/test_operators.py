@@ -97,11 +97,41 @@ def test_single_cluster_has_no_interval(spark):
     assert r.estimate == 1.5 and r.ci_low is None and r.n_boot_valid == 0
 
 
-def test_draws_are_uniform(spark):
-    n = spark.createDataFrame([(250,)], "n long")
-    counts = S.replicate_draws(n, [], "n", 800, 11).groupBy("idx").count().toPandas()["count"]
-    chi2 = ((counts - 800) ** 2 / 800).sum()
-    assert len(counts) == 250 and 160 < chi2 < 350
+def _counts(spark, n, replicates, seed):
+    rows = S.draw_counts(spark.range(n), "id", [], replicates, seed).collect()
+    return {r["id"]: np.frombuffer(bytes(r["w"]), np.uint8) for r in rows}
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_draws_are_uniform(spark, monkeypatch, block):
+    """Every replicate draws as often as there are levels, whatever the number of blocks, and all levels alike."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    w = np.stack(list(_counts(spark, 250, 800, 11).values()))
+    assert w.shape == (250, 800) and (w.sum(axis=0) == 250).all()
+    chi2 = ((w.sum(axis=1) - 800.0) ** 2 / 800).sum()
+    assert 160 < chi2 < 350 and abs((w == 0).mean() - math.exp(-1)) < 0.01
+
+
+def test_blocks_agree_with_a_plain_recount(spark, monkeypatch):
+    """Sums, crossed sums and AUCs of several blocks equal those of the draw counts, replicate by replicate."""
+    monkeypatch.setattr(S, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    n, reps = 150, 60
+    score, y, other = rng.integers(0, 40, n) / 10, rng.integers(0, 2, n).astype(bool), rng.integers(0, 45, n)
+    df = spark.createDataFrame([(i, float(s), bool(p), int(o)) for i, (s, p, o) in enumerate(zip(score, y, other))], "id long, s double, y boolean, o long")
+    w = _counts(spark, n, reps, 5)
+    sums = {r["b"]: r["s"] for r in S.replicate_sums(df, "id", ["s"], [], reps, 5).collect()}
+    assert all(sums[b] == pytest.approx(sum(w[i][b] * score[i] for i in range(n))) for b in range(reps))
+
+    counts = {}
+    for flag, salt in ((True, 1), (False, 2)):
+        part = S.draw_counts(df.filter(F.col("y") == F.lit(flag)).select("id"), "id", [], reps, 5, salt).collect()
+        counts |= {r["id"]: np.frombuffer(bytes(r["w"]), np.uint8).astype(float) for r in part}
+    found = {(r["g"], r["b"]): r["auc"] for r in S.auc_replicates(df.withColumn("g", F.lit("x")), ["g"], "id", "s", "y", reps, 5, block=20).collect()}
+    for b in range(reps):
+        wins = sum(counts[i][b] * counts[j][b] * ((score[i] > score[j]) + 0.5 * (score[i] == score[j])) for i in np.flatnonzero(y) for j in np.flatnonzero(~y))
+        pos, neg = sum(counts[i][b] for i in np.flatnonzero(y)), sum(counts[j][b] for j in np.flatnonzero(~y))
+        assert found["x", b] == pytest.approx(wins / (pos * neg))
 
 
 def test_sentence_boundaries_by_hand(spark):
