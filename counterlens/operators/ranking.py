@@ -106,6 +106,24 @@ def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
     return joined.drop("__k", "__b", *[f"__i_{v}" for v in values], *[f"__o_{v}" for v in values])
 
 
+def exact_percentiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, float], buckets: int = 16) -> DataFrame:
+    """Interpolated percentiles (name -> fraction) of ``value`` per group: rows (by, names...). Nulls take no part.
+
+    Equal values merge into counts first, and the two order statistics around each place are read off running totals, so a
+    group is never one sorted buffer; the result equals a percentile over the whole group."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    totals = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    below = running_totals(counts, by, "__v", ["__c"], buckets)
+    placed = null_safe_join(below, totals, by)
+    at = lambda rank: F.max(F.when((F.col("__c_below") <= rank) & (rank < F.col("__c_below") + F.col("__c")), F.col("__v").cast("double")))
+    found, out = [], []
+    for i, (name, q) in enumerate(fractions.items()):
+        place = F.lit(float(q)) * (F.col("__n") - 1)
+        found += [at(F.floor(place)).alias(f"__lo{i}"), at(F.ceil(place)).alias(f"__hi{i}"), F.max(place - F.floor(place)).alias(f"__f{i}")]
+        out.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(name))
+    return placed.groupBy(*by).agg(*found).select(*by, *out)
+
+
 def average_rank(df: DataFrame, by: list[str], order: str, out: str = "avg_rank",
                  buckets: int = 16) -> DataFrame:
     """Ranks with ties sharing their mean rank (1-based)."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from counterlens.functions import vectors as X
 from counterlens.functions.keyed import hash15
 from counterlens.operators import comparative as C, contracts as Q, guardrail as G
+from counterlens.operators.ranking import exact_percentiles
 from counterlens.queries.base import (SQL_RECORDS, SQL_REWARDS, literal_rows, r9, records, rewards, sql_draws, sql_h15, sql_index, table)
 from counterlens.queries.pairs import SQL_PAIRS, pair_rewards
 from counterlens.queries.registry import query
@@ -395,6 +396,7 @@ def s16(spark, sf):
 SELECT name, round(v, 6) AS value, 'orders' AS source FROM m UNION ALL SELECT name || 'Lo', round(lo, 6), 'orders' FROM m UNION ALL SELECT name || 'Hi', round(hi, 6), 'orders' FROM m""")
 def k9(spark, sf):
     from counterlens.sources.sinks import named_numbers
-    m = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").alias("value"), F.percentile("o_totalprice", F.lit(0.025)).alias("lo"), F.percentile("o_totalprice", F.lit(0.975)).alias("hi"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_totalprice").cast("double").alias("x"))
+    m = o.groupBy("name").agg(F.avg("x").alias("value")).join(exact_percentiles(o, ["name"], "x", {"lo": 0.025, "hi": 0.975}), "name")
     n = named_numbers(m, "orders")
     return n.select("name", F.round("value", 6).alias("value"), "source")

@@ -1,5 +1,6 @@
 """Brute-force checks, planted effects, refusals and layout invariance."""
 
+import hashlib
 import json
 import math
 import random
@@ -456,7 +457,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert corpora.read_published_scores(spark, str(tmp_path / "pub.json")).count() == 2
     (tmp_path / "res.json").write_text(json.dumps({"metrics": {}}))
     assert corpora.read_results(spark, str(tmp_path / "res.json")).first().kind == "decision"
-    assert corpora.file_hashes(spark, str(tmp_path / "res.json")).count() == 1
+    assert list(corpora.file_hashes(spark, [str(tmp_path / "res.json")]).values()) == [hashlib.sha256((tmp_path / "res.json").read_bytes()).hexdigest()]
     pairs = spark.createDataFrame([(f"p{i}", "sex" if i % 2 else "age", "explicit", "v1", f"t{i}") for i in range(20)], "id string, varied_axis string, encoding string, template_id string, text_a string")
     sinks.write_manifest(pairs, pairs.select("id", "encoding"), {"gate": pairs.groupBy("varied_axis").count()}, str(tmp_path / "m"), 42)
     assert {r.varied_axis: r.pairs for r in sinks.read_manifest(spark, str(tmp_path / "m")).collect()} == {"sex": 10, "age": 10}
@@ -471,7 +472,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_streamed_intake_first_score_wins(spark, tmp_path):
-    from counterlens.streaming.intake import STATE_SCHEMA, score_missing, start_intake, worklist
+    from counterlens.streaming.intake import STATE_SCHEMA, read_states, score_missing, start_intake, worklist
     src, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
     rows = lambda ks, s: spark.createDataFrame([(k, s, [s], [1.0]) for k in ks], STATE_SCHEMA)
     rows(["a", "b"], 1.0).write.mode("append").parquet(src)
@@ -479,7 +480,8 @@ def test_streamed_intake_first_score_wins(spark, tmp_path):
     rows(["b", "c"], 2.0).write.mode("append").parquet(src)
     start_intake(spark, src, out, ckpt).awaitTermination()
     start_intake(spark, src, out, ckpt).awaitTermination()
-    assert {r.text_key: r.score for r in spark.read.parquet(out).collect()} == {"a": 1.0, "b": 1.0, "c": 2.0}
+    assert {r.text_key: r.score for r in read_states(spark, out).collect()} == {"a": 1.0, "b": 1.0, "c": 2.0}
+    assert spark.read.parquet(out).count() == 3
 
     def scorer(batches):
         for pdf in batches:
@@ -487,11 +489,59 @@ def test_streamed_intake_first_score_wins(spark, tmp_path):
             yield pdf[["text_key", "score", "state", "gates"]]
 
     texts = spark.createDataFrame([("a", "x"), ("d", "four"), ("d", "four")], "text_key string, text string")
-    done = spark.read.parquet(out)
+    done = read_states(spark, out)
     assert worklist(texts, done).count() == 1
     assert [(r.text_key, r.score) for r in score_missing(texts, done, scorer).collect()] == [("d", 4.0)]
 
 
+def test_two_writers_of_one_key(spark, tmp_path):
+    """Writers that do not see each other append a key twice; the first stays, and a batch reads only the folders it touches."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from counterlens.streaming.intake import STATE_SCHEMA, append_new, read_states
+    out = str(tmp_path / "states")
+    batch = lambda s, keys: spark.createDataFrame([(k, s, [s], [1.0]) for k in keys], STATE_SCHEMA)
+    batch(0.0, ["x"]).limit(0).write.parquet(str(tmp_path / "unused"))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda a: append_new(batch(*a), out), [(1.0, [f"k{i}" for i in range(40)]), (2.0, [f"k{i}" for i in range(20, 60)])]))
+    raw, states = spark.read.parquet(out), {r.text_key: r.score for r in read_states(spark, out).collect()}
+    assert len(states) == 60 and set(states.values()) == {1.0, 2.0}
+    best = {}
+    for r in raw.collect():
+        best[r.text_key] = min(best.get(r.text_key, (1 << 62, "", 0.0)), (r.written, r.writer, r.score))
+    assert states == {k: v[2] for k, v in best.items()}
+    append_new(batch(9.0, ["k0", "k59", "new"]), out)
+    after = {r.text_key: r.score for r in read_states(spark, out).collect()}
+    assert after == {**states, "new": 9.0} and spark.read.parquet(out).count() == raw.count() + 1
+
+
+def test_files_are_those_of_their_manifest(spark, tmp_path):
+    from counterlens.sources.corpora import verified_files
+    (tmp_path / "pairs.jsonl").write_bytes(b'{"id": 1}\n' * 1000)
+    entry = {"sha256": hashlib.sha256((tmp_path / "pairs.jsonl").read_bytes()).hexdigest(), "n_rows": 1000}
+    with pytest.raises(FileNotFoundError, match="no manifest.json"):
+        verified_files(spark, str(tmp_path), ["pairs.jsonl"])
+    (tmp_path / "manifest.json").write_text(json.dumps({"generator_version": "0.4.0", "code": "abc", "seed": 3, "files": {"pairs.jsonl": entry}}))
+    assert verified_files(spark, str(tmp_path), ["pairs.jsonl"]) == [{"path": f"{tmp_path}/pairs.jsonl", "sha256": entry["sha256"], "n_rows": 1000,
+                                                                      "generator_version": "0.4.0", "generator_code": "abc", "generator_seed": 3}]
+    with pytest.raises(ValueError, match="does not list cells.jsonl"):
+        verified_files(spark, str(tmp_path), ["cells.jsonl"])
+    (tmp_path / "pairs.jsonl").write_bytes(b'{"id": 2}\n' * 1000)
+    with pytest.raises(ValueError, match="is not the file"):
+        verified_files(spark, str(tmp_path), ["pairs.jsonl"])
+
+
+def test_percentiles_without_a_sorted_group(spark):
+    from counterlens.operators.ranking import exact_percentiles
+    rng = np.random.default_rng(9)
+    rows = [("a", float(v)) for v in rng.normal(size=301)] + [("b", float(v)) for v in rng.integers(0, 3, 200)] + [("c", 5.0), (None, 1.0), (None, 2.0), ("d", None)]
+    found = {r["g"]: r for r in exact_percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"lo": 0.025, "mid": 0.5, "hi": 0.975}, 4).collect()}
+    assert set(found) == {"a", "b", "c", None}
+    for g, r in found.items():
+        own = [x for k, x in rows if k == g]
+        assert [r["lo"], r["mid"], r["hi"]] == pytest.approx(np.percentile(own, [2.5, 50, 97.5]).tolist())
+
+
 def test_positions_of_an_inserted_sentence(spark):
     from counterlens.operators import positioned as PO
     df = spark.createDataFrame([("r", "One here. Two is there. Three."), ("s", "No boundary")], "record_id string, text string")
