@@ -38,7 +38,7 @@ LENGTH, GRAM, STEP = 200, 64, 16
 CHUNK = 1 << 20
 PLACE_BITS = 26                        # positions of a block in the low bits of what triggers are chosen by
 FLUSH = 100_000                        # pieces a task gathers before it merges equal ones
-GROUP = 200_000                        # pieces settled at once
+GROUP = 100_000                        # pieces settled at once
 
 PIECES = "k1 long, k2 long, doc_id long, key string, start int, low int, high int, many boolean, wings binary, run int"
 

@@ -266,7 +266,9 @@ def by_whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, str], si
             whole = int(np.flatnonzero((a == a[-1]) & (b == b[-1]))[0])           # the last key may go on
             if whole:
                 yield from settle(t.slice(0, whole).combine_chunks())
-            held, n = [t.slice(whole)], len(t) - whole
+            rest = t.slice(whole)
+            held, n = [rest.take(pa.array(np.arange(len(rest)))) if whole else rest], len(rest)      # a copy, or all of ``t`` would stay
+            del t
     if n:
         yield from settle(pa.concat_tables(held).combine_chunks())
 
