@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample; every vector is then filed in a leaf, th
 size. A query descends by a priority queue: it expands the node whose centre has the largest inner product with it,
 children join the queue, and leaves come out in the order of their promise. How many leaves to visit is calibrated:
 for a sample of queries the exact neighbours are found in all vectors, and the visit is widened until the leaves
-visited hold ``recall`` of them. Candidates are scored exactly on the original vectors in double precision.
+visited hold ``recall`` of them; a query goes on beyond that many until its leaves hold ``k`` others. Candidates are scored exactly on the original vectors in double precision.
 
 Scale: fitting and calibration are bounded by ``SAMPLE`` and ``PROBES``; all vectors are indexed and stay in their
 bins, queries travel to the bins they visit (a query set of stated size against all rows, in blocks of bounded size on both sides). A vector that
@@ -93,17 +93,18 @@ class Tree:
             todo += [(c, rows[near == i]) for i, c in enumerate(self.child[node]) if (near == i).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, most: int | None = None):
-        """Leaves in best-bin-first order."""
+    def best_bins(self, q: np.ndarray, most: int | None = None, sizes: np.ndarray | None = None, need: int = 0):
+        """Leaves in best-bin-first order: ``most`` of them, and more until they hold ``need`` vectors."""
         promise = self.centre @ q
-        queue, out = [(-promise[self.root], self.root)], []
-        while queue and (most is None or len(out) < most):
+        queue, out, held = [(-promise[self.root], self.root)], [], 0
+        while queue and (most is None or len(out) < most or held < need):
             _, node = heapq.heappop(queue)
             if self.child[node]:
                 for c in self.child[node]:
                     heapq.heappush(queue, (-promise[c], c))
             else:
                 out.append(self.leaf[node])
+                held += int(sizes[self.leaf[node]]) if sizes is not None else 0
         return out
 
 
@@ -134,13 +135,13 @@ def _file(held):
     return run
 
 
-def _visits(held, most: int):
+def _visits(held, most: int, sizes: np.ndarray, need: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("q"))
             for at in range(0, len(x), 256):
                 part = batch.slice(at, 256)
-                leaves = [held.value.best_bins(q, most) for q in x[at:at + 256]]
+                leaves = [held.value.best_bins(q, most, sizes, need) for q in x[at:at + 256]]
                 n = np.array([len(b) for b in leaves])
                 rows = part.take(pa.array(np.repeat(np.arange(len(n)), n)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(leaves), pa.int32())], names=["query_id", "q", "leaf"])
@@ -221,8 +222,12 @@ def nearest(rows: DataFrame, is_query, k: int = K, recall: float = RECALL) -> Da
     filed = stored(filed, "filed")
     probes = filed.filter(is_query)
     most = calibrated_visits(tree, *sample_of(probes, PROBES, 2), filed, k, recall) if probes.limit(1).count() else 1
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in filed.groupBy("leaf").count().collect():                                       # one row per leaf of the bounded tree
+        sizes[r["leaf"]] = r["count"]
+    repeats = filed.groupBy("vec_id").count().agg(F.max("count").alias("n")).first()["n"]
     visits = filed.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(
-        _visits(held, most), "query_id long, q array<double>, leaf int")
+        _visits(held, most, sizes, k + repeats), "query_id long, q array<double>, leaf int")
     asked = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held_by = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BIN).cast("int").alias("bins"))
     sizes = stored(held_by.join(asked, "leaf"), "leaf-sizes")                                # one row per leaf

@@ -388,6 +388,18 @@ def test_few_vectors_are_all_returned(spark):
     assert vector_tree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_small_leaves_are_topped_up(spark, monkeypatch):
+    """However few leaves the calibration asks for, every query gets all of its k neighbours."""
+    monkeypatch.setattr(vector_tree, "calibrated_visits", lambda *a: 1)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(600, 6)) * 0.01 + 1, *[rng.normal(size=(3, 6)) * 0.01 + c for c in rng.normal(size=(60, 6)) * 30]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())] * 30, "vec_id long, embedding array<double>")
+    found = {}
+    for r in vector_tree.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(found) == 39 and all(len(v) >= 20 and i not in v for i, v in found.items())
+
+
 # ---- the pipeline --------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, docs, rows):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist()]
