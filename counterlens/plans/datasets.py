@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.operators import blocks as B, rules as R
-from counterlens.operators.design import CREDIT, EDUCATION, Design
+from counterlens.functions.keyed import digest
+from counterlens.functions.text import with_article
+from counterlens.operators import blocks as B, rules as R, splits as S
+from counterlens.operators.design import CREDIT, EDUCATION, HIRING, Design
+from counterlens.session import cut_lineage
 from counterlens.sources import codebook as C
+from counterlens.sources.corpora import NEAR_SYNONYMS
 
 
 def gated_blocks(block: DataFrame, design: Design) -> DataFrame:
@@ -34,3 +38,31 @@ def essay_blocks(essays: DataFrame, seed: int, key: str = "record_id") -> DataFr
     render = lambda t, m: C.render(C.ESSAY_TEMPLATES[t], slots, m)
     b = B.blocks(r.repartition(parts, key), EDUCATION, list(C.ESSAY_TEMPLATES), render, seed, key, ["high_quality", "prompt_id"])
     return gated_blocks(b, EDUCATION)
+
+
+def hiring_records(bios: DataFrame, seed: int, key: str = "source_record_id", cap: float | None = 0.10, n: int | None = None,
+                   forbidden: list[tuple[str, str]] = NEAR_SYNONYMS) -> DataFrame:
+    """Biographies (key, profession, bio_text, already scrubbed) that fit every level, with a clean role label: the rules for both
+    ages, no profession above ``cap`` of the pool, the first ``n`` in hashed order, half of every profession qualified for its own
+    role, the others with a derangement of their professions that avoids near-synonyms. Adds qualified, target_role, role."""
+    kept = R.apply_rules(bios, R.hiring_rules())
+    if cap:
+        kept = S.cap_groups(kept, "profession", digest(seed, "cap", F.col(key)), key, cap)
+    if n:
+        kept = S.seeded_order(kept, key, seed, n).select(*bios.columns)
+    headed = cut_lineage(S.half_labels(kept, key, "profession", seed, "qualified"))
+    heads = headed.filter("qualified").withColumn("target_role", F.col("profession"))
+    tails = S.derangement(headed.filter(~F.col("qualified")).select(key, "profession"), key, "profession", seed, forbidden)
+    tails = headed.filter(~F.col("qualified")).join(tails.select(key, F.col("target").alias("target_role")), key)
+    return heads.unionByName(tails.select(*heads.columns)).withColumn("role", with_article("target_role"))
+
+
+def hiring_blocks(bios: DataFrame, seed: int, key: str = "source_record_id", cap: float | None = 0.10, n: int | None = None,
+                  forbidden: list[tuple[str, str]] = NEAR_SYNONYMS) -> DataFrame:
+    """`hiring_records` to gated blocks under both profile templates."""
+    r = hiring_records(bios, seed, key, cap, n, forbidden)
+    parts = int(bios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = {"role": F.col("role"), "body": F.col("bio_text")}
+    render = lambda t, m: C.render(C.BIO_TEMPLATES[t], slots, C.checked_marker(m))
+    b = B.blocks(r.repartition(parts, key), HIRING, list(C.BIO_TEMPLATES), render, seed, key, ["profession", "target_role", "role", "qualified"])
+    return gated_blocks(b, HIRING)
