@@ -236,7 +236,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, limi
              .collect())                                     # one row per id of the vocabulary
     counts = np.zeros(max([end_id, *(r["id"] for r in found)]) + 1, np.int64)
     counts[[r["id"] for r in found]] = [r["n"] for r in found]
-    lengths = code_lengths(counts, limit)
+    lengths = code_lengths(counts, max(limit, int(np.count_nonzero(counts)).bit_length()))       # room for every id that occurs
     coded = ids.filter("n >= 0").mapInArrow(_code(lengths), "doc_id long, crc long, n long, checkpoints array<long>, bits binary")
     (coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
      .mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
