@@ -14,7 +14,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large star: each node hands its larger neighbours to its smallest one; small star: it hands its smaller
     neighbours to the smallest. Both keep components whole and the number of edges does not grow; rounds are
     logarithmic in the size of a component. Every round is written to the shared folder. Nodes with many edges
-    are met by partial minima and joins that can be split."""
+    are met by partial minima and joins that can be split.
+
+    Edge cases: repeated edges, edges given both ways and loops change nothing (a node with loops alone has no row); an edge with a
+    null end is left out; no edges give no rows; nodes may be of any type that has an order."""
     e = stored(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v").distinct(), "edges")
     before = None
     while True:

@@ -6,6 +6,9 @@ normaliser, and with added tokens that have none of these inside, a text's ids a
 places, one after the other. Pieces are found and named (by a 128-bit hash) on the text's
 bytes in numpy, and each task has the library encode each distinct piece once. A tokenizer of another kind encodes
 whole texts. Ids are the same either way.
+
+Edge cases: an empty text (null comes in as one) has no ids; rows of which two different pieces share a name are encoded whole;
+a task forgets its pieces beyond ``PIECES`` of them; text that is one piece, however long, is encoded as it is.
 """
 
 from __future__ import annotations
