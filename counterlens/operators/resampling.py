@@ -29,6 +29,7 @@ MODULUS = 2147483647                       # a prime; x -> x^5 permutes its resi
 ROUND_KEYS = (715827883, 1431655765, 178956971, 1073741827)
 BLOCK = 4096                               # clusters whose draws are made together
 AT_ONCE = 250                              # replicates of a block that one task makes
+SPAN = 1 << 20                             # draws of a replicate that one row of `drawn_places` stands for
 
 Sums = Mapping[str, Column]
 Stat = Callable[[Sums], Column]
@@ -71,10 +72,10 @@ def block_draws(n: int, block: int, replicates: int, seed: int) -> np.ndarray:
     return count
 
 
-def draws_in_block(size: int, b: np.ndarray, draws: int, seed: int) -> np.ndarray:
+def draws_in_block(size: int, b: np.ndarray, draws: int, seed: int, first: int = 0) -> np.ndarray:
     """``draws`` positions below ``size`` for each replicate number in ``b``; the arithmetic of `draw_number`."""
     x = np.int64(seed % MODULUS)
-    for k, word in zip(ROUND_KEYS, (b[:, None], np.arange(draws)[None, :], 0)):
+    for k, word in zip(ROUND_KEYS, (b[:, None], np.arange(first, first + draws)[None, :], 0)):
         y = (x + k + word) % MODULUS
         y4 = y * y % MODULUS
         y4 = y4 * y4 % MODULUS
@@ -122,6 +123,27 @@ def draw_counts(levels: DataFrame, key: str, by: list[str], replicates: int, see
     return blocks.mapInArrow(run, schema)
 
 
+def drawn_places(size: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Every draw of every replicate over the ``n`` ranks of ``size`` (one row), as in SQL for any number of blocks: rows (__block, b, places),
+    ``places`` two bytes a draw, counted from the block's first rank. A row is made of at most ``SPAN`` draws."""
+    spark = size.sparkSession
+    grid = spark.range(0, replicates, 1, min(replicates, 4 * shuffle_partitions(spark))).crossJoin(F.broadcast(size.select("n").filter("n > 0")))
+    grid = grid.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPAN).cast("long"))).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n, first in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "first"))):
+                idx = np.sort(draws_in_block(n, np.array([b]), min(SPAN, n - first), seed, first)[0])
+                block = idx // BLOCK
+                cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(idx))
+                places = (idx - block * BLOCK).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, b)),
+                                                  pa.array([places[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                                                 names=["__block", "b", "places"])
+
+    return grid.mapInArrow(run, "__block long, b long, places binary")
+
+
 def weight_matrix(column) -> np.ndarray:
     """Rows x replicates of `draw_counts` bytes in a pandas column."""
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)

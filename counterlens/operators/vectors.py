@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from counterlens.functions import vectors as V
 from counterlens.functions.keyed import hash15
 from counterlens.operators.design import Design
 from counterlens.operators.ranking import null_safe_join
-from counterlens.operators.resampling import MODULUS, ROUND_KEYS, draw_counts, index_clusters, weight_matrix
+from counterlens.operators.resampling import AT_ONCE, BLOCK, MODULUS, ROUND_KEYS, drawn_places, index_clusters
 
 GS_RTOL = 1e-5
 
@@ -252,23 +253,31 @@ def split_half_cosine(contrasts: DataFrame, key: str, repeats: int, seed: int, b
 
 
 def replicate_means(vectors: DataFrame, key: str, vec: str, replicates: int, seed: int) -> DataFrame:
-    """The mean vector of every bootstrap replicate over records: (b, mean_vec), drawn as in `resampling`. A record's vector meets its draw
-    counts for all replicates; each task sums its records for all of them at once."""
-    counts = draw_counts(vectors.select(key), key, [], replicates, seed)
-
-    def partial(frames):
-        total, drawn = None, None
-        for pdf in frames:
-            for at in range(0, len(pdf), 1000):
-                own = pdf.iloc[at:at + 1000]
-                w = weight_matrix(own["w"]).astype(float)
-                part, n = w.T @ np.stack(own["v"].to_numpy()), w.sum(axis=0)
-                total, drawn = (part, n) if total is None else (total + part, drawn + n)
-        if total is not None:
-            yield pd.DataFrame({"b": np.arange(len(total)), "v": list(total), "n": drawn})
-
-    both = vectors.select(key, doubles(vec).alias("v")).join(counts, key).select("v", "w")
-    parts = both.mapInPandas(partial, "b long, v array<double>, n double")
+    """The mean vector of every bootstrap replicate over records: (b, mean_vec). Draw ``j`` of replicate ``b`` is the same function of
+    (seed, b, j) for any number of records. Records and draws meet by blocks of ranks; a block is one matrix product for each run of replicates."""
+    ranked = index_clusters(vectors.select(key, doubles(vec).alias("v")), key, [])
+    blocks = ranked.select(F.expr(f"idx div {BLOCK}").alias("__block"), F.expr(f"cast(idx % {BLOCK} as int)").alias("place"), "v")
+    draws = drawn_places(vectors.agg(F.count(F.lit(1)).alias("n")), replicates, seed)
+
+    def partial(records: pa.Table, drawn: pa.Table) -> pa.Table:
+        if not len(records) or not len(drawn):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.list_(pa.float64()), pa.float64())], names=["b", "v", "n"])
+        at = records.column("place").to_numpy()
+        m = np.empty((len(at), len(records.column("v")[0])))
+        m[at] = records.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(m.shape)
+        b, places = drawn.column("b").to_numpy(), drawn.column("places").to_pylist()
+        sums, counts = [], []
+        for lo in range(0, len(b), AT_ONCE):
+            own = places[lo:lo + AT_ONCE]
+            flat = np.frombuffer(b"".join(own), np.uint16) + np.repeat(np.arange(len(own)) * len(m), [len(x) // 2 for x in own])
+            w = np.bincount(flat, minlength=len(own) * len(m)).reshape(len(own), len(m)).astype(float)
+            sums.append(w @ m)
+            counts.append(w.sum(axis=1))
+        sums = np.concatenate(sums)
+        offsets = pa.array(np.arange(len(b) + 1) * sums.shape[1], pa.int32())
+        return pa.table([pa.array(b), pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1))), pa.array(np.concatenate(counts))], names=["b", "v", "n"])
+
+    parts = blocks.groupBy("__block").cogroup(draws.groupBy("__block")).applyInArrow(partial, "b long, v array<double>, n double")
     g = parts.groupBy("b").agg(Summarizer.sum(array_to_vector("v")).alias("__m"), F.sum("n").alias("n"))
     return g.select("b", V.scale(vector_to_array("__m"), 1.0 / F.col("n")).alias("mean_vec"))
 
