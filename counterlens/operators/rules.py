@@ -123,10 +123,11 @@ def first_name_hits(df: DataFrame, key: str, body: str, names: DataFrame, name:
         before, after = F.when(pos > 1, at(pos - 1)).otherwise(""), F.when(pos < n, at(pos + 1)).otherwise("")
         prev = F.when(pos > 2, at(pos - 2)).otherwise("")
         nxt = F.when(pos + 1 < n, at(pos + 2)).otherwise("")
-        inside = ~F.rlike(before, F.lit("[\\p{L}\\p{N}_]$")) & ~F.rlike(after, F.lit("^[\\p{L}\\p{N}_]"))
-        named = F.rlike(w, F.lit("^[A-Z][A-Za-z]*[a-z][A-Za-z]*$"))
-        place = F.rlike(before, F.lit("^\\.?\\s*$")) & F.lower(prev).isin(T.PLACE_BEFORE)
-        body_after = F.rlike(after, F.lit("^\\s+$")) & F.lower(nxt).isin(T.PLACE_AFTER)
+        # \z, as $ also matches before a last line break; and white space without the vertical tab
+        inside = ~F.rlike(before, F.lit("[\\p{L}\\p{N}_]\\z")) & ~F.rlike(after, F.lit("^[\\p{L}\\p{N}_]"))
+        named = F.rlike(w, F.lit("^[A-Z][A-Za-z]*[a-z][A-Za-z]*\\z"))
+        place = F.rlike(before, F.lit("^\\.?[\\t\\n\\f\\r ]*\\z")) & F.lower(prev).isin(T.PLACE_BEFORE)
+        body_after = F.rlike(after, F.lit("^[\\t\\n\\f\\r ]+\\z")) & F.lower(nxt).isin(T.PLACE_AFTER)
         return F.when(named & inside & ~before.endswith("-") & ~place & ~body_after, F.struct(pos.alias("pos"), w.alias("w")))
 
     hits = (runs.select(key, F.explode(F.filter(F.transform("r", candidate), lambda x: x.isNotNull())).alias("c"))
