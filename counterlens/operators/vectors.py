@@ -117,29 +117,35 @@ def balanced_contrasts(states: DataFrame, axis_sign: Column, response_sign: Colu
     return s.select(*by, V.scale("__sum", 2.0 / F.col("n")).alias("contrast"))
 
 
+def record_sums(df: DataFrame, by: list[str], vec: str, weights: dict[str, Column]) -> DataFrame:
+    """Several weighted sums of each record's few vectors: rows (by, one column per weight, n). The vectors are gathered once as they are and
+    summed in place, so that no sum of doubles per weight is shuffled; nothing moves if rows lie together by (some of) ``by``."""
+    g = df.groupBy(*by).agg(F.collect_list(F.struct(*[w.cast("double").alias(k) for k, w in weights.items()], F.col(vec).alias("v"))).alias("__rows"))
+
+    def summed(k: str) -> Column:
+        zero = F.transform(F.col("__rows")[0]["v"], lambda x: F.lit(0.0))
+        return F.aggregate("__rows", zero, lambda t, r: F.zip_with(t, r["v"], lambda a, x: a + x.cast("double") * r[k]))
+
+    return g.select(*by, *[summed(k).alias(k) for k in weights], F.size("__rows").cast("long").alias("n"))
+
+
 def axis_contrasts(states: DataFrame, signs: dict[str, Column], response_sign: Column, by: list[str], vec: str = "state",
                    factor: float = 1.0) -> DataFrame:
-    """`balanced_contrasts` of several axes from one pass: a row's state goes in once per axis under that axis's sign,
-    end to end in one vector, and is cut apart after the sums. Rows (by, contrast, axis)."""
-    names, marked = list(signs), None
+    """`balanced_contrasts` of several axes from one pass: a record's states are gathered once and summed under every axis's sign.
+    Rows (by, contrast, axis)."""
+    marked = None
     for s in signs.values():
         marked = (s != 0) if marked is None else marked & (s != 0)
-
-    def under(sign: Column) -> Column:
-        return F.transform(vec, lambda x: x.cast("double") * (sign * response_sign))
-
-    v = F.concat(*[under(s) for s in signs.values()])
-    s = vector_sums(states.filter(marked).select(*by, v.alias("__v")), by, "__v", out="__sum")
-    d = (F.size("__sum") / len(names)).cast("int")
-    parts = F.array(*[F.struct(V.scale(F.slice("__sum", d * i + 1, d), 2.0 * factor / F.col("n")).alias("contrast"), F.lit(a).alias("axis"))
-                      for i, a in enumerate(names)])
+    s = record_sums(states.filter(marked), by, vec, {a: sign * response_sign for a, sign in signs.items()})
+    parts = F.array(*[F.struct(V.scale(F.col(a), 2.0 * factor / F.col("n")).alias("contrast"), F.lit(a).alias("axis")) for a in signs])
     return s.select(*by, F.explode(parts).alias("e")).select(*by, "e.contrast", "e.axis")
 
 
 def cross_fitted(contrasts: DataFrame, by: list[str], fold: str, vec: str = "contrast") -> DataFrame:
     """Per fold the unit direction fitted on the records outside it: (total - fold) / (n - n_fold)."""
     per = vector_sums(contrasts, by + [fold], vec)
-    whole = vector_sums(contrasts, by, vec, out="all_vec").withColumnRenamed("n", "all_n")
+    whole = per.groupBy(*by).agg(Summarizer.sum(array_to_vector("sum_vec")).alias("__s"), F.sum("n").alias("all_n"))
+    whole = whole.select(*by, vector_to_array("__s").alias("all_vec"), "all_n")
     j = null_safe_join(per, whole, by) if by else per.crossJoin(F.broadcast(whole))
     rest = V.scale(V.minus("all_vec", "sum_vec"), 1.0 / F.when(F.col("all_n") > F.col("n"), F.col("all_n") - F.col("n")))
     return j.select(*by, fold, V.unit(rest).alias("direction"), (F.col("all_n") - F.col("n")).alias("n_fit"))
