@@ -45,6 +45,7 @@ CLOSING_LINE = ("(?i)^[^\\p{L}\\p{N}_]*(?:sincerely|sincerly|regards|best regard
                 "yours sincerely|thank you|thanks|signed)(?![\\p{L}\\p{N}_])|,\\s*sincere?ly(?![\\p{L}\\p{N}_])")
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "st", "jr", "sr", "vs", "etc", "e.g", "i.e", "u.s", "a.m", "p.m", "no",
                  "fig", "prof"]
+RUNS = {"words": "\\S", "sentences": "[.!?]", "syllables": "[aeiouyAEIOUY]"}            # what reading ease counts runs of
 PLACEHOLDER = "(?<![\\p{L}\\p{N}_])(?:Generic_[A-Za-z]+|[A-Z]+_NAME)(?![\\p{L}\\p{N}_])"
 
 
@@ -123,9 +124,10 @@ def scrub(df: DataFrame, text: str, body: str = "body", flag: str = "name_resolv
     return d.withColumn(body, collapse(repair_agreement(neutral_pronouns("__b")))).drop("__t", "__open", "__tok", "__b")
 
 
-def mentions(text, words: str, ignore_case: bool = True) -> Column:
-    """Whether one of the alternatives occurs as a whole word."""
-    return F.rlike(_c(text), F.lit(("(?i)" if ignore_case else "") + f"{LEFT}(?:{words}){RIGHT}"))
+def mentions(text, words: str, ignore_case: bool = True, starts: str = "") -> Column:
+    """Whether one of the alternatives occurs as a whole word. ``starts``: the characters that they begin with; most places of a
+    text then fail on one comparison, before the look-behind."""
+    return F.rlike(_c(text), F.lit(("(?i)" if ignore_case else "") + (f"(?=[{starts}])" if starts else "") + f"{LEFT}(?:{words}){RIGHT}"))
 
 
 def gendered(text) -> Column:
@@ -135,9 +137,8 @@ def gendered(text) -> Column:
 def ends_with_signoff(text) -> Column:
     """The last non-empty line opens with a closing formula, or is a fragment of at most four words without
     terminal punctuation (closing quotes ignored)."""
-    lines = F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")),
-                     lambda x: x != "")
-    last = F.try_element_at(lines, F.lit(-1))
+    lines = F.filter(F.split(_c(text), "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE[1:]}")))
+    last = F.regexp_replace(F.try_element_at(lines, F.lit(-1)), f"^{SPACE}+|{SPACE}+$", "")
     bare = F.regexp_replace(last, "[\"')”’\\x94]+$", "")
     fragment = (F.regexp_count(last, F.lit("\\S+")) <= 4) & ~F.rlike(bare, F.lit("[.!?]$"))
     return F.coalesce(F.rlike(last, F.lit(CLOSING_LINE)) | fragment, F.lit(False))
@@ -155,10 +156,13 @@ def word_count(text) -> Column:
 def flesch(text) -> Column:
     """Reading ease with vowel groups as syllables; used for differences between near-identical texts."""
     t = _c(text)
-    n_words = F.greatest(word_count(t), F.lit(1)).cast("double")
-    sentences = F.greatest(F.regexp_count(t, F.lit("[.!?]+")), F.lit(1)).cast("double")
-    syllables = F.regexp_count(t, F.lit("[aeiouyAEIOUY]+")).cast("double")
-    return F.lit(206.835) - F.lit(1.015) * (n_words / sentences) - F.lit(84.6) * (syllables / n_words)
+    return reading_ease(*[F.regexp_count(t, F.lit(c + "+")) for c in RUNS.values()])
+
+
+def reading_ease(words, sentences, syllables) -> Column:
+    """`flesch` from the three counts."""
+    n_words, sentences = (F.greatest(n, F.lit(1)).cast("double") for n in (words, sentences))
+    return F.lit(206.835) - F.lit(1.015) * (n_words / sentences) - F.lit(84.6) * (syllables.cast("double") / n_words)
 
 
 def shingles(text, n: int = 3) -> Column:

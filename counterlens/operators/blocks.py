@@ -32,6 +32,49 @@ def gate_features(text, clause) -> Column:
                     F.length(t).alias("chars"), T.word_count(t).alias("words"), T.flesch(t).alias("flesch"))
 
 
+def surroundings(text, clause) -> Column:
+    """What stands before and after the first place of the clause; null if it has none, or is empty."""
+    t, c = _col(text), _col(clause)
+    at = F.position(c, t)
+    return F.when((at > 0) & (F.length(c) > 0), F.struct(F.substring(t, F.lit(1), at - 1).alias("before"), F.substring(t, at + F.length(c), F.length(t)).alias("after")))
+
+
+def read_surroundings(parts) -> Column:
+    """`surroundings` with all that `gate_features` reads in them: sizes, hash, runs of each kind and whether runs reach the clause."""
+    p = _col(parts)
+    before, after = p["before"], p["after"]
+    # counted in a lambda: its loops over matches run compiled, whatever the size of the stage's code
+    count = lambda kind: F.aggregate(F.array(before, after), F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(kind + "+")))
+    runs = []
+    for name, kind in T.RUNS.items():
+        runs += [count(kind).alias(name), F.rlike(F.right(before, F.lit(1)), F.lit(kind)).cast("int").alias(f"{name}_before"),
+                 F.rlike(F.left(after, F.lit(1)), F.lit(kind)).cast("int").alias(f"{name}_after")]
+    return F.when(p.isNotNull(), F.struct(before.alias("before"), after.alias("after"), F.sha2(F.concat(before, after), 256).alias("rest"),
+                                          (F.length(before) + 1).alias("at"), (F.length(before) + F.length(after)).alias("chars"), *runs))
+
+
+def cell_features(cells, around) -> Column:
+    """`gate_features` of every cell. Cells that are the clause between the same ``around`` (`read_surroundings`) are made up from it and
+    the clause, so that a document is read once however many cells it has; any other cell is read whole."""
+    a = _col(around)
+
+    def runs(name: str, clause: Column) -> Column:
+        kind = F.lit(T.RUNS[name])
+        first, last = (F.rlike(side(clause, F.lit(1)), kind).cast("int") for side in (F.left, F.right))
+        return a[name] + F.regexp_count(clause, F.lit(T.RUNS[name] + "+")) - a[f"{name}_before"] * first - last * a[f"{name}_after"]
+
+    def one(c: Column) -> Column:
+        text, clause = c["text"], c["clause"]
+        here = (clause != "") & (text == F.concat(a["before"], clause, a["after"])) & (F.position(clause, text) == a["at"])
+        counts = [runs(name, clause) for name in T.RUNS]
+        times = F.when(F.contains(a["after"], clause), 1 + T.occurrences(a["after"], clause)).otherwise(1)
+        made = F.struct(times.cast("int").alias("times"), a["at"].alias("at"), a["rest"].alias("rest"), clause.alias("clause"),
+                        (a["chars"] + F.length(clause)).alias("chars"), counts[0].alias("words"), T.reading_ease(*counts).alias("flesch"))
+        return F.when(here, made).otherwise(gate_features(text, clause))
+
+    return F.transform(_col(cells), one)
+
+
 def feature_codes(a: Column, b: Column, chars: int = MAX_CHAR_DELTA, words: int = MAX_WORD_DELTA,
                   flesch: float = MAX_FLESCH_DELTA) -> Column:
     """The reason codes a pair of `gate_features` trips, in order; empty for a clean pair."""
@@ -89,11 +132,13 @@ def pair_index(design: Design, encoding: str) -> Column:
 def with_pairs(block: DataFrame, design: Design, encoding: str, **thresholds) -> DataFrame:
     """Blocks of one encoding with ``pairs``: every contrast, with the gate codes it trips. Texts stay in ``cells``."""
     b = block.filter(F.col("encoding") == encoding)
-    b = b.withColumn("features", F.transform("cells", lambda c: gate_features(c["text"], c["clause"])))
+    first = F.get("cells", F.lit(0))
+    b = b.withColumn("around", surroundings(first["text"], first["clause"])).withColumn("around", read_surroundings("around"))
+    b = b.withColumn("features", cell_features("cells", "around"))
     index = pair_index(design, encoding)
     return b.withColumn("pairs", F.transform(index, lambda p: F.struct(
         p.alias("pair"), feature_codes(F.get("features", p["ia"]), F.get("features", p["ib"]), **thresholds).alias("codes")))
-    ).drop("features")
+    ).drop("features", "around")
 
 
 def kept_blocks(paired: DataFrame) -> DataFrame:

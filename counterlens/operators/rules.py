@@ -69,13 +69,13 @@ def credit_factorial_rules() -> list[Rule]:
 def hiring_rules(body: str = "bio_text") -> list[Rule]:
     """Texts that fit both ages: no early year, no long career, no retirement."""
     t = F.col(body)
-    years = F.regexp_extract_all(t, F.lit(f"(?i){T.LEFT}(\\d{{1,2}})\\+?\\s*(?:-\\s*)?(?:plus\\s+)?years?{T.RIGHT}"), F.lit(1))
-    in_words = (f"(?i){T.LEFT}(?:nine|ten|eleven|twelve|fifteen|twenty|thirty|forty){T.RIGHT}[\\p{{L}}\\p{{N}}_\\s-]{{0,12}}"
-                f"{T.LEFT}years?{T.RIGHT}|{T.LEFT}decades?{T.RIGHT}")
-    return [("mentions_year_before_2014", F.rlike(t, F.lit(f"{T.LEFT}(?:19\\d\\d|200\\d|201[0-3]){T.RIGHT}"))),
+    years = F.regexp_extract_all(t, F.lit(f"(?i)(?=\\d){T.LEFT}(\\d{{1,2}})\\+?\\s*(?:-\\s*)?(?:plus\\s+)?years?{T.RIGHT}"), F.lit(1))
+    in_words = (f"(?i)(?=[dfnte])(?:{T.LEFT}(?:nine|ten|eleven|twelve|fifteen|twenty|thirty|forty){T.RIGHT}[\\p{{L}}\\p{{N}}_\\s-]{{0,12}}"
+                f"{T.LEFT}years?{T.RIGHT}|{T.LEFT}decades?{T.RIGHT})")
+    return [("mentions_year_before_2014", F.rlike(t, F.lit(f"(?=[12]){T.LEFT}(?:19\\d\\d|200\\d|201[0-3]){T.RIGHT}"))),
             ("mentions_more_than_8_years", F.exists(years, lambda y: y.cast("int") > 8)),
             ("mentions_many_years_in_words", F.rlike(t, F.lit(in_words))),
-            ("mentions_retirement", T.mentions(t, "retire(?:d|ment)"))]
+            ("mentions_retirement", T.mentions(t, "retire(?:d|ment)", starts="r"))]
 
 
 # --- fixed values: essay prompts that presuppose no pupil, and the pupil cues -------------------------------------
@@ -90,7 +90,8 @@ PUPIL_CUES = [
     ("mentions_school_routine", "(?:homework|recess|detention|report card)"),
     ("addresses_a_school_authority", "dear\\s+(?:principal|teacher|mr|mrs|ms|superintendent)"),
 ]
-OWN_MONEY = (f"(?i){T.LEFT}(?:my|our)\\s+(?:family|parents|mom|dad|household){T.RIGHT}[^.]{{0,40}}"
+CUE_STARTS = dict(zip([n for n, _ in PUPIL_CUES], ("mo", "emhjpg", "sent6-91", "wua", "hrd", "d")))
+OWN_MONEY = (f"(?i)(?=[mo]){T.LEFT}(?:my|our)\\s+(?:family|parents|mom|dad|household){T.RIGHT}[^.]{{0,40}}"
              f"{T.LEFT}(?:poor|rich|wealthy|afford|money|income|broke|struggl)[\\p{{L}}\\p{{N}}_]*")
 
 
@@ -99,7 +100,7 @@ def essay_rules(body: str = "essay_text", prompt: str = "prompt_id", prompts: li
     rules: list[Rule] = []
     if prompts:
         rules.append(("prompt_presupposes_a_pupil", F.col(prompt).isNull() | ~F.col(prompt).isin(prompts)))
-    rules += [(n, T.mentions(body, p)) for n, p in PUPIL_CUES]
+    rules += [(n, T.mentions(body, p, starts=CUE_STARTS[n])) for n, p in PUPIL_CUES]
     rules.append(("mentions_own_household_money", F.rlike(F.col(body), F.lit(OWN_MONEY))))
     rules.append(("ends_with_a_signoff", T.ends_with_signoff(body)))
     return rules
