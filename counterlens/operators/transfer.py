@@ -163,6 +163,16 @@ def read_rows(rows: DataFrame, tables: DataFrame, head: list[float], keep: list[
         *keep, "r.reading", "r.relation", "r.n_fit", "reward", (F.col("reward") - removed).alias("after"))
 
 
+def along(rows: DataFrame, vec: str, head: list[float], directions: DataFrame) -> DataFrame:
+    """``rows`` without their vectors: ``reward`` and, for each of a few unit ``directions`` (draw, direction; in their order) alone, what
+    taking it out takes ``off``."""
+    weight = F.array(*[F.lit(float(x)) for x in head])
+    few = directions.select("draw", "direction", X.dot(weight, "direction").alias("carried"))
+    few = few.agg(F.array_sort(F.collect_list(F.struct("draw", "direction", "carried"))).alias("__u"))
+    off = F.transform("__u", lambda u: F.coalesce(X.dot(vec, u["direction"]) * u["carried"], F.lit(0.0)))
+    return rows.crossJoin(F.broadcast(few)).withColumn("reward", X.dot(vec, weight)).withColumn("off", off).drop(vec, "__u")
+
+
 def transfer_effects(read: DataFrame, weight: str) -> DataFrame:
     """Per record, target and reading: the effect (``weight`` sums rewards to a mean pair difference) before and after."""
     w = F.col(weight)
