@@ -53,6 +53,25 @@ def hash_rank(df: DataFrame, digest: Column, ties: list[str], by: list[str] = ()
     return _two_level_rank(_bucketed(keyed, list(by)), list(by), ["__d", *ties], out).drop("__d")
 
 
+def first_and_next(df: DataFrame, digest: Column, ties: list[str], by: list[str], value: str, size: DataFrame) -> DataFrame:
+    """Rows (by, value, first, next): of each ``value`` the rows among the first ``k`` of the group by (digest, ties), and among the next ``k``.
+    ``size`` is one row (k). Only the buckets of the digest in which a border lies are ranked; all other rows are counted where they are."""
+    cut = df.withColumn("__d", digest).withColumn("__b", F.substring("__d", 1, 2))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    edges = edges.withColumn("__o", F.coalesce(F.sum("__n").over(w), F.lit(0))).crossJoin(F.broadcast(size.select("k")))
+    low, high, k = F.col("__o"), F.col("__o") + F.col("__n"), F.col("k")
+    edges = edges.select(*by, "__b", "__o", "k", (high <= k).alias("__first"), ((low >= k) & (high <= 2 * k)).alias("__next"),
+                         (((low < k) & (high > k)) | ((low < 2 * k) & (high > 2 * k))).alias("__border"))
+    placed = cut.join(F.broadcast(edges), [*by, "__b"])                              # 256 rows a group
+    inside = placed.filter(~F.col("__border")).groupBy(*by, value).agg(F.count_if("__first").alias("first"), F.count_if("__next").alias("next"))
+    rank = F.col("__o") + F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__d", *ties))
+    border = placed.filter("__border").withColumn("__r", rank).groupBy(*by, value).agg(
+        F.count_if(F.col("__r") <= k).alias("first"), F.count_if((F.col("__r") > k) & (F.col("__r") <= 2 * k)).alias("next"))
+    both = inside.unionByName(border).groupBy(*by, value).agg(F.sum("first").alias("first"), F.sum("next").alias("next"))
+    return both.filter("first + next > 0")
+
+
 def _two_level_rank(cut: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
     local = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
     offsets = _offsets(cut, by, {"__o": F.count(F.lit(1))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from counterlens.functions.keyed import choice_index, digest, uniform
 from counterlens.operators import ranking, splits as S
-from counterlens.queries.base import SQL_RECORDS, SEED, literal_rows, r9, records, sql_h15, table
+from counterlens.queries.base import SQL_RECORDS, SEED, literal_rows, r9, records, spread, sql_h15, table
 from counterlens.queries.registry import query
 
 HASH = "sha256('42|' || record_id)"
@@ -400,9 +400,9 @@ def a36_chance(spark, sf):
     """The same distance between two random samples of the treated group's size (or half of all, if that is less), 200 times."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("v"), "c_mktsegment")
     k = c.agg(F.least(F.count_if(F.col("c_mktsegment") == "BUILDING"), F.floor(F.count(F.lit(1)) / 2)).alias("k"))
-    grid = c.select("c_custkey", "v").crossJoin(F.broadcast(spark.range(200).withColumnRenamed("id", "draw")))
-    r = ranking.hash_rank(grid, digest(SEED, F.col("draw"), F.col("c_custkey")), ["c_custkey"], ["draw"], "rk").crossJoin(F.broadcast(k))
-    s = r.filter(F.col("rk") <= 2 * F.col("k")).groupBy("draw", "v").agg(F.count_if(F.col("rk") <= F.col("k")).alias("a"), F.count_if(F.col("rk") > F.col("k")).alias("b"))
+    grid = spread(c.select("c_custkey", "v"), "c_custkey").crossJoin(F.broadcast(spark.range(200).withColumnRenamed("id", "draw")))
+    s = ranking.first_and_next(grid, digest(SEED, F.col("draw"), F.col("c_custkey")), ["c_custkey"], ["draw"], "v", k)
+    s = s.select("draw", "v", F.col("first").alias("a"), F.col("next").alias("b"))
     w = Window.partitionBy("draw")
     d = s.withColumn("d", F.abs(F.col("a") / F.sum("a").over(w) - F.col("b") / F.sum("b").over(w))).groupBy("draw").agg((0.5 * F.sum("d")).alias("tv"))
     return d.agg(r9(F.avg("tv")).alias("chance_floor"), F.count(F.lit(1)).alias("draws"))
