@@ -195,19 +195,25 @@ def sentence_boundaries(text) -> Column:
     pieces = F.regexp_extract_all(t, F.lit("(?s).*?[.?!][\"']?(?=[ \n])|.+$"), F.lit(0))
 
     def keeps(p: Column, nxt: Column) -> Column:
-        word = F.regexp_extract(p, "([A-Za-z][A-Za-z.]*)\\.$", 1)
-        initial = F.rlike(word, F.lit("^[A-Z]$")) & (word != "I")
-        acronym = F.rlike(word, F.lit("^[^.](?:\\.[^.])+$")) & nxt.startswith(" ")
-        return ~(p.endswith(".") & (F.lower(word).isin(ABBREVIATIONS) | initial | acronym))
-
-    following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
-    marked = F.zip_with(pieces, following, lambda p, nxt: F.struct(
-        F.length(p).alias("n"), F.coalesce(keeps(p, nxt) & nxt.isNotNull(), F.lit(False)).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(marked, start, lambda acc, m: F.struct(
-        (acc["at"] + m["n"]).alias("at"),
-        F.when(m["ok"], F.array_append(acc["out"], acc["at"] + m["n"])).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"])
+        def short(word: Column) -> Column:
+            initial = F.rlike(word, F.lit("^[A-Z]$")) & (word != "I")
+            acronym = F.rlike(word, F.lit("^[^.](?:\\.[^.])+$")) & nxt.startswith(" ")
+            return F.lower(word).isin(ABBREVIATIONS) | initial | acronym
+
+        # what several places need is bound by a lambda, which reads it once
+        return ~(p.endswith(".") & F.exists(F.array(F.regexp_extract(p, "(?<![A-Za-z])([A-Za-z][A-Za-z.]*)\\.$", 1)), short))
+
+    def bounds(pieces: Column) -> Column:
+        following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
+        marked = F.zip_with(pieces, following, lambda p, nxt: F.struct(
+            F.length(p).alias("n"), F.coalesce(keeps(p, nxt) & nxt.isNotNull(), F.lit(False)).alias("ok")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(marked, start, lambda acc, m: F.struct(
+            (acc["at"] + m["n"]).alias("at"),
+            F.when(m["ok"], F.array_append(acc["out"], acc["at"] + m["n"])).otherwise(acc["out"]).alias("out")),
+            lambda acc: acc["out"])
+
+    return F.get(F.transform(F.array(pieces), bounds), F.lit(0))
 
 
 def insert_at(text, sentence, cut) -> Column:

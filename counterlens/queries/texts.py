@@ -327,10 +327,11 @@ def p15(spark, sf):
 
 @query("p16_insertion_points")
 def p16(spark, sf):
-    b = T.sentence_boundaries("text")
+    """The boundary nearest to the middle. A generator keeps the row or not: a filter would look for the boundaries once more."""
     mid = F.floor(F.length("text") / 2).cast("int")
-    nearest = F.array_min(F.transform(b, lambda x: F.struct(F.abs(x - mid).alias("d"), x.alias("at"))))
-    d = docs(spark, sf).withColumn("cut", nearest["at"]).filter("cut is not null")
+    nearest = F.transform(F.array(mid), lambda m: F.array_min(F.transform(
+        T.sentence_boundaries("text"), lambda x: F.struct(F.abs(x - m).alias("d"), x.alias("at"))))["at"])
+    d = docs(spark, sf).select("doc_id", "text", F.explode(F.filter(nearest, lambda x: x.isNotNull())).alias("cut"))
     return d.select("doc_id", "cut", T.insert_at("text", F.lit(" It matters to me."), F.col("cut")).alias("text"))
 
 
