@@ -143,7 +143,11 @@ def axis_contrasts(states: DataFrame, signs: dict[str, Column], response_sign: C
 
 def cross_fitted(contrasts: DataFrame, by: list[str], fold: str, vec: str = "contrast") -> DataFrame:
     """Per fold the unit direction fitted on the records outside it: (total - fold) / (n - n_fold)."""
-    per = vector_sums(contrasts, by + [fold], vec)
+    return left_out(vector_sums(contrasts, by + [fold], vec), by, fold)
+
+
+def left_out(per: DataFrame, by: list[str], fold: str) -> DataFrame:
+    """`cross_fitted` from the folds' sums (by, fold, sum_vec, n)."""
     whole = per.groupBy(*by).agg(Summarizer.sum(array_to_vector("sum_vec")).alias("__s"), F.sum("n").alias("all_n"))
     whole = whole.select(*by, vector_to_array("__s").alias("all_vec"), "all_n")
     j = null_safe_join(per, whole, by) if by else per.crossJoin(F.broadcast(whole))
