@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from counterlens.operators.ranking import null_safe_join
 from counterlens.operators.resampling import AT_ONCE, BLOCK, MODULUS, ROUND_KEYS, drawn_places, index_clusters
 
 GS_RTOL = 1e-5
+CELLS = 1 << 20                            # numbers of vectors that `coded_sums` adds up at once
 
 
 def doubles(v) -> Column:
@@ -36,6 +38,45 @@ def vector_sums(df: DataFrame, by: list[str], vec: str, weight: str | None = Non
     return g.select(*by, vector_to_array("__s").alias(out), "n")
 
 
+def coded_sums(rows: DataFrame, code: str, vec: str, places, groups: int) -> DataFrame:
+    """Sums of vectors over ``groups`` numbered groups, in several of which a row may be: rows (grp, sum_vec, n).
+
+    ``places(codes)`` gives, for an array of the integer column ``code``, what is added to each vector (an array of as many rows) and a list of
+    (grp, sign) arrays, -1 for none. A task keeps one matrix of all groups, whose number the design fixes, so that rows are neither repeated
+    nor sorted with their vectors, and hands on one row per group. Rows without a vector take no part."""
+    def partial(batches):
+        total = None
+        for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column("v")))
+            if not batch.num_rows:
+                continue
+            vectors, codes = batch.column("v"), batch.column("code").to_numpy()
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(codes), -1)
+            if total is None:
+                total, count = np.zeros((groups, x.shape[1])), np.zeros(groups, np.int64)
+            step = max(1, CELLS // x.shape[1])
+            for lo in range(0, len(x), step):
+                shift, found = places(codes[lo:lo + step])
+                own = x[lo:lo + step] + shift
+                for grp, sign in found:
+                    order = np.argsort(grp, kind="stable")
+                    order = order[np.searchsorted(grp[order], 0):]
+                    if len(order):
+                        at = grp[order]
+                        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                        total[at[first]] += np.add.reduceat(own[order] * sign[order, None], first, axis=0)
+                        count[at[first]] += np.diff(np.append(first, len(at)))
+        if total is not None:
+            some = np.flatnonzero(count)
+            offsets = pa.array(np.arange(len(some) + 1) * total.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(offsets, pa.array(total[some].reshape(-1))), pa.array(count[some])],
+                                             names=["grp", "v", "n"])
+
+    parts = rows.select(F.col(code).cast("long").alias("code"), F.col(vec).alias("v")).mapInArrow(partial, "grp long, v array<double>, n long")
+    g = parts.groupBy("grp").agg(Summarizer.sum(array_to_vector("v")).alias("__s"), F.sum("n").alias("n"))
+    return g.select("grp", vector_to_array("__s").alias("sum_vec"), "n")
+
+
 def mean_vectors(df: DataFrame, by: list[str], vec: str, out: str = "mean_vec") -> DataFrame:
     s = vector_sums(df, by, vec)
     return s.select(*by, V.scale("sum_vec", 1.0 / F.col("n")).alias(out), "n")
