@@ -14,6 +14,7 @@ from counterlens.functions.scores import decision_correct
 from counterlens.operators.design import INTERSECTION, Design
 from counterlens.operators.ranking import auc, null_safe_join
 from counterlens.operators.resampling import auc_replicates, intervals, replicate_sums
+from counterlens.session import cut_lineage
 
 # --- fixed values: margin name -> (favoured response, other response) -----------------------------------------
 MARGINS = {
@@ -197,7 +198,7 @@ def auc_cross_influence(margin: DataFrame, design: Design, replicates: int = 200
                         value: str = "D", buckets: int = 1) -> DataFrame:
     """AUC at pole B minus pole A per encoding and axis, with strong and weak records resampled separately and
     paired over cells. ``margin`` has (record_id, strong, template, encoding, cell, D)."""
-    marked = margin.filter(F.col("s1") != 0).select("record_id", "strong", "template", "encoding", "cell", value)
+    marked = cut_lineage(margin.filter(F.col("s1") != 0).select("record_id", "strong", "template", "encoding", "cell", value))     # read by several plans
     n_templates = marked.groupBy("encoding").agg(F.count_distinct("template").alias("__k"))
     complete = (marked.groupBy("encoding", "record_id").agg(F.count_distinct("template").alias("__t"))
                 .join(F.broadcast(n_templates), "encoding").filter(F.col("__t") == F.col("__k"))

@@ -85,14 +85,19 @@ def order_bounds(df: DataFrame, by: list[str], order: str, buckets: int) -> Data
     return df.groupBy(*by).agg(F.percentile_approx(order, cuts, 10000).alias("__cuts"))
 
 
+def count_below(cuts: str, value: Column, most: int) -> Column:
+    """How many of the sorted ``cuts`` (``most`` or fewer) are below ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(cuts, n + step - 1) < value, step).otherwise(0))
+
+
 def with_bucket(df: DataFrame, by: list[str], order: str, buckets: int) -> DataFrame:
     """Adds ``__b``, non-decreasing in ``order`` inside each group."""
     if buckets <= 1:
         return df.withColumn("__b", F.lit(0))
     bounds = order_bounds(df, by, order, buckets)
     marked = null_safe_join(df, bounds, by)
-    return marked.withColumn(
-        "__b", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    return marked.withColumn("__b", count_below("__cuts", F.col(order), buckets - 1)).drop("__cuts")
 
 
 def ordered_rank(df: DataFrame, by: list[str], order: str, ties: list[str], out: str = "rank",

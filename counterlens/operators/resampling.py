@@ -30,6 +30,7 @@ ROUND_KEYS = (715827883, 1431655765, 178956971, 1073741827)
 BLOCK = 4096                               # clusters whose draws are made together
 AT_ONCE = 250                              # replicates of a block that one task makes
 SPAN = 1 << 20                             # draws of a replicate that one row of `drawn_places` stands for
+HELD = 32 << 10                            # records whose draw counts a task of `auc_replicates` merges by score
 
 Sums = Mapping[str, Column]
 Stat = Callable[[Sums], Column]
@@ -149,6 +150,20 @@ def weight_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
+def run_sums(w: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run ``order[first[i]:first[i + 1]]`` (none is empty) the sum of these rows of ``w``: the runs' k-th rows are added at once."""
+    size = np.diff(first)
+    long_first = np.argsort(-size, kind="stable")
+    start, left = first[:-1][long_first], -size[long_first]
+    total = w[order[start]].astype(np.uint32)
+    for k in range(1, int(size.max(initial=0))):
+        more = int(np.searchsorted(left, -k))
+        total[:more] += w[order[start[:more] + k]]
+    out = np.empty_like(total)
+    out[long_first] = total
+    return out
+
+
 def _block_sums(by: list[str], sums: list[str], replicates: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,9 +288,10 @@ def auc_replicates(scored: DataFrame, by: list[str], key: str, score: str, posit
     """The AUC of every replicate from multiplicities: positives and negatives are resampled separately, with
     the same draws in every group of ``by``. Rows (by, b, auc).
 
-    ``scored`` has one row per (by, key). Scores meet their record's draw counts (all replicates in one value); ranges of about
-    ``block`` scores are reduced on their own to three numbers per replicate (weights of both sides, and wins inside), and the ranges of a
-    group add up in order: wins inside, plus a range's positives against the negatives of the ranges below."""
+    ``scored`` has one row per (by, key). A record's scores meet its draw counts (all replicates in one value) in one row; a task adds up
+    the counts of equal scores of one side before they move. Ranges of about ``block`` scores are reduced on their own to three numbers per
+    replicate (weights of both sides, and wins inside), and the ranges of a group add up in order: wins inside, plus a range's positives
+    against the negatives of the ranges below."""
     from counterlens.operators.ranking import with_bucket
 
     scored = scored.select(*by, key, F.col(score).alias("__s"), F.col(positive).cast("boolean").alias("__y"))
@@ -285,16 +301,55 @@ def auc_replicates(scored: DataFrame, by: list[str], key: str, score: str, posit
         side = draw_counts(people.filter(F.col("__y") == F.lit(flag)), key, [], replicates, seed, salt)
         weights = side if weights is None else weights.unionByName(side)
     buckets = max(1, -(-people.count() // block))
-    joined = with_bucket(scored, by, "__s", buckets).withColumnRenamed("__b", "__bk").join(weights, key).select(*by, "__bk", "__s", "__y", "w")
+    few = min(shuffle_partitions(scored.sparkSession), max(scored.sparkSession.sparkContext.defaultParallelism, buckets * block // HELD))
+    own = with_bucket(scored, by, "__s", buckets).repartition(few, key).groupBy(key).agg(
+        F.collect_list(F.struct(*by, F.col("__b").alias("__bk"), F.col("__s").cast("double").alias("__s"), "__y")).alias("__rows"))
+    joined = own.join(weights.repartition(few, key), key).select("__rows", "w")
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*by).schema.fields)
+    names = [*by, "__bk", "__s", "__y"]
+
+    def summed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        lists, w = whole.column("__rows").chunk(0), weight_matrix(whole.column("w").to_pylist())
+        rows = pa.Table.from_arrays([lists.flatten().field(c) for c in names], names=names)
+        at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        codes = [pd.factorize(rows.column(c).to_numpy(zero_copy_only=False), use_na_sentinel=False)[0] for c in names]
+        order = np.lexsort(codes)
+        fresh = np.append(True, np.any([np.diff(c[order]) != 0 for c in codes], axis=0))
+        first = np.append(np.flatnonzero(fresh), len(order))
+        lo = 0
+        while lo < len(first) - 1:                         # the counts of an eighth of the records at once
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + HELD // 8, "right")) - 1)
+            total = run_sums(w, at[order[first[lo]:first[hi]]], first[lo:hi + 1] - first[lo])
+            packed = [x.astype(np.uint8 if m < 1 << 8 else np.uint16 if m < 1 << 16 else np.uint32).tobytes() for x, m in zip(total, total.max(axis=1))]
+            yield from rows.take(pa.array(order[first[lo:hi]])).append_column("w", pa.array(packed, pa.binary())).combine_chunks().to_batches()
+            lo = hi
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, HELD):
+                held.append(batch.slice(lo, HELD))
+                if sum(x.num_rows for x in held) >= HELD:
+                    yield from summed(held)
+                    held = []
+        if held:
+            yield from summed(held)
+
+    def unpacked(column) -> np.ndarray:
+        return np.stack([np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // replicates]) for x in column])
 
     def reduced(pdf):
-        pdf = pdf.sort_values("__s")
-        w, y, value = weight_matrix(pdf["w"]), pdf["__y"].to_numpy(bool), pdf["__s"].to_numpy()
-        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        p = np.add.reduceat(np.where(y[:, None], w, 0).astype(float), first, axis=0)
-        q = np.add.reduceat(np.where(y[:, None], 0, w).astype(float), first, axis=0)
-        wins = (p * (np.cumsum(q, axis=0) - 0.5 * q)).sum(axis=0)
+        w, y = unpacked(pdf["w"]), pdf["__y"].to_numpy(bool)
+        value, at = np.unique(pdf["__s"].to_numpy(), return_inverse=True)
+        p, q = (np.zeros((len(value), replicates)) for _ in range(2))
+        for side, total in ((y, p), (~y, q)):
+            order = np.flatnonzero(side)
+            order = order[np.argsort(at[order], kind="stable")]
+            if len(order):
+                first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+                total[at[order[first]]] = run_sums(w, order, np.append(first, len(order)))
+        wins = np.einsum("ij,ij->j", p, np.cumsum(q, axis=0) - 0.5 * q)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "low": [float(value[0])], "p": [p.sum(axis=0)], "q": [q.sum(axis=0)], "u": [wins]})
 
     def added(pdf):
@@ -305,7 +360,8 @@ def auc_replicates(scored: DataFrame, by: list[str], key: str, score: str, posit
         auc = np.where(n > 0, wins / np.where(n > 0, n, 1), np.nan)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "b": np.arange(len(auc)), "auc": auc})
 
-    ranges = joined.groupBy(*by, "__bk").applyInPandas(reduced, f"{keys}, low double, p array<double>, q array<double>, u array<double>")
+    counts = joined.mapInArrow(merged, f"{keys}, __bk int, __s double, __y boolean, w binary")
+    ranges = counts.groupBy(*by, "__bk").applyInPandas(reduced, f"{keys}, low double, p array<double>, q array<double>, u array<double>")
     out = ranges.groupBy(*by).applyInPandas(added, f"{keys}, b long, auc double")
     return out.withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
 
