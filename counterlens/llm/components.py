@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from counterlens.llm.common import stored
 
 
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node reachable) for every node of an edge.
 
@@ -19,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edge cases: repeated edges, edges given both ways and loops change nothing (a node with loops alone has no row); an edge with a
     null end is left out; no edges give no rows; nodes may be of any type that has an order."""
     e = stored(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v").distinct(), "edges")
-    before = None
+    before = _state(e)
     while True:
         both = e.select("u", "v").union(e.select("v", "u")).toDF("x", "y")
         low = stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "least")
@@ -28,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         down = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(down.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(e)
         if state == before:
             break
         before = state
