@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import types
 import uuid
@@ -21,6 +23,7 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"                      # words: runs without ASC
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"        # after lower-casing: ASCII letters, digits, all non-ASCII
 SHARED = 100_000                                       # ids of several rows that are broadcast
 CHUNK_BYTES = 4 << 20                                  # text that a task holds in numpy form at once
+ROWS = 1_000                                           # rows of whole texts that go to a Python worker at once
 
 _CODES = np.arange(256)
 SPACE_KEEP = ~((_CODES == 32) | ((_CODES >= 9) & (_CODES <= 13)))
@@ -125,28 +128,63 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Free memory that this process's allocators keep goes back to the system, as far as they can say so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)             # the GNU C library's
+    if trim:
+        trim(0)
+
+
 def worker_cache(owner: str = "") -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks, while they belong to one ``owner``; another
     one starts empty, so that a stage does not hold what an earlier one needed."""
     held = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
     if getattr(held, "owner", None) != owner:
         held.owner, held.cache = owner, {}
+        give_back()
     return held.cache
 
 
+def lean(run, owner: str = ""):
+    """Task function ``run`` over batches, which leaves no free memory with its worker: workers outlive their tasks, and what
+    one stage took would stay on top of what all later ones need."""
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        worker_cache(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to the Python workers ``ROWS`` at a time: whole texts are in them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Carried:
     """A broadcast object of this package's classes, unpacked once per worker."""
 
     def __init__(self, spark: SparkSession, value):
         self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-        self._name = f"carried-{uuid.uuid4().hex}"
+        self.name = f"carried-{uuid.uuid4().hex}"
 
     @property
     def value(self):
-        cache = worker_cache(self._name)
-        if self._name not in cache:
-            cache[self._name] = cloudpickle.loads(self._bytes.value)
-        return cache[self._name]
+        cache = worker_cache(self.name)
+        if self.name not in cache:
+            cache[self.name] = cloudpickle.loads(self._bytes.value)
+        return cache[self.name]
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES):

@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import remove, shuffle_partitions, stored, text_chunks
+from counterlens.llm.common import give_back, lean, remove, short_batches, shuffle_partitions, stored, text_chunks
 from counterlens.llm.tokens import encoder
 from counterlens.session import checkpoint_dir
 
 STEP = 512                   # ids between two checkpoints
 BLOCK_BYTES = 1 << 20        # coded bytes of a block, or one document
 GROUP = 1 << 21              # ids decoded side by side
+CHUNK = 2 << 20              # text bytes encoded at once
 
 BLOCKS = ("file int, block int, first long, doc_ids array<long>, counts array<long>, offsets array<long>, "
           "checkpoints array<long>, payload binary")
@@ -141,7 +142,7 @@ def _encode(spec: str, end_id: int):
         def rows(doc_ids, n, parts):
             return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "n", "ids"])
 
-        for batch, data, offsets in text_chunks(batches):
+        for batch, data, offsets in text_chunks(batches, limit=CHUNK):
             ids, counts = known.encode(data, offsets)
             total += np.bincount(ids, minlength=len(total))
             total[end_id] += len(counts)
@@ -150,9 +151,10 @@ def _encode(spec: str, end_id: int):
             raw, size = ids.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
             ends = (last + np.arange(1, len(last) + 1)) * size
             yield rows(batch.column("doc_id"), counts + 1, [raw[a:b] for a, b in zip(ends - (counts + 1) * size, ends)])
+            give_back()                              # known pieces grow in between, so that what a chunk frees is not used again
         yield rows(pa.array([None], pa.int64()), [-1], [total.astype("<i8").tobytes()])
 
-    return run
+    return lean(run, "tokens")
 
 
 def _ids_of(batch: pa.RecordBatch):
@@ -167,6 +169,7 @@ def _ids_of(batch: pa.RecordBatch):
         at = stop
 
 
+@lean
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of the tasks' counts, as (id, n) rows."""
     total = np.zeros(0, np.int64)
@@ -193,9 +196,10 @@ def _code(lengths: np.ndarray):
                     pa.array([payload[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary())],
                     names=["doc_id", "crc", "n", "checkpoints", "bits"])
 
-    return run
+    return lean(run)
 
 
+@lean
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packs a partition's sorted documents into blocks; the partition's number is the file's."""
     from pyspark import TaskContext
@@ -231,7 +235,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, limi
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    ids = stored(docs.select("doc_id", "text").mapInArrow(_encode(spec, end_id), "doc_id long, n long, ids binary"), "ids")
+    with short_batches(spark):
+        ids = stored(docs.select("doc_id", "text").mapInArrow(_encode(spec, end_id), "doc_id long, n long, ids binary"), "ids")
     found = (ids.filter("n < 0").select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
              .collect())                                     # one row per id of the vocabulary
     counts = np.zeros(max([end_id, *(r["id"] for r in found)]) + 1, np.int64)
@@ -240,7 +245,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, limi
     coded = ids.filter("n >= 0").mapInArrow(_code(lengths), "doc_id long, crc long, n long, checkpoints array<long>, bits binary")
     (coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
      .mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
-    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/book")
+    spark.range(1, numPartitions=1).select(F.lit(bytearray(lengths.tobytes())).alias("lengths")).write.parquet(f"{path}/book")
     remove(spark, [ids])
 
 
@@ -268,7 +273,7 @@ def _decode(lengths: np.ndarray, with_ids: bool):
                     pa.array(raw, pa.binary()) if with_ids else pa.array([zlib.crc32(r) for r in raw], pa.int64())],
                     names=["file", "doc_id", "at", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
-    return run
+    return lean(run)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import ALNUM_KEEP, LOWER, Carried, span_hashes, stored, text_chunks, word_spans, worker_cache
+from counterlens.llm.common import ALNUM_KEEP, LOWER, Carried, lean, span_hashes, stored, text_chunks, word_spans
 
 WINDOW, SLOP = 10, 2
 SEGMENT_BYTES = 6 << 20
@@ -36,9 +36,9 @@ GAP = 64                                                # free positions after e
 SEGMENTS = "terms binary, firsts binary, positions binary, doc_ids array<{}>, bases array<int>, counts array<int>"
 
 
+@lean
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per segment."""
-    worker_cache()
     for batch, data, offsets in text_chunks(batches, limit=SEGMENT_BYTES):
         lower = LOWER[data]
         starts, ends, doc = word_spans(lower, offsets, ALNUM_KEEP)
@@ -155,7 +155,7 @@ def _search(held, slop: int):
                     pa.array([len(x) for x in lists], pa.int64()), pa.array(near, pa.int64()), pa.array(lists, pa.list_(pa.string())),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string())], names=names)
 
-    return run
+    return lean(run, held.name)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:

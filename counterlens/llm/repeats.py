@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import (BASES, SPACE_KEEP, Keys, keyed_rows, mix, ranked, rolling, shuffle_partitions, sliding, span_hashes,
-                                    text_chunks, word_spans, worker_cache)
+from counterlens.llm.common import (BASES, SPACE_KEEP, Keys, keyed_rows, lean, mix, ranked, rolling, shuffle_partitions, sliding, span_hashes,
+                                    text_chunks, word_spans)
 
 WIDTH, GRAM = 20, 10
 CELLS = 1 << 27          # cells of each of the two sketch rows
@@ -84,7 +84,6 @@ def _sketch(cells: int, anchors_of):
     """Task function: cells that this partition's anchors hit, each at most twice, by (row, slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        worker_cache()
 
         def flush():
             every = np.concatenate(found)
@@ -105,9 +104,10 @@ def _sketch(cells: int, anchors_of):
         if found and sum(map(len, found)):
             yield from flush()
 
-    return run
+    return lean(run)
 
 
+@lean
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by slice: the bitmap of cells that are hit twice or more, per slice."""
     now, seen = None, None

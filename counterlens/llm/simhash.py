@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.llm.common import shuffle_partitions, stored
+from counterlens.llm.common import lean, shuffle_partitions, stored
 from counterlens.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -146,6 +146,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+@lean
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy().view(np.uint64)
@@ -154,6 +155,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(np.repeat(fp, keys.shape[1]).view(np.int64))], names=["key", "fp"])
 
 
+@lean
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition that holds whole buckets."""
     keys, fps = [], []

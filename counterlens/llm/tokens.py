@@ -179,10 +179,10 @@ class Encoder:
         if not known.all():
             new = one[~known]
             number[~known] = self._learn(data, starts[new], ends[new])
-            self.name, self.check, self.number = (np.concatenate(x) for x in (
-                (self.name, kinds[~known]), (self.check, check[new]), (self.number, number[~known])))
-            order = np.argsort(self.name, kind="stable")
-            self.name, self.check, self.number = self.name[order], self.check[order], self.number[order]
+            place = np.searchsorted(self.name, kinds[~known])          # one array after the other: they may be large
+            self.name = np.insert(self.name, place, kinds[~known])
+            self.check = np.insert(self.check, place, check[new])
+            self.number = np.insert(self.number, place, number[~known])
         return number[back], np.searchsorted(offsets, starts, "right") - 1
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
