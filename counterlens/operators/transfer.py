@@ -14,6 +14,8 @@ for the span of the unit rows U, and ``c_i = (m.w) / |sum u|`` for the unit mean
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -178,3 +180,111 @@ def transfer_effects(read: DataFrame, weight: str) -> DataFrame:
     w = F.col(weight)
     return read.groupBy("target", "reading", "relation", "record_id").agg(
         F.sum(w * F.col("reward")).alias("effect"), F.sum(w * F.col("after")).alias("after"), F.min("n_fit").alias("n_fit_min"), F.max("n_fit").alias("n_fit_max"))
+
+
+def _reading_arrays(tables: DataFrame, head: np.ndarray):
+    """`key_tables` as arrays: (its number per KEY, the readings (reading, relation) per target, ``weights`` and ``n_fit`` per number). A key's weights
+    have the head in the first column and for each reading what is left of the head, so that a reward after is one dot product with the state."""
+    rows = tables.collect()
+    named = {r["target"]: sorted((x["reading"], x["relation"]) for x in r["readings"]) for r in rows}
+    most = max(map(len, named.values()), default=0)
+    weights, n_fit = np.zeros((len(rows), len(head), most + 1)), np.zeros((len(rows), most), np.int64)
+    for k, r in enumerate(rows):
+        u = np.array([np.zeros(len(head)) if d is None else d for d in r["directions"]], float)
+        weights[k, :, 0] = head
+        for x in r["readings"]:
+            i = named[r["target"]].index((x["reading"], x["relation"]))
+            weights[k, :, i + 1] = head - np.array(x["c"], float) @ u[x["at"]]
+            n_fit[k, i] = -1 if x["n_fit"] is None else x["n_fit"]
+    return {(r["target"], tuple(r["key_folds"]), r["key_template"]): k for k, r in enumerate(rows)}, named, weights, n_fit
+
+
+def _whole_records(batches):
+    """Batches sorted by ``record`` as tables that hold all rows of their records."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        column = rows.column("record")
+        new = np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy())
+        end = int(new[-1]) + 1 if len(new) else 0
+        if end:
+            yield rows.slice(0, end)
+        rest = rows.slice(end)
+    if rest is not None:
+        yield rest
+
+
+def effect_sums(rows: DataFrame, record: str, code: str, vec: str, shifts: np.ndarray, pairs: list[tuple], folds, fold_sets: list[list[int]],
+                tables: DataFrame, head: list[float]) -> DataFrame:
+    """`transfer_effects` summed over records: rows (target, reading, relation, n, n_fit_min, n_fit_max) with the sums of ``effect``, ``after``, their
+    sizes ``abs_effect`` and ``abs_after`` and the ``change`` of size.
+
+    ``rows``: a text each, those of a record in one partition; ``code`` has its place in the lowest seven bits, and ``shifts`` by place what is added to
+    its vector. ``pairs``: (target, template, place of pole A, of pole B, weight), a target's side by side; a pair of several texts at a place counts
+    once for each two of them, without a text at one of its places not at all. ``folds(codes)`` numbers the ``fold_sets`` of all pairs, from
+    codes at their pole A (records x pairs). Tasks hold a few records at once and hand on one row per target and reading."""
+    number, named, weights, n_fit = _reading_arrays(tables, np.array(head, float))
+    a, b = (np.array([p[k] for p in pairs]) for k in (2, 3))
+    w, each = np.array([p[4] for p in pairs]), np.arange(len(pairs))
+    keys = np.array([[number.get((p[0], tuple(f), p[1]), -1) for f in fold_sets] for p in pairs])
+    first = np.array([i for i, p in enumerate(pairs) if not i or p[0] != pairs[i - 1][0]])
+    targets, places, dim = [pairs[i][0] for i in first], len(shifts), len(head)
+    step = max(1, V.CELLS // (len(pairs) * dim))
+
+    def effects(at, codes, x):
+        """Of a few records: (records x targets x reading, whether a target has pairs, the keys in use); ``at``: record and place as one number."""
+        size = (int(at[-1]) // places + 1) * places
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(at[order])))
+        states, held = np.zeros((size, dim)), np.zeros(size, np.int64)
+        states[at[order][starts]] = np.add.reduceat(x[order], starts, axis=0)
+        held[at] = codes
+        states, held, many = states.reshape(-1, places, dim), held.reshape(-1, places), np.bincount(at, minlength=size).reshape(-1, places).astype(float)
+        diff = states[:, a] * (many[:, b] * w)[:, :, None]
+        diff -= states[:, b] * (many[:, a] * w)[:, :, None]
+        key = np.where(many[:, a] * many[:, b] > 0, keys[each, folds(held[:, a])], -1)
+        diff, flat = diff.reshape(-1, dim), key.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        starts = np.append(np.searchsorted(flat[order], np.arange(len(weights))), len(flat))
+        out = np.zeros((len(flat), weights.shape[2]))
+        for k in np.flatnonzero(np.diff(starts)):
+            own = order[starts[k]:starts[k + 1]]
+            out[own] = diff[own] @ weights[k]
+        return np.add.reduceat(out.reshape(*key.shape, -1), first, axis=1), np.logical_or.reduceat(key >= 0, first, axis=1), np.flatnonzero(np.diff(starts))
+
+    def partial(batches):
+        sums, n, used = np.zeros((5, len(targets), weights.shape[2] - 1)), np.zeros(len(targets), np.int64), np.zeros(len(weights), bool)
+        for table in _whole_records(batches):
+            table = table.combine_chunks()
+            column, codes, vectors = table.column("record"), table.column("code").to_numpy(), table.column("v").combine_chunks()
+            one = np.append(0, np.cumsum(pc.not_equal(column[1:], column[:-1]).to_numpy()))
+            some = pc.is_valid(vectors).to_numpy(zero_copy_only=False)
+            x = np.zeros((len(codes), dim))
+            x[some] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) + shifts[codes[some] & 127]
+            ends = np.searchsorted(one, np.arange(0, one[-1] + 1 + step, step))
+            for lo, hi in zip(ends, ends[1:]):
+                found, has, now = effects((one[lo:hi] - one[lo]) * places + (codes[lo:hi] & 127), codes[lo:hi], x[lo:hi])
+                effect, after = found[:, :, :1], found[:, :, 1:]
+                gap, left = np.abs(effect), np.abs(after)
+                for total, part in zip(sums, (effect, after, gap, left, left - gap)):
+                    total += part.sum(axis=0)
+                n += has.sum(axis=0)
+                used[now] = True
+        out = []
+        for t, name in enumerate(targets):
+            if n[t]:
+                of = n_fit[[k for (target, _, _), k in number.items() if target == name and used[k]]]
+                fits = zip(*(np.where(x < 0, None, x) for x in (of.min(axis=0), of.max(axis=0))))
+                out += [(name, *names, int(n[t]), *fit, *sums[:, t, i].tolist()) for i, (names, fit) in enumerate(zip(named[name], fits))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, of) for c, of in zip(zip(*out), [pa.string()] * 3 + [pa.int64()] * 3 + [pa.float64()] * 5)], names=columns)
+
+    totals = ["effect", "after", "abs_effect", "abs_after", "change"]
+    columns = ["target", "reading", "relation", "n", "n_fit_min", "n_fit_max", *totals]
+    lain = rows.select(F.col(record).alias("record"), F.col(code).cast("long").alias("code"), F.col(vec).alias("v")).sortWithinPartitions("record")
+    parts = lain.mapInArrow(partial, "target string, reading string, relation string, n long, n_fit_min long, n_fit_max long, " + ", ".join(f"{c} double" for c in totals))
+    return parts.groupBy("target", "reading", "relation").agg(
+        F.sum("n").alias("n"), F.min("n_fit_min").alias("n_fit_min"), F.max("n_fit_max").alias("n_fit_max"), *[F.sum(c).alias(c) for c in totals])

@@ -142,3 +142,77 @@ def test_readings_take_out_spans_and_means(spark):
     assert len(found) == 80
     for r in found:
         assert r["after"] == pytest.approx(float(head @ want[r["reading"]](x[r["id"]]))) and r["reward"] == pytest.approx(float(head @ x[r["id"]]))
+
+
+def test_effects_are_summed_beside_their_records(spark):
+    """Against plain loops: texts that are missing, doubled or without a vector, a key without readings, records cut by batches."""
+    head, dirs, shifts = RNG.normal(size=5), RNG.normal(size=(3, 5)), RNG.normal(size=(4, 5))
+    dirs /= np.linalg.norm(dirs, axis=1)[:, None]
+    fits = [(t, name, "r", T.EACH, name, True, False, folds, "v1", u.tolist(), n + len(folds)) for t, folds in (("s", [0]), ("s", [0, 1]), ("t", []))
+            for n, (name, u) in enumerate(zip("ab" if t == "s" else "c", dirs if t == "s" else dirs[2:]))]
+    fits = spark.createDataFrame(fits, "target string, reading string, relation string, mode string, source string, hold_folds boolean, hold_template boolean, "
+                                       "key_folds array<int>, key_template string, direction array<double>, n_fit long")
+    pairs = [("s", "v1", 0, 1, 0.5), ("s", "v1", 2, 3, 0.25), ("t", "v1", 0, 2, 1.0)]
+    sets = [[0], [0, 1], [1], []]
+    rows = [(r, at, int(k)) for r in range(60) for at in range(4) for k in [RNG.integers(0, 3)] for _ in range(1 + (r % 7 == at)) if r % 5 != at + 1 or r % 3]
+    rows = [(r, at | k << 7, None if r == 8 and at == 3 else RNG.normal(size=5).astype(np.float32).tolist()) for r, at, k in rows]
+
+    def folds(codes):
+        return np.where([True, True, False], codes >> 7, 3)
+
+    tables, number = T.key_tables(fits, head.tolist()), {"s": "ab", "t": "c"}
+    want, n_fit = {}, {}
+    for r in range(60):
+        for t, readings in number.items():
+            found = {}
+            for target, _, a, b, w in pairs:
+                of = [[(c, v) for i, c, v in rows if i == r and c & 127 == at] for at in (a, b)]
+                k = sets[of[0][0][0] >> 7] if of[0] and t == "s" else []
+                if target != t or not of[0] or not of[1] or k == [1]:
+                    continue
+                for i, name in enumerate(readings):
+                    u = dirs[i if t == "s" else 2]
+                    for sign, own, others in ((w, of[0], of[1]), (-w, of[1], of[0])):
+                        for c, v in own:
+                            x = np.zeros(5) if v is None else np.array(v) + shifts[c & 127]
+                            found.setdefault(name, []).append(sign * len(others) * np.array([head @ x, head @ (x - u * (u @ x))]))
+                    n_fit.setdefault((t, name), set()).add(i + len(k))
+            for name, each in found.items():
+                e, f = np.sum(each, axis=0)
+                want.setdefault((t, name), []).append((e, f, abs(e), abs(f), abs(f) - abs(e)))
+    df = spark.createDataFrame(rows, "r long, c int, v array<float>").repartition(3, "r")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("1", "7", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = {(x.target, x.reading): x for x in T.effect_sums(df, "r", "c", "v", shifts, pairs, folds, sets, tables, head.tolist()).collect()}
+            assert got.keys() == want.keys()
+            for k, x in got.items():
+                assert x.n == len(want[k]) and (x.n_fit_min, x.n_fit_max) == (min(n_fit[k]), max(n_fit[k])) and x.relation == "r"
+                assert list(x[6:]) == pytest.approx(np.sum(want[k], axis=0).tolist())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_transfer_matrix_repeats_no_texts(spark):
+    """Records, pairs and readings as rows give the same sums; only texts move, once, hashed once, and keys come from the names alone."""
+    from counterlens.queries import directions as Q
+    sf = "/root/testdata/sf0.001"
+    plan = Q.j19(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "zip_with" not in plan and plan.count("concat_ws(|, tr,") == 1
+    plain = Q._targets(Q.pair_rows(Q.domain_texts(spark, sf, False)))
+    keys = {(r.target, tuple(r.key_folds), r.key_template) for r in T.hold_out_keys(plain).collect()}
+    found = [(r.target, tuple(r.key_folds), r.key_template) for r in Q.coded_keys(spark, sf, False).collect()]
+    assert len(found) == len(set(found)) and set(found) == keys
+    _, fits, h = Q.readings(spark, sf)
+    rows = Q._targets(Q.pair_rows(Q.domain_states(spark, sf, False))).select(*T.KEY, "record_id", "w", "state")
+    effects = T.transfer_effects(T.read_rows(rows, T.key_tables(fits, h), h, [*T.KEY, "record_id", "w"]), "w")
+    want = {(r.target, r.reading): r for r in effects.groupBy("target", "reading", "relation").agg(
+        F.count(F.lit(1)).alias("n"), F.min("n_fit_min").alias("lo"), F.max("n_fit_max").alias("hi"), F.sum("effect").alias("effect"), F.sum("after").alias("after"),
+        F.sum(F.abs("after") - F.abs("effect")).alias("change")).collect()}
+    got = {(r.target, r.reading): r for r in Q.read_effects(spark, sf, fits, h).collect()}
+    assert got.keys() == want.keys() and any(r.relation == "random" for r in got.values())
+    for k, r in got.items():
+        w = want[k]
+        assert (r.relation, r.n, r.n_fit_min, r.n_fit_max) == (w.relation, w.n, w.lo, w.hi)
+        assert (r.effect, r.after, r.change) == pytest.approx((w.effect, w.after, w.change), abs=1e-9)
